@@ -1,0 +1,6 @@
+"""Registered queries of the georeferencing operators and their SQL oracles."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
