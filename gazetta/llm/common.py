@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,42 @@ def rank_key(id_col: Column, *then: Column) -> Column:
 
 def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def arrow_fields(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: str, judge: Callable[[list], list], most_chars: int = 2_000_000) -> DataFrame:
+    """The columns ``keep`` and what ``judge`` returns: for a list of texts, a list of Arrow arrays in the order of ``fields``.
+
+    Kept columns pass through as Arrow arrays, so ids and further columns of any type come back as they were.  Texts
+    are judged about ``most_chars`` characters at a time, which bounds the memory whatever the batch holds.
+    """
+    kept = [f"__k{i}" for i in range(len(keep))]
+    source = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.col(f"`{text_col}`").alias("__text"))
+    names = [x.split()[0] for x in _split_fields(fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, at, chars = batch.column("__text").to_pylist(), 0, 0
+            for i, text in enumerate(texts):
+                chars += len(text or "")
+                if chars > most_chars or i + 1 == len(texts):
+                    part = batch.slice(at, i + 1 - at)
+                    yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + judge(texts[at : i + 1]), names=kept + names)
+                    at, chars = i + 1, 0
+
+    out = source.mapInArrow(run, ", ".join(x for x in (arrow_fields(source, kept), fields) if x))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], *names)
+
+
+def _split_fields(fields: str) -> list[str]:
+    """Top-level parts of a DDL list."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(fields):
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append(fields[at:i])
+            at = i + 1
+    return [*out, fields[at:]]

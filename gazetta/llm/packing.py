@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, rank_key
+from .common import arrow_fields, materialise, rank_key
 
 CAPACITY = 2048
 END_TOKEN = 0
@@ -86,28 +87,29 @@ def default_tokenizer() -> tuple[str, str, str]:
 
 def tokenise(docs: DataFrame, tokenizer: tuple[str, str, str], capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` tokens.  Of a document that is cut, only the first piece is shorter."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+    end = array("I", [END_TOKEN]).tobytes()
+    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    fields = arrow_fields(source, ["__id"]) + ", piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = _encoder(*tokenizer), array("I", [END_TOKEN]).tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(*tokenizer)
         for batch in batches:
             row, piece, start, length, crc, blobs = [], [], [], [], [], []
-            for i, text in enumerate(batch["__text"]):
+            for i, text in enumerate(batch.column("__text").to_pylist()):
                 ids = (encoder.encode(text) if text else b"") + end
                 total = len(ids) // 4
-                at, n = 0, total % capacity or min(total, capacity)
-                k = 0
+                at, n, k = 0, total % capacity or capacity, 0
                 while at < total:
                     part = ids[4 * at : 4 * (at + n)]
                     row.append(i), piece.append(k), start.append(at), length.append(n), crc.append(zlib.crc32(part))
                     if keep_ids:
                         blobs.append(part)
                     at, n, k = at + n, capacity, k + 1
-            out = {"__id": batch["__id"].to_numpy()[row], "piece": np.array(piece, "i4"), "start": np.array(start, "i8"), "length": np.array(length, "i8"), "ids_crc32": np.array(crc, "i8")}
-            yield pd.DataFrame(out | ({"ids": blobs} if keep_ids else {}))
+            arrays = [batch.column("__id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
+            names = ["__id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(blobs, pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
 
-    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    return source.mapInPandas(run, f"__id {id_type}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
+    return source.mapInArrow(run, fields)
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
@@ -177,7 +179,6 @@ def places(runs: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
 
 def pack(docs: DataFrame, tokenizer: tuple[str, str, str] | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    id_type = docs.schema[id_col].dataType.simpleString()
     pieces = materialise(tokenise(docs, tokenizer or default_tokenizer(), capacity, id_col, text_col), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     table = places(plan_bins(histogram, capacity)).sort_values(["length", "from_rank"])
@@ -194,14 +195,13 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str] | None = None, capacit
     step = np.int64(1) << 40  # length and rank in one sorted number; fewer than 2**40 pieces have one length
     keys = lengths.astype("i8") * step + ranks
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, rank = batch["length"].to_numpy(), batch["__rank"].to_numpy()
+            n, rank = batch.column("length").to_numpy(), batch.column("__rank").to_numpy()
             at = np.searchsorted(keys, n * step + rank, "right") - 1
             inner = rank - ranks[at]
-            batch["sequence_id"] = bins[at] + inner // each[at]
-            batch["offset"] = offsets[at] + (inner % each[at]) * n
-            yield batch[["__id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+            where = [pa.array(bins[at] + inner // each[at], pa.int64()), pa.array(offsets[at] + (inner % each[at]) * n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + where, names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
     out = rows.select("__id", "piece", "start", "length", "ids_crc32", "__rank")
-    return out.mapInPandas(place, f"__id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("__id", id_col)
+    return out.mapInArrow(place, arrow_fields(out, out.columns[:-1]) + ", sequence_id long, offset long").withColumnRenamed("__id", id_col)
