@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_fields, materialise, rank_key
+from .common import arrow_fields, materialise, rank_key, tasks
 
 CAPACITY = 2048
 END_TOKEN = 0
-#: Pieces ranked in one task.
+#: Pieces ranked in one bucket at most, on average; there are at least as many buckets as shuffle partitions.
 RANK_ROWS = 200_000
 _CACHE_ENTRIES = 600_000
 #: What the byte-level vocabulary reads apart at white space; both halves of a text cut there encode alone.
@@ -182,15 +182,14 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str] | None = None, capacit
     pieces = materialise(tokenise(docs, tokenizer or default_tokenizer(), capacity, id_col, text_col), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     table = places(plan_bins(histogram, capacity)).sort_values(["length", "from_rank"])
-    buckets = max(1, -(-sum(histogram.values()) // RANK_ROWS))
+    buckets = max(-(-sum(histogram.values()) // RANK_ROWS), tasks(docs.sparkSession))
     rows = pieces.withColumn("__bucket", F.pmod(F.xxhash64("__id", "piece", "start"), F.lit(buckets)))
     here = Window.partitionBy("length", "__bucket")
     rows = rows.withColumn("__rank", F.row_number().over(here.orderBy(rank_key(F.col("__id")), "piece", "ids_crc32")).cast("long") - 1)
-    if buckets > 1:
-        sizes = pieces.withColumn("__bucket", F.pmod(F.xxhash64("__id", "piece", "start"), F.lit(buckets))).groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
-        before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = sizes.select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-        rows = rows.join(sizes, ["length", "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
+    sizes = pieces.withColumn("__bucket", F.pmod(F.xxhash64("__id", "piece", "start"), F.lit(buckets))).groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    rows = rows.join(sizes, ["length", "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     lengths, ranks, bins, each, offsets = (table[c].to_numpy() for c in table.columns)
     step = np.int64(1) << 40  # length and rank in one sorted number; fewer than 2**40 pieces have one length
     keys = lengths.astype("i8") * step + ranks
