@@ -81,7 +81,7 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: str, judge:
         for batch in batches:
             texts, at, chars = batch.column("__text").to_pylist(), 0, 0
             for i, text in enumerate(texts):
-                chars += len(text or "")
+                chars += len((text.get("text") if isinstance(text, dict) else text) or "")
                 if chars > most_chars or i + 1 == len(texts):
                     part = batch.slice(at, i + 1 - at)
                     yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + judge(texts[at : i + 1]), names=kept + names)
