@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, langid, line_dedup, near_dedup, packing, secret_scan, substring_dedup, url_filter
+from . import decontaminate, exact_dedup, html_extract, langid, line_dedup, near_dedup, oracles, packing, secret_scan, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,4 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": oracles.URL_FILTER,
+    "op2_exact_dedup": oracles.EXACT_DEDUP,
+    "op4_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op8_secret_scan": oracles.SECRET_SCAN,
+}
