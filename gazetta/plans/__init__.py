@@ -1 +1 @@
-""""""
+"""Queries, their oracles and whole runs."""

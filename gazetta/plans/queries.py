@@ -1,6 +1,593 @@
-"""Registered queries of the georeferencing operators and their SQL oracles."""
+"""Registered queries of the georeferencing operators, each with the SQL that gives the same rows.
+
+The driver's tables have no localities, so each operator is put to work on a projection of whole tables that both sides
+spell out: specimens are conversation turns (text as locality, role as country), result sets are customers, orders and
+suppliers with coordinates from their numbers, grid references come from parts, models from suppliers.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schema as S
+from ..functions import geo, json_text, text
+from ..operators import coords, cost, ensemble, jobs, prep, profile, resolve, results
+from ..sources import writers
+from ..streaming.calls import StubProvider, call_stage
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- the shared projections ----------------------------------------------------------------------------------------
+
+_WS = r"[\s\p{Z}\x1c-\x1f\x{85}]"
+_TRIM = f"regexp_replace(regexp_replace(%s, '^{_WS}+', ''), '{_WS}+$', '')"
+_NORM = f"lower(regexp_replace({_TRIM}, '{_WS}+', ' ', 'g'))"
+SPEC_SQL = f"""spec AS (
+  SELECT conv_id * 100000 + turn AS row, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, {_TRIM % 'text'} AS loc, role AS ctry, text AS raw,
+         CASE WHEN conv_id % 3 = 0 THEN NULL ELSE CAST((conv_id * 7 + turn) % 240 - 120 AS VARCHAR) END AS lat, CAST((conv_id * 37) % 400 - 200 AS VARCHAR) AS lon
+  FROM conversations),
+ok AS (SELECT *, coalesce(CAST(lat AS DOUBLE) BETWEEN -90 AND 90 AND CAST(lon AS DOUBLE) BETWEEN -180 AND 180, false) AS valid,
+              {_NORM % 'raw'} || '|' || {_NORM % 'ctry'} AS key FROM spec),
+need AS (SELECT * FROM ok WHERE loc <> '' AND NOT valid)"""
+
+
+def spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir, "conversations")
+    lat = F.when(F.col("conv_id") % 3 != 0, ((F.col("conv_id") * 7 + F.col("turn")) % 240 - 120).cast("string"))
+    return t.select(
+        F.concat_ws("-", F.col("conv_id"), F.col("turn")).alias("Barcode"),
+        F.col("text").alias("Locality verbatim"),
+        F.col("role").alias("Country"),
+        lat.alias("Latitude"),
+        ((F.col("conv_id") * 37) % 400 - 200).cast("string").alias("Longitude"),
+        (F.col("conv_id") * 100000 + F.col("turn")).cast("long").alias(S.ROW),
+    )
+
+
+# --- resolution and preparation ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SPEC_SQL} SELECT row, loc, ctry, id, lat, lon FROM spec")
+def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1, P2, P3a-c: a blank column goes before the filled alias."""
+    df = spec(spark, sf_dir).withColumn("label_verbatim", F.col("`Locality verbatim`")).withColumn("Locality verbatim", F.lit("  "))
+    return resolve.resolve(df).select(F.col(S.ROW).alias("row"), F.col("_loc").alias("loc"), F.col("_ctry").alias("ctry"), F.col("_id").alias("id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"))
+
+
+@query(f"WITH {SPEC_SQL} SELECT row, CASE WHEN lat IS NULL THEN loc || ' [verbatim coordinates: ' || id || '; ' || id || ' ' || ctry || ']' ELSE loc END AS ai_locality FROM spec")
+def verbatim_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P3d, P3e."""
+    df = spec(spark, sf_dir).withColumns({"verbatimCoordinates": F.col("Barcode"), "verbatimLatitude": F.col("Barcode"), "verbatimLongitude": F.col("Country")})
+    return df.select(F.col(S.ROW).alias("row"), resolve.prompt_locality(df.columns).alias("ai_locality"))
+
+
+@query(f"WITH {SPEC_SQL} SELECT row, valid, CASE WHEN valid THEN CAST(lat AS DOUBLE) END AS lat, CASE WHEN valid THEN CAST(lon AS DOUBLE) END AS lon FROM ok")
+def valid_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, F4."""
+    lat, lon = F.col("Latitude"), F.col("Longitude")
+    both = geo.validated(lat, lon)
+    return spec(spark, sf_dir).select(F.col(S.ROW).alias("row"), geo.valid(lat, lon).alias("valid"), both["lat"].alias("lat"), both["lon"].alias("lon"))
+
+
+@query(f"WITH {SPEC_SQL} SELECT row, loc FROM need")
+def needs_georef(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2."""
+    return prep.filter_records(spec(spark, sf_dir)).select(F.col(S.ROW).alias("row"), F.col("_loc").alias("loc"))
+
+
+@query(f"WITH {SPEC_SQL} SELECT row, loc FROM need ORDER BY row LIMIT 100")
+def needs_georef_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit is the operator's own."""
+    return prep.filter_records(spec(spark, sf_dir), max_records=100).select(F.col(S.ROW).alias("row"), F.col("_loc").alias("loc"))
+
+
+@query(f"""WITH {SPEC_SQL} SELECT count(*) AS total, count(*) FILTER (loc <> '') AS with_locality, count(*) FILTER (valid) AS with_valid_coordinates,
+  count(*) FILTER (loc <> '' AND NOT valid) AS selected, (SELECT count(DISTINCT key) FROM need) AS groups,
+  count(*) FILTER (loc <> '' AND NOT valid) - (SELECT count(DISTINCT key) FROM need) AS duplicates_removed FROM ok""")
+def filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2."""
+    return prep.filter_stats(spec(spark, sf_dir))
+
+
+@query(f"WITH {SPEC_SQL} SELECT row, key FROM ok")
+def dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A0."""
+    return resolve.resolve(spec(spark, sf_dir)).select(F.col(S.ROW).alias("row"), prep.dedup_key(F.col("_loc"), F.col("_ctry")).alias("key"))
+
+
+@query(f"""WITH {SPEC_SQL} SELECT key, min(row) AS first_row, arg_min(id, row) AS barcode, string_agg(id, '|' ORDER BY row) AS ids, count(*) AS n FROM need GROUP BY key""")
+def dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique places, the first record of each, all ids, the count."""
+    out = prep.tracking_as_text(prep.deduplicate(prep.filter_records(spec(spark, sf_dir))))
+    return out.select(F.col(S.DEDUP_KEY).alias("key"), F.col(S.ROW).alias("first_row"), F.col("Barcode").alias("barcode"), F.col(S.OCCURRENCE_IDS).alias("ids"), F.col(S.OCCURRENCE_COUNT).cast("long").alias("n"))
+
+
+def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results for every row that needed one, the later rows of a place included: the last must win."""
+    rows = prep.without_helpers(prep.filter_records(spec(spark, sf_dir)).withColumn("keep_row", F.col(S.ROW)))
+    return rows.withColumns({"Latitude": (F.col("keep_row") % 90).cast("string"), "Longitude": (F.col("keep_row") % 180).cast("string"), "Confidence": F.lit("high")}).withColumnRenamed("keep_row", "order_row")
+
+
+def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _processed(spark, sf_dir)
+    original = spec(spark, sf_dir)
+    # the ordinal of the processed table is its own column order_row
+    left, right = resolve.resolve(original), resolve.resolve(done.withColumn(S.ROW, F.col("order_row")))
+    return prep.expand(left.drop("_loc", "_ctry", "_id", "_lat", "_lon", "_ai_loc"), right.drop("_loc", "_ctry", "_id", "_lat", "_lon", "_ai_loc"))
+
+
+_LAST = "last AS (SELECT key, max(row) AS r FROM need GROUP BY key)"
+
+
+@query(f"""WITH {SPEC_SQL}, {_LAST} SELECT row, id AS barcode, CASE WHEN r IS NULL THEN ok.lat ELSE CAST(r % 90 AS VARCHAR) END AS latitude,
+  CASE WHEN r IS NULL THEN ok.lon ELSE CAST(r % 180 AS VARCHAR) END AS longitude, CASE WHEN r IS NOT NULL THEN 'high' END AS confidence, r IS NOT NULL AS matched FROM ok LEFT JOIN last USING (key)""")
+def expand_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1, W2, P15."""
+    out = _expanded(spark, sf_dir)
+    return out.select(F.col(S.ROW).alias("row"), F.col("Barcode").alias("barcode"), F.col("Latitude").alias("latitude"), F.col("Longitude").alias("longitude"), F.col("Confidence").alias("confidence"), F.col("__matched").alias("matched"))
+
+
+@query(f"WITH {SPEC_SQL}, {_LAST} SELECT count(*) AS total, count(r) AS matched, count(*) - count(r) AS unmatched FROM ok LEFT JOIN last USING (key)")
+def expand_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.expand_stats(_expanded(spark, sf_dir))
+
+
+@query("SELECT page_id, CASE WHEN regexp_full_match(url, '[A-Za-z0-9_-]{1,64}') THEN url ELSE 'pb_' || substr(sha1(url), 1, 24) END AS safe_id FROM pages")
+def safe_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7."""
+    return _t(spark, sf_dir, "pages").select("page_id", text.safe_id(F.col("url")).alias("safe_id"))
+
+
+# --- coordinates ---------------------------------------------------------------------------------------------------
+
+_REF = "'TL ' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || ' ' || lpad(CAST((p_size * 13) % 1000 AS VARCHAR), 3, '0')"
+_GRID_TEXT = f"p_name || ' near ' || {_REF} || ', ' || p_brand"
+
+
+def _grid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def three(c):
+        return F.lpad((c % 1000).cast("string"), 3, "0")
+
+    ref = F.concat(F.lit("TL "), three(F.col("p_partkey")), F.lit(" "), three(F.col("p_size") * 13))
+    return _t(spark, sf_dir, "part").select("p_partkey", ref.alias("ref"), F.concat("p_name", F.lit(" near "), ref, F.lit(", "), "p_brand").alias("text"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_GRID_TEXT} AS text FROM part)
+SELECT p_partkey, array_to_string(regexp_extract_all(text, '(?i)\\b[A-Z]{{2}}(?:\\s?/?\\s?)?(?:[0-9]{{2}}\\s?[0-9]{{2}}|[0-9]{{3}}\\s?[0-9]{{3}}|[0-9]{{4}}\\s?[0-9]{{4}}|[0-9]{{5}}\\s?[0-9]{{5}})\\b'), ',') AS refs FROM t""")
+def grid_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1, U4."""
+    return _grid_text(spark, sf_dir).select("p_partkey", F.array_join(geo.grid_references(F.col("text")), ",").alias("refs"))
+
+
+def _grid_sql() -> str:
+    """The inverse series as nested selects, written from the same published constants."""
+    a, b, f0 = geo.AIRY_A, geo.AIRY_B, geo.SCALE
+    n = (a - b) / (a + b)
+    e2 = 1 - (b * b) / (a * a)
+    c = [1 + n + 1.25 * n**2 + 1.25 * n**3, 3 * n + 3 * n**2 + 21 / 8 * n**3, 15 / 8 * (n**2 + n**3), 35 / 24 * n**3]
+    p0 = geo.ORIGIN_LAT
+    sql = f"SELECT *, (no + 100000.0) / {a * f0!r} + {p0!r} AS p FROM g"
+    for _ in range(5):
+        d, s = f"(p - {p0!r})", f"(p + {p0!r})"
+        arc = f"{b * f0!r} * ({c[0]!r} * {d} - {c[1]!r} * sin({d}) * cos({s}) + {c[2]!r} * sin(2 * {d}) * cos(2 * {s}) - {c[3]!r} * sin(3 * {d}) * cos(3 * {s}))"
+        sql = f"SELECT * EXCLUDE (p), p + (no + 100000.0 - {arc}) / {a * f0!r} AS p FROM ({sql})"
+    sql = f"SELECT *, {a * f0!r} / sqrt(1 - {e2!r} * sin(p) * sin(p)) AS nu, {a * f0 * (1 - e2)!r} * pow(1 - {e2!r} * sin(p) * sin(p), -1.5) AS rho, tan(p) AS t, ea - 400000.0 AS x FROM ({sql})"
+    lat = "p - t / (2 * rho * nu) * pow(x, 2) + t / (24 * rho * pow(nu, 3)) * (5 + 3 * t * t + (nu / rho - 1) - 9 * t * t * (nu / rho - 1)) * pow(x, 4) - t / (720 * rho * pow(nu, 5)) * (61 + 90 * t * t + 45 * pow(t, 4)) * pow(x, 6)"
+    lon = f"{geo.ORIGIN_LON!r} + x / (cos(p) * nu) - pow(x, 3) / (cos(p) * 6 * pow(nu, 3)) * (nu / rho + 2 * t * t) + pow(x, 5) / (cos(p) * 120 * pow(nu, 5)) * (5 + 28 * t * t + 24 * pow(t, 4)) - pow(x, 7) / (cos(p) * 5040 * pow(nu, 7)) * (61 + 662 * t * t + 1320 * pow(t, 4) + 720 * pow(t, 6))"
+    return f"SELECT *, degrees({lat}) + {geo.SHIFT_LAT} AS lat, degrees({lon}) + {geo.SHIFT_LON} AS lon FROM ({sql})"
+
+
+_GRID = """g AS (SELECT p_partkey, 500000.0 + (p_partkey % 1000) * 100 + 50 AS ea, 200000.0 + ((p_size * 13) % 1000) * 100 + 50 AS no FROM part)"""
+
+
+@query(f"WITH {_GRID} SELECT p_partkey, ea AS easting, no AS northing, round(lat, 6) AS lat, round(lon, 6) AS lon, round(100 * sqrt(2) / 2, 3) AS radius FROM ({_grid_sql()})")
+def grid_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X2, X3, J9."""
+    out = coords.convert_references(_grid_text(spark, sf_dir), "ref")
+    return out.select("p_partkey", "easting", "northing", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("radius", 3).alias("radius"))
+
+
+def _localities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as records: some sizes come with coordinates, some names with a grid reference."""
+    rows = _grid_text(spark, sf_dir).join(_t(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), "p_partkey")
+    loc = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise(F.col("text"))
+    lat = F.when(F.col("p_size") % 4 == 0, (F.col("p_size") - 25).cast("string"))
+    return rows.select(F.col("p_partkey").alias(S.ROW), F.col("p_partkey").cast("string").alias("Barcode"), loc.alias("Locality verbatim"), lat.alias("Latitude"), lat.alias("Longitude"))
+
+
+_PRE = f"""pre AS (SELECT s.p_partkey, p_size, {_REF} AS ref, lat, lon, p_size % 4 = 0 AS given, p_size % 4 <> 0 AND p_size % 3 <> 0 AS grid FROM ({_grid_sql()}) s JOIN part USING (p_partkey))"""
+
+
+@query(f"""WITH {_GRID}, {_PRE} SELECT p_partkey AS row, CASE WHEN given THEN 'coordinates_provided' WHEN grid THEN 'grid_reference_converted' ELSE 'needs_ai_processing' END AS source,
+  CASE WHEN given THEN p_size - 25.0 WHEN grid THEN round(lat, 6) END AS lat, CASE WHEN given THEN p_size - 25.0 WHEN grid THEN round(lon, 6) END AS lon,
+  CASE WHEN given OR grid THEN 'high' ELSE 'unknown' END AS confidence, CASE WHEN grid THEN ref END AS ref FROM pre""")
+def coord_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P8."""
+    out = coords.preprocess(_localities(spark, sf_dir))
+    return out.select(F.col(S.ROW).alias("row"), F.col("pre_source").alias("source"), F.round("pre_lat", 6).alias("lat"), F.round("pre_lon", 6).alias("lon"), F.col("pre_confidence").alias("confidence"), F.col("pre_grid_ref").alias("ref"))
+
+
+@query(f"""WITH {_GRID}, {_PRE} SELECT p_partkey AS row, CASE
+  WHEN given THEN chr(10) || chr(10) || 'EXISTING COORDINATES: ' || printf('%.6f, %.6f', p_size - 25.0, p_size - 25.0) || ' (PRESERVE THESE EXACT COORDINATES - do not overwrite)'
+  WHEN grid THEN chr(10) || chr(10) || 'GRID REFERENCE CONVERTED: ' || ref || ' -> ' || printf('%.6f, %.6f', lat, lon) || chr(10) || 'PRECISION RADIUS: 70.7 meters (use this for coordinate_radius_meters field)' || chr(10) || 'IMPORTANT: PRESERVE these mathematically converted coordinates, do not estimate or overwrite!'
+  ELSE chr(10) || chr(10) || 'NO EXISTING COORDINATES: Please estimate coordinates from locality if possible' END AS context FROM pre""")
+def coord_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9."""
+    return coords.preprocess(_localities(spark, sf_dir)).select(F.col(S.ROW).alias("row"), coords.prompt_context().alias("context"))
+
+
+# --- comparison ----------------------------------------------------------------------------------------------------
+
+_HAV = "round(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))), 3)"
+_CAT = "CASE WHEN km IS NULL THEN 'no comparison' WHEN km < 2 THEN 'close (<2km)' WHEN km < 5 THEN 'moderate (2-5km)' WHEN km < 10 THEN 'low (5-10km)' ELSE 'none (>10km)' END"
+_SETS = """prim AS (SELECT c_custkey AS k, (c_custkey % 160) - 80.0 AS lat1, (c_custkey % 340) - 170.0 AS lon1 FROM customer),
+sec AS (SELECT o_custkey AS k, min(o_orderkey) AS first, arg_min(o_totalprice, o_orderkey) AS price FROM orders GROUP BY o_custkey),
+cmp AS (SELECT p.k, lat1, lon1, sec.k IS NOT NULL AS matched, (p.k % 160) - 80.0 + price / 4000000 AS lat2, (p.k % 340) - 170.0 AS lon2 FROM prim p LEFT JOIN sec USING (k)),
+res AS (SELECT k, matched, lat2, km, """ + _CAT + " AS category FROM (SELECT *, " + _HAV + " AS km FROM cmp))"
+
+
+def _primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return _t(spark, sf_dir, "customer").select(k.alias(S.ROW), k.cast("string").alias("Barcode"), (k % 160 - 80.0).alias("Latitude"), (k % 340 - 170.0).alias("Longitude"))
+
+
+def _secondary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_custkey")
+    return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(S.ROW), k.cast("string").alias("Barcode"), (k % 160 - 80.0 + F.col("o_totalprice") / 4000000).alias("Latitude"), (k % 340 - 170.0).alias("Longitude"))
+
+
+@query(f"WITH {_SETS} SELECT k, km FROM res")
+def haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X4, X6, X9."""
+    out = ensemble.compare(_primary(spark, sf_dir), _secondary(spark, sf_dir))
+    return out.select(F.col(S.ROW).alias("k"), F.col(ensemble.DISTANCE).alias("km"))
+
+
+@query(f"WITH {_SETS} SELECT k, matched, round(lat2, 6) AS secondary_lat, km, category FROM res")
+def ensemble_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First secondary row of each key wins."""
+    out = ensemble.compare(_primary(spark, sf_dir), _secondary(spark, sf_dir))
+    return out.select(F.col(S.ROW).alias("k"), F.col("__matched").alias("matched"), F.round(F.col("Secondary_Latitude").try_cast("double"), 6).alias("secondary_lat"), F.col(ensemble.DISTANCE).alias("km"), F.col(ensemble.CATEGORY).alias("category"))
+
+
+_CATEGORIES = ", ".join(f"({i}, '{c}')" for i, c in enumerate(S.CATEGORY_ORDER))
+
+
+@query(f"WITH {_SETS} SELECT position, v.category, count(k) AS n FROM (VALUES {_CATEGORIES}) v(position, category) LEFT JOIN res USING (category) GROUP BY ALL")
+def ensemble_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: zero-filled."""
+    return ensemble.summarise(ensemble.compare(_primary(spark, sf_dir), _secondary(spark, sf_dir)))
+
+
+@query("SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey)")
+def only_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4."""
+    other = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    return ensemble.only_primary(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), other).select(F.col("id").alias("k"))
+
+
+@query("SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS key FROM orders WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o_custkey)")
+def only_secondary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5, U5."""
+    return ensemble.only_secondary(_t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
+
+
+@query("SELECT count(l_orderkey) - count(DISTINCT l_orderkey) AS duplicates FROM lineitem")
+def dup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4."""
+    return ensemble.duplicate_keys(_t(spark, sf_dir, "lineitem"), F.col("l_orderkey"))
+
+
+# --- names ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS \"catalogNumber\", CASE WHEN n_regionkey % 2 = 0 THEN r_name ELSE n_name END AS country, n_name AS extra FROM nation JOIN region ON n_regionkey = r_regionkey")
+def dwc_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two columns with one term the later non-blank one wins."""
+    rows = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    later = F.when(F.col("n_regionkey") % 2 == 0, F.col("r_name")).otherwise(F.lit(" "))
+    return resolve.to_darwin_core(rows.select(F.col("n_nationkey").cast("string").alias("Barcode"), F.col("n_name").alias("Country"), later.alias("Country_Processed"), F.col("n_name").alias("extra")))
+
+
+@query("SELECT 'Country_Processed' AS last, count(*) AS n FROM nation")
+def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Produced columns move to the back."""
+    df = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("Country_Processed"), F.col("n_nationkey").alias("Barcode"), F.col("n_name").alias("Country"))
+    return df.select(*resolve.ordered_columns(df.columns)).agg(F.lit(resolve.ordered_columns(df.columns)[-1]).alias("last"), F.count("Country_Processed").alias("n"))
+
+
+# --- results -------------------------------------------------------------------------------------------------------
+
+_RESULTS = """res AS (SELECT CASE WHEN regexp_full_match(url, '[A-Za-z0-9_-]{1,64}') THEN url ELSE 'pb_' || substr(sha1(url), 1, 24) END AS barcode, page_id % 4 <> 0 AS success, page_id FROM pages)"""
+
+
+@query(f"""WITH {_RESULTS} SELECT p.page_id, p.url AS "Barcode", CASE WHEN success THEN CAST(CAST(p.page_id % 90 AS DOUBLE) AS VARCHAR) END AS "Latitude",
+  CASE WHEN success THEN 'medium' ELSE 'low' END AS "Confidence", CASE WHEN success THEN '' ELSE 'Batch processing failed: quota' END AS "Processing_Notes"
+  FROM res JOIN pages p USING (page_id)""")
+def results_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results found again by their safe ids."""
+    pages = _t(spark, sf_dir, "pages")
+    ok = F.col("page_id") % 4 != 0
+    fields = [F.when(ok, (F.col("page_id") % 90).cast("double")).alias(f.name) if f.name == "latitude" else F.lit(None).cast(f.dataType).alias(f.name) for f in S.RESPONSE]
+    found = pages.select(text.safe_id(F.col("url")).alias("barcode"), ok.alias("success"), F.when(~ok, F.lit("quota")).alias("error"), *fields)
+    out = results.merge_with_source(found, pages.select(F.col("page_id").alias(S.ROW), "page_id", F.col("url").alias("Barcode")))
+    return out.select("page_id", "Barcode", "Latitude", "Confidence", "Processing_Notes")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events")
+def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The object is found between prose and fences."""
+    wrapped = F.concat(F.lit("```json\nHere: "), "props", F.lit("\n``` and } more"))
+    return _t(spark, sf_dir, "events").select("event_id", F.get_json_object(json_text.first_object(wrapped), "$.k").alias("k"))
+
+
+@query("SELECT event_id, true AS success, CAST(CAST(json_extract(props, '$.k') AS DOUBLE) AS DOUBLE) AS latitude, '' AS country FROM events")
+def chat_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result lines of a chat-style provider."""
+    content = F.regexp_replace("props", '"k"', '"latitude"')
+    body = F.struct(F.lit(200).alias("status_code"), F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")).alias("body"))
+    lines = _t(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("event_id").cast("string").alias("custom_id"), body.alias("response"))).alias("value"))
+    return results.chat_results(lines).select(F.col("barcode").cast("long").alias("event_id"), "success", "latitude", "country")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS latitude, true AS success FROM events")
+def keyed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer lies somewhere in the payload."""
+    inner = F.concat(F.lit("{\"thought\":true},{\"text\":"), F.to_json(F.struct(F.regexp_replace("props", '"k"', '"latitude"').alias("t"))).substr(6, 1_000_000))
+    line = F.concat(F.lit('{"key":"'), "event_id", F.lit('","response":{"candidates":[{"content":{"parts":['), inner, F.lit("]}}]}}"))
+    return results.keyed_results(_t(spark, sf_dir, "events").select(line.alias("value"))).select(F.col("barcode").cast("long").alias("event_id"), "latitude", "success")
+
+
+@query("SELECT conv_id, turn, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS plain FROM conversations")
+def fence_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X10."""
+    fenced = F.concat(F.lit("```json\n"), "text", F.lit("\n```"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", json_text.strip_fences(fenced).alias("plain"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS input_tokens, CAST(event_id % 7 AS BIGINT) AS output_tokens, CAST(json_extract(props, '$.k') AS BIGINT) + event_id % 7 AS total_tokens, 'claude' AS token_source FROM events")
+def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X17."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    payload = F.to_json(F.struct(F.struct(k.alias("input_tokens"), (F.col("event_id") % 7).alias("output_tokens")).alias("usage")))
+    return _t(spark, sf_dir, "events").select("event_id", json_text.token_usage(payload).alias("u")).select("event_id", "u.input_tokens", "u.output_tokens", "u.total_tokens", "u.token_source")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'quota' ELSE 'finishReason=STOP' END AS message FROM events")
+def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X15."""
+    n = F.col("event_id") % 3
+    payload = F.when(n == 0, F.to_json(F.struct(F.struct(F.col("event_type").alias("message")).alias("error")))).when(n == 1, F.lit('{"error":"quota"}')).otherwise(F.lit('{"response":{"candidates":[{"finishReason":"STOP"}]}}'))
+    return _t(spark, sf_dir, "events").select("event_id", json_text.error_message(payload).alias("message"))
+
+
+_NOTES = "CASE event_id % 5 WHEN 0 THEN 'Batch Processing Failed: x' WHEN 1 THEN 'ok | Error: y' WHEN 2 THEN NULL ELSE event_type END AS notes, CASE WHEN event_id % 11 = 0 THEN 'failed' ELSE event_type END AS source"
+_FAILED = "coalesce(lower(notes) LIKE '%processing failed%' OR lower(notes) LIKE '%response parsing failed%' OR lower(notes) LIKE '%| error:%', false) OR source = 'failed'"
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER ({_FAILED}) AS failed, count(*) FILTER (NOT ({_FAILED})) AS successful FROM (SELECT {_NOTES} FROM events)")
+def failed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7, A7, A9."""
+    n = F.col("event_id") % 5
+    notes = F.when(n == 0, F.lit("Batch Processing Failed: x")).when(n == 1, F.lit("ok | Error: y")).when(n > 2, F.col("event_type"))
+    rows = _t(spark, sf_dir, "events").select(notes.alias("Processing_Notes"), F.when(F.col("event_id") % 11 == 0, F.lit("failed")).otherwise(F.col("event_type")).alias("Coordinate_Source"))
+    return results.processing_counts(rows)
+
+
+@query("""SELECT s_suppkey, CASE WHEN lower(name) LIKE '%gpt-5%' THEN 4000 ELSE 1000 END AS max_tokens, CASE WHEN lower(name) LIKE '%gpt-5%' THEN 'minimal' WHEN lower(name) LIKE '%pro%' THEN 'low' END AS effort
+  FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'GPT-5-mini' WHEN 1 THEN 'gemini-pro' ELSE s_name END AS name FROM supplier)""")
+def request_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P17."""
+    n = F.col("s_suppkey") % 3
+    name = F.when(n == 0, F.lit("GPT-5-mini")).when(n == 1, F.lit("gemini-pro")).otherwise(F.col("s_name"))
+    return _t(spark, sf_dir, "supplier").select("s_suppkey", results.request_parameters(name).alias("p")).select("s_suppkey", "p.max_tokens", "p.effort")
+
+
+# --- cost ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 0 THEN length(text) // 4 ELSE 100 END + 100 AS tokens FROM conversations")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X18."""
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", text.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+_MODELS = "m AS (SELECT s_suppkey AS k, CASE s_nationkey % 5 WHEN 0 THEN 'openrouter_x' WHEN 1 THEN 'Claude cached' WHEN 2 THEN 'gpt' WHEN 3 THEN 'gemini' ELSE 'qwen' END || s_suppkey AS name, s_nationkey / 10.0 AS pin, s_nationkey / 2.0 AS pout, s_suppkey % 9 * 50 AS rpm FROM supplier)"
+
+
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("s_nationkey") % 5
+    kind = F.when(n == 0, F.lit("openrouter_x")).when(n == 1, F.lit("Claude cached")).when(n == 2, F.lit("gpt")).when(n == 3, F.lit("gemini")).otherwise(F.lit("qwen"))
+    return _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(kind, F.col("s_suppkey")).alias("name"), (F.col("s_nationkey") / 10.0).alias("input_cost_per_million"), (F.col("s_nationkey") / 2.0).alias("output_cost_per_million"), (F.col("s_suppkey") % 9 * 50).alias("requests_per_minute"))
+
+
+_COST = """c AS (SELECT *, k * 200 / 1000000.0 * pin AS i, k * 100 / 1000000.0 * pout AS o FROM m),
+d AS (SELECT *, i * 0.9 AS save, i - i * 0.9 + o AS paid FROM c)"""
+
+
+@query(f"WITH {_MODELS}, {_COST} SELECT k, round(i + o, 9) AS base_cost, round(save, 9) AS cache_savings, round(paid * 0.5, 9) AS batch_discount, round(paid - paid * 0.5, 9) AS estimated_cost, round(CASE WHEN i + o > 0 THEN (save + paid * 0.5) / (i + o) * 100 ELSE 0 END, 6) AS savings_percentage FROM d")
+def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X19."""
+    out = cost.estimate(_models(spark, sf_dir), F.col("k"), F.col("input_cost_per_million"), F.col("output_cost_per_million"), batch=True)
+    return out.select("k", *[F.round(c, 9).alias(c) for c in ("base_cost", "cache_savings", "batch_discount", "estimated_cost")], F.round("savings_percentage", 6).alias("savings_percentage"))
+
+
+_RANK = "r AS (SELECT k, name, 1000 * 200 / 1000000.0 * pin * CASE WHEN lower(name) LIKE '%cached%' THEN 0.1 ELSE 1 END + 1000 * 100 / 1000000.0 * pout AS cost, round(1000.0 / CASE WHEN rpm = 0 THEN 50 ELSE rpm END, 1) AS minutes FROM m)"
+
+
+@query(f"WITH {_MODELS}, {_RANK} SELECT k, name, round(cost, 9) AS cost, minutes FROM r")
+def cost_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X20, X21, O4."""
+    return cost.compare_models(_models(spark, sf_dir), 1000).select("k", "name", F.round("estimated_cost", 9).alias("cost"), F.col("estimated_minutes").alias("minutes"))
+
+
+@query(f"WITH {_MODELS}, {_RANK} SELECT (SELECT name FROM r ORDER BY round(cost, 12), name LIMIT 1) AS cheapest, (SELECT name FROM r ORDER BY minutes, name LIMIT 1) AS fastest")
+def cheapest_fastest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14."""
+    return cost.cheapest_and_fastest(cost.compare_models(_models(spark, sf_dir), 1000).withColumn("estimated_cost", F.round("estimated_cost", 12)))
+
+
+@query(f"WITH {_MODELS} SELECT k, CASE WHEN lower(name) LIKE '%openrouter%' THEN 'OpenRouter' WHEN lower(name) LIKE '%claude%' THEN 'Anthropic' WHEN lower(name) LIKE '%gpt%' OR lower(name) LIKE '%o1%' OR lower(name) LIKE '%o4%' THEN 'OpenAI' WHEN lower(name) LIKE '%gemini%' THEN 'Google' WHEN lower(name) LIKE '%qwen%' THEN 'Local (Ollama)' ELSE 'Unknown' END AS vendor, lower(name) LIKE '%qwen%' AS local FROM m")
+def vendor_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X21, F9."""
+    return _models(spark, sf_dir).select("k", cost.vendor(F.col("name")).alias("vendor"), cost.is_local(F.col("name")).alias("local"))
+
+
+@query(f"WITH {_MODELS}, b AS (SELECT *, (k + 9) // 10 AS n FROM m) SELECT k, n AS num_batches, round(n * 2600 / 1000.0 * pin + n * 1300 / 1000.0 * pout, 9) AS total_cost, coalesce(round((n * 2600 / 1000.0 * pin + n * 1300 / 1000.0 * pout) / nullif(k, 0), 9), 0) AS cost_per_record FROM b")
+def batch_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X22."""
+    out = cost.batch_cost(_models(spark, sf_dir), F.col("k"), F.lit(10), F.col("input_cost_per_million"), F.col("output_cost_per_million"), F.lit(50))
+    return out.select("k", "num_batches", F.round("total_cost", 9).alias("total_cost"), F.round("cost_per_record", 9).alias("cost_per_record"))
+
+
+@query("SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
+def catalogue_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6."""
+    left = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("name"))
+    return cost.with_catalogue(left, _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("name"), "n_name")).select("s_suppkey", "n_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def installed_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7."""
+    return cost.installed_only(_t(spark, sf_dir, "customer").withColumn("model_id", F.col("c_nationkey")), _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("model_id"))).select("c_custkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier)")
+def dynamic_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8."""
+    return cost.not_in_catalogue(_t(spark, sf_dir, "part").withColumn("model_id", F.col("p_partkey")), _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("model_id"))).select("p_partkey")
+
+
+# --- profiles and jobs ---------------------------------------------------------------------------------------------
+
+_SOURCES = "CASE event_id % 7 WHEN 0 THEN 'coordinates_provided' WHEN 1 THEN 'estimated' WHEN 2 THEN 'coordinates_extracted' WHEN 3 THEN NULL ELSE event_type END"
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id") % 7
+    value = F.when(n == 0, F.lit("coordinates_provided")).when(n == 1, F.lit("estimated")).when(n == 2, F.lit("coordinates_extracted")).when(n > 3, F.col("event_type"))
+    level = F.when(n == 0, F.lit("high")).when(n == 1, F.lit("low")).when(n > 3, F.col("event_type"))
+    return _t(spark, sf_dir, "events").select(value.alias("Coordinate_Source"), level.alias("Confidence"), "event_type")
+
+
+def _buckets(names: tuple[str, ...], value: str) -> str:
+    rows = ", ".join(f"({i}, '{n}')" for i, n in enumerate(names))
+    inside = ", ".join(f"'{n}'" for n in names)
+    fallback = "no_coordinates" if "no_coordinates" in names else "unknown"
+    return f"""WITH e AS (SELECT CASE WHEN v IN ({inside}) THEN v ELSE '{fallback}' END AS value FROM (SELECT {value} AS v FROM events))
+SELECT position, b.value, count(e.value) AS n, round(count(e.value) * 100.0 / (SELECT count(*) FROM e), 1) AS percent FROM (VALUES {rows}) b(position, value) LEFT JOIN e USING (value) GROUP BY ALL"""
+
+
+@query(_buckets(S.COORDINATE_SOURCES, _SOURCES))
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5."""
+    return profile.source_counts(_sources(spark, sf_dir))
+
+
+@query(_buckets(S.CONFIDENCES, "CASE event_id % 7 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE event_type END"))
+def confidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5."""
+    return profile.confidence_counts(_sources(spark, sf_dir))
+
+
+@query("SELECT event_type AS value, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM events), 1) AS percent FROM events GROUP BY event_type")
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6."""
+    return profile.value_counts(_sources(spark, sf_dir), "event_type")
+
+
+@query("""SELECT count(*) AS total_records, 3 AS field_count, true AS has_locality, false AS has_coordinates,
+  (SELECT CAST(floor(avg(length(text))) AS INTEGER) FROM (SELECT text FROM conversations ORDER BY conv_id, turn LIMIT 100)) AS avg_locality_length,
+  round(sum(length(text) + length(role) + length(CAST(conv_id AS VARCHAR))) / 1048576.0, 6) AS estimated_size_mb FROM conversations""")
+def profile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The average is over the first hundred rows by definition."""
+    rows = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias(S.ROW), F.col("conv_id").alias("Barcode"), F.col("text").alias("locality"), F.col("role").alias("Country"))
+    return profile.statistics(rows).select("total_records", "field_count", "has_locality", "has_coordinates", "avg_locality_length", F.round("estimated_size_mb", 6).alias("estimated_size_mb"))
+
+
+_BATCHES = "b AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS k, o_orderstatus, o_custkey FROM orders)"
+
+
+@query(f"WITH {_BATCHES} SELECT o_orderkey, CAST(k + 1 AS INTEGER) AS batch_number, k * 500 + 1 AS start_record, least((k + 1) * 500, (SELECT count(*) FROM orders)) AS end_record FROM b")
+def staggered_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W4."""
+    return jobs.sub_batches(_t(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 500)
+
+
+@query("""SELECT count(*) FILTER (o_orderstatus = 'F') AS completed, count(*) FILTER (o_orderstatus NOT IN ('F', 'P')) AS pending, count(*) FILTER (o_orderstatus = 'P') AS failed,
+  CAST(sum(o_custkey) AS BIGINT) AS total_records, CAST(coalesce(sum(o_custkey) FILTER (o_orderstatus = 'F'), 0) AS BIGINT) AS total_succeeded, CAST(coalesce(sum(o_orderkey) FILTER (o_orderstatus = 'F'), 0) AS BIGINT) AS total_failed FROM orders""")
+def staggered_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10, A11."""
+    state = F.when(F.col("o_orderstatus") == "F", F.lit("Completed")).when(F.col("o_orderstatus") == "P", F.lit("error")).otherwise(F.lit("running"))
+    return jobs.roll_up(_t(spark, sf_dir, "orders").select(state.alias("status"), F.col("o_custkey").alias("succeeded"), F.col("o_orderkey").alias("failed"), F.col("o_custkey").alias("record_count")))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS batch_id, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) LIMIT 10")
+def jobs_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2: a top-k report."""
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("batch_id"), F.col("o_orderdate").alias("submitted_at"))
+    return jobs.latest(rows).select("batch_id", F.date_format("submitted_at", "yyyy-MM-dd").alias("day"))
+
+
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'cancelled' WHEN 3 THEN 'expired' WHEN 4 THEN 'running' WHEN 5 THEN 'pending' ELSE 'unknown' END AS status,
+  event_id % 7 = 0 AS complete FROM events""")
+def status_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X24, F11, F8."""
+    names = F.array(*[F.lit(x) for x in ("JOB_STATE_SUCCEEDED", "BATCH_STATE_FAILED", "JOB_STATE_CANCELLED", "job_state_expired", "RUNNING", "pending", "else")])
+    state = jobs.status(F.get(names, (F.col("event_id") % 7).cast("int")))
+    return _t(spark, sf_dir, "events").select("event_id", state.alias("status"), jobs.is_complete(state, F.lit(0), F.lit(0)).alias("complete"))
+
+
+@query("SELECT p_partkey AS k, 'part' AS kind FROM part UNION ALL SELECT s_suppkey, NULL FROM supplier")
+def combine_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with different columns as one."""
+    return jobs.combine([_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.lit("part").alias("kind")), _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))])
+
+
+# --- files and calls -----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || CAST(CAST(c_custkey % 340 - 170 AS DOUBLE) AS VARCHAR) || ',' || CAST(CAST(c_custkey % 160 - 80 AS DOUBLE) AS VARCHAR) || ']},"properties":{"Barcode":"' || c_custkey || '"}}' AS feature FROM customer""")
+def geojson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5."""
+    return writers.geojson_features(_primary(spark, sf_dir)).select("feature")
+
+
+@query("""SELECT s_suppkey, '{"custom_id":"' || s_suppkey || '","method":"POST","url":"/v1/chat/completions","body":{"model":"m","messages":[{"role":"user","content":"' || s_name || '"}],"max_completion_tokens":1000}}' AS line FROM supplier""")
+def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7, K9."""
+    return _t(spark, sf_dir, "supplier").select("s_suppkey", writers.chat_request(F.col("s_suppkey").cast("string"), F.lit("m"), F.col("s_name"), F.lit(1000)).alias("line"))
+
+
+@query(f"""WITH {SPEC_SQL} SELECT 'pb_' || substr(sha1(key), 1, 24) AS request_id, count(*) AS records FROM need GROUP BY key""")
+def request_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q20, Q21: one request per place, its id unique by construction."""
+    places = prep.deduplicate(prep.filter_records(spec(spark, sf_dir)))
+    return places.select(F.concat(F.lit("pb_"), F.substring(F.sha1(S.DEDUP_KEY), 1, 24)).alias("request_id"), F.col(S.OCCURRENCE_COUNT).alias("records"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS request_id, 1 AS attempts, true AS answered FROM customer")
+def call_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The call stage with a provider that needs no network."""
+    requests = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("request_id"), F.col("c_name").alias("prompt"))
+    return call_stage(requests, StubProvider()).select("request_id", "attempts", json_text.first_object(F.col("response")).isNotNull().alias("answered"))

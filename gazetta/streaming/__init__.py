@@ -1 +1 @@
-""""""
+"""Model calls, provider batches and streams."""
