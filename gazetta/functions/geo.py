@@ -20,6 +20,11 @@ GRID_PATTERNS = (
 )
 #: Letters of the National Grid: no I.
 GRID_LETTERS = "ABCDEFGHJKLMNOPQRSTUVWXYZ"
+#: The squares of the National Grid that hold land.
+GRID_SQUARES = (
+    "HP HT HU HW HX HY HZ NA NB NC ND NF NG NH NJ NK NL NM NN NO NR NS NT NU NW NX NY NZ OV SC SD SE SH SJ SK SM SN SO SP SR SS ST SU SV SW SX SY SZ "
+    "TA TF TG TL TM TQ TR TV"
+).split()
 #: Airy 1830 and the National Grid's true origin; the constant shift towards WGS84 (degrees).
 AIRY_A, AIRY_B, SCALE = 6377563.396, 6356256.909, 0.9996012717
 ORIGIN_LAT, ORIGIN_LON, ORIGIN_N, ORIGIN_E = math.radians(49), math.radians(-2), -100000.0, 400000.0
@@ -45,7 +50,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in km."""
     half_lat, half_lon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.pow(F.sin(half_lat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_lon), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))  # null stays null
 
 
 def category(km: Column) -> Column:
@@ -73,8 +78,7 @@ def grid_parts(ref: Column) -> Column:
     a, b = _letter(clean, 1), _letter(clean, 2)
     east = ((a - 2) % 5) * 5 + b % 5
     north = 19 - F.floor(a / 5) * 5 - F.floor(b / 5)
-    # squares of the grid proper: 7 columns, 13 rows
-    ok = clean.rlike("^[A-HJ-Z]{2}[0-9]{4,10}$") & (F.length(digits) % 2 == 0) & (a % 5 >= 2) & east.between(0, 6) & north.between(0, 12)
+    ok = clean.rlike("^[A-Z]{2}[0-9]{4,10}$") & (F.length(digits) % 2 == 0) & F.substring(clean, 1, 2).isin(*GRID_SQUARES)
     easting = east * 100000 + F.substring(digits, F.lit(1), half).try_cast("double") * size + size / 2
     northing = north * 100000 + F.substring(digits, half + 1, half).try_cast("double") * size + size / 2
     return F.when(ok, F.struct(easting.cast("double").alias("easting"), northing.cast("double").alias("northing"), (size * math.sqrt(2) / 2).alias("radius")))
