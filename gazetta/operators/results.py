@@ -11,15 +11,12 @@ from ..functions.text import ref, safe_id
 from .resolve import with_row
 
 
-def _object(text: Column, rescan: bool) -> Column:
-    found = first_object(text)
-    return F.coalesce(found, F.when(F.instr(text, "{") > 0, rescan_objects(text))) if rescan else found
-
-
 def _outcome(df: DataFrame, key: Column, text: Column, error: Column, rescan: bool) -> DataFrame:
     """barcode, success, error, raw_response and the response fields; a line is never lost."""
     rows = df.select(key.alias("barcode"), text.alias("raw_response"), error.alias("error"))
-    rows = rows.withColumn("__found", F.when(F.col("error").isNull(), _object(F.col("raw_response"), rescan)))  # parsed once
+    rows = rows.withColumn("__found", F.when(F.col("error").isNull(), first_object(F.col("raw_response"))))  # parsed once
+    if rescan:  # only texts that hold a brace and gave nothing go to Python
+        rows = rows.withColumn("__found", F.coalesce("__found", rescan_objects(F.when(F.col("__found").isNull() & F.col("error").isNull() & F.contains("raw_response", F.lit("{")), F.col("raw_response")))))
     rows = rows.withColumn("__o", response_fields(F.col("__found")))
     ok = F.col("__o").isNotNull()
     why = F.when(~ok, F.coalesce(F.when(F.col("error") != "", F.col("error")), F.lit("No valid JSON found in response")))
@@ -45,10 +42,12 @@ def message_results(lines: DataFrame, rescan: bool = False) -> DataFrame:
 def keyed_results(lines: DataFrame) -> DataFrame:
     """Lines {key, response} of any depth: the first "text" string that holds an object wins."""
     v = F.col("value")
-    texts = F.filter(deep_texts(v), lambda t: first_object(t).isNotNull() | t.contains("{"))
-    text = F.coalesce(F.when(candidate_text(v) != "", candidate_text(v)), F.get(texts, F.lit(0)))
-    error = F.when(text.isNull(), F.coalesce(F.when(error_message(v) != "", error_message(v)), F.lit("empty response")))
-    return _outcome(lines.where(F.trim("value") != ""), F.get_json_object(v, "$.key"), text, error, True)
+    rows = lines.where(F.trim("value") != "").withColumn("__text", candidate_text(v))
+    rows = rows.withColumn("__deep", deep_texts(F.when(F.col("__text") == "", v)))  # only payloads of another shape go to Python
+    text = F.coalesce(F.when(F.col("__text") != "", F.col("__text")), F.get(F.filter("__deep", lambda t: t.contains("{")), F.lit(0)))
+    rows = rows.withColumn("__text", text)
+    error = F.when(F.col("__text").isNull(), F.coalesce(F.when(error_message(v) != "", error_message(v)), F.lit("empty response")))
+    return _outcome(rows, F.get_json_object(v, "$.key"), F.col("__text"), error, True)
 
 
 def inlined_results(payloads: DataFrame) -> DataFrame:
