@@ -100,3 +100,23 @@ def _split_fields(fields: str) -> list[str]:
             out.append(fields[at:i])
             at = i + 1
     return [*out, fields[at:]]
+
+
+#: Bits of the filter that `possible` broadcasts, whatever the number of keys: 131,072 rows of 64 bits.
+FILTER_BITS = 1 << 23
+
+
+def possible(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, flag: str = "__possible") -> DataFrame:
+    """Adds ``flag``: false only if ``key`` is surely not among ``keys``.
+
+    One hash per key in a bitmap of fixed size, so what is broadcast has a bound; a full bitmap only makes more rows
+    possible.  It spares rows that have no partner the way through a shuffle."""
+    words = keys.select(F.pmod(F.xxhash64(keys_key), F.lit(FILTER_BITS)).alias("b")).groupBy(F.shiftright("b", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("__bits"))
+    place = df.withColumn("__at", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).withColumn("__word", F.shiftright("__at", 6))
+    met = place.join(F.broadcast(words), "__word", "left")
+    return met.withColumn(flag, F.expr("coalesce(shiftrightunsigned(__bits, cast(__at % 64 as int)) & 1L, 0L) = 1L")).drop("__word", "__bits", "__at")
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """Keeps a join with df a sort-merge join at every size: its needs grow in proportion, and hot keys can be split."""
+    return df.hint("merge")

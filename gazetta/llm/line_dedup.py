@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, possible, shuffled
 
 WINDOW = 2
 DIVISOR = 3
@@ -54,18 +54,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(F.col("id").isNull().alias("none"), "id", F.col("__uid").alias("uid"), "start")
     counted = chunk.select("digest", place.alias("place")).groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
     repeated = materialise(counted.select("digest", "first"), "chunks")
-    found = chunk.withColumn("place", place).join(repeated, "digest").select("digest", "place", "n", "chunk", (F.col("place") == F.col("first")).alias("is_first"))
+    maybe = possible(chunk.withColumn("place", place), F.col("digest"), repeated, F.col("digest")).where("__possible")  # only these texts are sent
+    found = maybe.join(shuffled(repeated), "digest").select("digest", "place", "n", "chunk", (F.col("place") == F.col("first")).alias("is_first"))
     found = materialise(found, "occurrences")
     firsts = found.where("is_first").select("digest", F.col("chunk").alias("first_chunk"))
-    checked = found.where(~F.col("is_first")).join(firsts, "digest")
+    checked = found.where(~F.col("is_first")).join(shuffled(firsts), "digest")
     checked = materialise(checked.select("digest", "place", "n", (F.col("chunk") == F.col("first_chunk")).alias("same"), F.when(F.col("chunk") != F.col("first_chunk"), F.col("chunk")).alias("chunk")), "checked")
     drop = checked.where("same").select("place", "n")
     odd = checked.where(~F.col("same"))
     if not odd.isEmpty():  # same digest, other bytes: their own first stays
         own = odd.groupBy("digest", "chunk").agg(F.min("place").alias("first"))
         drop = drop.unionByName(odd.join(own, ["digest", "chunk"]).where(F.col("place") != F.col("first")).select("place", "n"))
-    gone = drop.groupBy(F.col("place.uid").alias("__uid")).agg(F.collect_list(F.struct(F.col("place.start").alias("start"), "n")).alias("__gone"))
-    out = rows.join(gone, "__uid", "left").withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split(F.col(f"`{text_col}`"), "\n", -1)))
+    gone = materialise(drop, "gone").groupBy(F.col("place.uid").alias("__uid")).agg(F.collect_list(F.struct(F.col("place.start").alias("start"), "n")).alias("__gone"))
+    halves = possible(rows, F.col("__uid"), gone, F.col("__uid"))
+    touched = halves.where("__possible").join(shuffled(gone), "__uid", "left")
+    untouched = halves.where("not __possible").withColumn("__gone", F.lit(None).cast(gone.schema["__gone"].dataType))
+    out = touched.unionByName(untouched).withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split(F.col(f"`{text_col}`"), "\n", -1)))
     gone_lines = F.flatten(F.transform("__gone", lambda g: F.sequence(g["start"], g["start"] + g["n"] - 1)))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone_lines), lambda i: F.get(F.col("__lines"), i))
     text = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
