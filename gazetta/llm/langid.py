@@ -16,7 +16,6 @@ empty table: no rows; further columns are ignored; repeated rows are each judged
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +35,6 @@ ORDERS = (3, 4)
 SHARE = 0.25
 LEAST = 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_LETTER = re.compile(r"[^\W\d_]")
 _letters: list[np.ndarray] = []
 
 
@@ -106,7 +104,7 @@ class LanguageFilters:
         right = np.clip((found - total[:, None] * self.false_positive) / (1 - self.false_positive), 0, None)
         best, sums = right.argmax(1), right.sum(1)
         score = np.where(sums > 0, right.max(1) / np.where(sums > 0, sums, 1), 1 / len(self.languages))
-        known = np.array([bool(_LETTER.search(t)) for t in whole], bool)
+        known = np.array([any(map(str.isalpha, t)) for t in whole], bool)
         return [self.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, np.minimum(score, 1.0), 0.0)
 
 
@@ -149,11 +147,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``keep`` (all by default), lang_pred and score."""
+    """The columns of ``keep`` (by default all but clashing ones), lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def judge(texts: list[str | None]) -> list[pa.Array]:
         langs, scores = shared.value.predict(texts)
         return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
-    return map_texts(docs, text_col, docs.columns if keep is None else keep, "lang_pred string, score double", judge)
+    return map_texts(docs, text_col, [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep, "lang_pred string, score double", judge)
