@@ -268,6 +268,8 @@ def test_html_extraction(spark):
     assert html_extract.main_text(PAGE) == want
     assert html_extract.main_text(PAGE[: PAGE.index("Two items") + 3]).endswith("One item\nTwo")
     assert html_extract.main_text(PAGE[: PAGE.index("Second") + 6] + "<p clas") == "A title\nFirst words.\nSecond"
+    assert html_extract.main_text('<article><p title="x>One two.</p><p>It\'s here.</p></article>') == "One two.\nIt's here."
+    assert html_extract.main_text("<article><p>Text.</p>" + "<a '" * 50_000).startswith("Text.")
     pages = [(1, "u", PAGE, "x"), (2, None, None, None), (3, "", "", ""), (1, "u", PAGE, "x"), (4, "v", "<article><p>" + "long words go on. " * 20_000 + "</article>", "")]
     table = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
     got = html_extract.extract(table, keep=["page_id", "url"]).collect()
