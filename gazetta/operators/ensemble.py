@@ -49,7 +49,8 @@ def first_per_key(df: DataFrame) -> DataFrame:
 
 def compare(primary: DataFrame, secondary: DataFrame, darwin_core: bool = True) -> DataFrame:
     """Every primary row with the produced columns of its first secondary match, category and distance (km, 3 places)."""
-    left = _keyed(primary, darwin_core).alias("p")
+    # rows without a key match nothing; keys of their own spread them over the tasks
+    left = _keyed(primary, darwin_core).withColumn("__key", F.coalesce("__key", F.concat(F.lit("\0"), F.col(S.ROW))))
     produced = [c for c in S.PRODUCED if c in secondary.columns]
     right = _keyed(secondary, darwin_core).select("__key", S.ROW, "__at", *[ref(c) for c in produced])
     right = first_per_key(right)

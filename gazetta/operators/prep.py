@@ -84,8 +84,10 @@ def expand(original: DataFrame, processed: DataFrame, protect_existing: bool = F
     left_resolved = resolve(left)
     right = resolve(with_row(processed.drop(S.ROW)))
     produced = [p for p in S.PRODUCED if p in processed.columns]
-    last = right.groupBy(dedup_key(F.col(LOC), F.col(CTRY)).alias("__key")).agg(F.max_by(F.struct(*[ref(p) for p in produced], F.lit(1).alias("__hit")), F.col(S.ROW)).alias("__new"))
-    joined = left_resolved.withColumn("__key", dedup_key(F.col(LOC), F.col(CTRY))).join(last, "__key", "left")
+    last = right.where(F.col(LOC) != "").groupBy(dedup_key(F.col(LOC), F.col(CTRY)).alias("__key")).agg(F.max_by(F.struct(*[ref(p) for p in produced], F.lit(1).alias("__hit")), F.col(S.ROW)).alias("__new"))
+    # rows without a locality match nothing; keys of their own spread them over the tasks
+    key = F.when(F.col(LOC) != "", dedup_key(F.col(LOC), F.col(CTRY))).otherwise(F.concat(F.lit("\0"), F.col(S.ROW)))
+    joined = left_resolved.withColumn("__key", key).join(last, "__key", "left")
     hit = F.col("__new").isNotNull()
     keep = hit & ~(valid(F.col(LAT), F.col(LON)) & F.lit(protect_existing))
     out = []
