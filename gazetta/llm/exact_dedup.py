@@ -20,12 +20,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path
+from .common import materialise, new_path, possible, shuffled
 
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no disk set aside
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
@@ -92,11 +93,13 @@ def exact_dedup(spark: SparkSession, path: str, state_dir: str | None = None, id
     state_dir = state_dir or new_path(spark, "dedup-state")
     groups = update_state(spark, path, state_dir, id_col, text_col, digest, max_bytes_per_trigger)
     rows = _rows(spark.read.parquet(path), id_col, text_col, digest)
-    joined = rows.join(groups, "digest").select("digest", "place", "first", "n", (F.col("place") == F.col("first")).alias("kept"), F.when(F.col("n") > 1, F.col("norm")).alias("norm"))
+    repeated = groups.where(F.col("n") > 1)
+    rows = possible(rows, F.col("digest"), repeated, F.col("digest")).withColumn("norm", F.when(F.col("__possible"), F.col("norm")))  # only these texts are sent
+    joined = rows.join(shuffled(groups), "digest").select("digest", "place", "first", "n", (F.col("place") == F.col("first")).alias("kept"), F.when(F.col("n") > 1, F.col("norm")).alias("norm"))
     joined = materialise(joined, "members")  # texts only of rows in groups
     hits = joined.where((F.col("n") > 1) & ~F.col("kept"))
     stays = joined.where((F.col("n") > 1) & F.col("kept")).select("digest", F.col("norm").alias("stays_norm"))
-    checked = hits.join(stays, "digest").withColumn("same", F.col("norm") == F.col("stays_norm"))
+    checked = hits.join(shuffled(stays), "digest").withColumn("same", F.col("norm") == F.col("stays_norm"))
     checked = materialise(checked.select("digest", "place", "first", "n", "kept", "same", F.when(~F.col("same"), F.col("norm")).alias("norm")), "checked")
     alone = joined.where((F.col("n") == 1) | F.col("kept")).select("digest", "place", "first", "n")
     good = alone.unionByName(checked.where("same").select("digest", "place", "first", "n"))
