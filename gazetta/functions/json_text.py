@@ -22,13 +22,13 @@ def strip_fences(text: Column) -> Column:
     return pytrim(F.regexp_replace(F.regexp_replace(text, r"\A```[^\n]*\n?", ""), r"\n?```\z", ""))
 
 
-def first_object(text: Column) -> Column:
+def first_object(text: Column, stripped: bool = False) -> Column:
     """JSON text of the first object in a text that may have prose around it, or null.
 
     Parsing starts at the first brace and stops at the object's end, so strings with braces and text after the object
     do no harm.  A text that is a JSON array as a whole has none.  Where a brace in prose comes first, see
-    :func:`rescan_objects`."""
-    text = strip_fences(text)
+    :func:`rescan_objects`.  ``stripped``: the text is a column without fences already, which spares repeated work."""
+    text = text if stripped else strip_fences(text)
     at = F.instr(text, "{")
     found = F.try_parse_json(F.substring(text, at, F.length(text)))
     array = text.startswith("[") & F.try_parse_json(text).isNotNull()
@@ -130,14 +130,19 @@ def token_usage(payload: Column) -> Column:
     return F.when(there("$.usage.input_tokens"), messages).when(there("$.usage.prompt_tokens"), chat).when(there("$.usageMetadata"), keyed).otherwise(none)
 
 
-def response_fields(found: Column) -> Column:
-    """struct of the response fields of a JSON object text: required ones default to empty, numbers that do not parse to null."""
+def object_map(found: Column) -> Column:
+    """The fields of a JSON object text, parsed once; make it a column before its fields are used."""
+    return F.from_json(found, "map<string,string>")
+
+
+def response_fields(fields_of: Column) -> Column:
+    """struct of the response fields in an object map: required ones default to empty, numbers that do not parse to null."""
     fields = []
     for f in RESPONSE:
-        raw = F.get_json_object(found, f"$.{f.name}")
+        raw = fields_of[f.name]
         if f.name in _NUMERIC:
             raw = number(raw)
         elif f.name in ("country", "state", "region", "sector", "exact_site"):
             raw = F.coalesce(raw, F.lit(""))
         fields.append(raw.alias(f.name))
-    return F.when(found.isNotNull(), F.struct(*fields))
+    return F.when(fields_of.isNotNull(), F.struct(*fields))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: The white space that str.split() knows, as a Java character class.
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
+#: The same characters one by one.
+SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def ref(name: str) -> Column:
@@ -18,7 +20,7 @@ def ref(name: str) -> Column:
 
 def pytrim(c: Column) -> Column:
     """Trim as Python's str.strip() does."""
-    return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def nonblank(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.json_text import candidate_text, deep_texts, error_message, first_object, rescan_objects, response_fields
+from ..functions.json_text import candidate_text, deep_texts, error_message, first_object, object_map, rescan_objects, response_fields, strip_fences
 from ..functions.text import ref, safe_id
 from .resolve import with_row
 
@@ -14,10 +14,11 @@ from .resolve import with_row
 def _outcome(df: DataFrame, key: Column, text: Column, error: Column, rescan: bool) -> DataFrame:
     """barcode, success, error, raw_response and the response fields; a line is never lost."""
     rows = df.select(key.alias("barcode"), text.alias("raw_response"), error.alias("error"))
-    rows = rows.withColumn("__found", F.when(F.col("error").isNull(), first_object(F.col("raw_response"))))  # parsed once
+    rows = rows.withColumn("__plain", strip_fences(F.when(F.col("error").isNull(), F.col("raw_response"))))
+    rows = rows.withColumn("__found", first_object(F.col("__plain"), stripped=True))  # parsed once
     if rescan:  # only texts that hold a brace and gave nothing go to Python
         rows = rows.withColumn("__found", F.coalesce("__found", rescan_objects(F.when(F.col("__found").isNull() & F.col("error").isNull() & F.contains("raw_response", F.lit("{")), F.col("raw_response")))))
-    rows = rows.withColumn("__o", response_fields(F.col("__found")))
+    rows = rows.withColumn("__fields", object_map(F.col("__found"))).withColumn("__o", response_fields(F.col("__fields")))
     ok = F.col("__o").isNotNull()
     why = F.when(~ok, F.coalesce(F.when(F.col("error") != "", F.col("error")), F.lit("No valid JSON found in response")))
     return rows.select("barcode", ok.alias("success"), why.alias("error"), "raw_response", *[F.col(f"__o.{f.name}").alias(f.name) for f in S.RESPONSE])

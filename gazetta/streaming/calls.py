@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.json_text import first_object, rescan_objects, response_fields, token_usage
+from ..functions.json_text import first_object, object_map, rescan_objects, response_fields, token_usage
 from ..operators.coords import preprocess, prompt, prompt_context
 from ..operators.prep import deduplicate, expand, filter_records
 from ..operators.resolve import CTRY, LOC, prompt_locality
@@ -117,7 +117,7 @@ def answered(requests: DataFrame, ledger: DataFrame) -> DataFrame:
     """Requests with the produced columns of their answers."""
     joined = requests.join(ledger, "request_id", "left")
     found = F.coalesce(first_object(F.col("response")), F.when(F.instr("response", "{") > 0, rescan_objects(F.col("response"))))
-    rows = joined.withColumn("__found", F.when(F.col("error").isNull(), found)).withColumn("__o", response_fields(F.col("__found"))).drop("__found")
+    rows = joined.withColumn("__found", F.when(F.col("error").isNull(), found)).withColumn("__fields", object_map(F.col("__found"))).withColumn("__o", response_fields(F.col("__fields"))).drop("__found", "__fields")
     rows = rows.withColumn("success", F.col("__o").isNotNull()).withColumn("error", F.coalesce("error", F.when(F.col("__o").isNull(), F.lit("No valid JSON found in response"))))
     own = [c for c in requests.columns if c not in S.PRODUCED and not c.startswith("pre_")]
     rows = rows.select("*", *[F.col(f"__o.{f.name}").alias(f.name) for f in S.RESPONSE if f.name not in requests.columns])
