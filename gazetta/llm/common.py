@@ -120,3 +120,15 @@ def possible(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, flag
 def shuffled(df: DataFrame) -> DataFrame:
     """Keeps a join with df a sort-merge join at every size: its needs grow in proportion, and hot keys can be split."""
     return df.hint("merge")
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Adds a row number that is the same whenever df is read again.
+
+    It counts within the parts of the scan, and how files are cut into parts depends on the cores that are there; so
+    the least number of parts is fixed for the session before the first reading."""
+    key = "spark.sql.files.minPartitionNum"
+    spark = df.sparkSession
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
+    return df.withColumn(name, F.monotonically_increasing_id())

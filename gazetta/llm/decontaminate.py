@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise
+from .common import map_texts, materialise, numbered
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -131,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
         return map_texts(docs, text_col, [id_col, *extra], _FIELDS, judge)
 
-    numbered = docs.withColumn("__uid", F.monotonically_increasing_id())
+    rows = numbered(docs, "__uid")
     hits = None
     for k in range(blocks):
         shared = context.broadcast(block(k))
@@ -140,11 +140,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
             found = [find(words_of(text), shared.value) for text in texts]
             return [pa.array([[{"start": a, "end": b} for a, b in united(spans)] for spans, _ in found], _SPANS), pa.array([list(items) for _, items in found], pa.list_(pa.string()))]
 
-        one = map_texts(numbered, text_col, ["__uid"], "spans array<struct<start:int,end:int>>, owners array<string>", part).where(F.size("spans") > 0)
+        one = map_texts(rows, text_col, ["__uid"], "spans array<struct<start:int,end:int>>, owners array<string>", part).where(F.size("spans") > 0)
         one = materialise(one, "hits")
         hits = one if hits is None else hits.unionByName(one)
     hits = hits.groupBy("__uid").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_list("owners"))).alias("__owners"))
-    joined = numbered.join(hits, "__uid", "left").withColumn("__all", F.struct(F.col(text_col).alias("text"), "__spans", "__owners"))
+    joined = rows.join(hits, "__uid", "left").withColumn("__all", F.struct(F.col(text_col).alias("text"), "__spans", "__owners"))
 
     def merge(rows: list[dict]) -> list[pa.Array]:
         return _results([(len(words_of(r["text"])), [(s["start"], s["end"]) for s in r["__spans"] or []], set(r["__owners"] or [])) for r in rows])

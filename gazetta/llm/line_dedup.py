@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, possible, shuffled
+from .common import materialise, numbered, possible, shuffled
 
 WINDOW = 2
 DIVISOR = 3
@@ -47,7 +47,7 @@ def _with_chunks(df: DataFrame, window: int, divisor: int) -> DataFrame:
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
     """All columns of docs with the text deduplicated, and lines_removed (long), chunks_removed (long)."""
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id())
+    rows = numbered(docs, "__uid")
     lined = rows.select("__uid", F.col(f"`{id_col}`").alias("id"), F.split(F.col(f"`{text_col}`"), "\n", -1).alias("lines")).where(F.size("lines") > 1)
     chunk = _with_chunks(lined, window, divisor).select("__uid", "id", F.inline("chunks"))
     chunk = chunk.where(F.col("chunk").rlike(r"\S")).withColumn("digest", F.sha2(F.col("chunk").cast("binary"), 256))
