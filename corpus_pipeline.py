@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetta.llm import decontaminate, langid, line_dedup, near_dedup, packing
-from gazetta.llm.common import materialise
+from gazetta.llm.common import materialise, numbered
 
 #: A document whose best language has less than this part of all corrected counts has no language that stands out.
 LEAST_SCORE = 0.35
@@ -47,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class of near duplicates stays, the one with the smallest id."""
     masked, names, back = _masked(docs)
     stays = near_dedup.near_duplicates(masked, names["doc_id"], names["text"]).where("stays").select("uid")
-    return masked.withColumn("uid", F.monotonically_increasing_id()).join(stays, "uid", "left_semi").select(*back)
+    return numbered(masked, "uid").join(stays, "uid", "left_semi").select(*back)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
