@@ -62,3 +62,50 @@ def test_command_line(spark, tmp_path, capsys):
     assert "'groups': 1" in capsys.readouterr().out
     assert cli.main(["datasets", str(tmp_path)]) == 0
     assert json.dumps(sorted(cli.parser().parse_args(["expand", "a", "b"]).__dict__)) and "in.csv" in capsys.readouterr().out
+
+
+def test_small_helpers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gazetta.functions import text
+    from gazetta.operators import cost, results
+    from gazetta.sources import readers
+
+    names = spark.createDataFrame([("../a b/.hidden?.csv",), ("C:\\x\\y.tsv",)], "n string")
+    assert [r[0] for r in names.select(text.safe_filename(F.col("n"))).collect()] == ["hidden_.csv", "y.tsv"]
+    assert names.limit(1).select(text.model_slug(F.lit("GPT 5.mini_É"))).first()[0] == "gpt5mini_é"
+    assert results.fetched_rate(names, 4).first().rate == 0.5 and results.fetched_rate(names, 0).first().rate == 0
+    flags = spark.createDataFrame([(True, True, None), (True, None, "long enough key"), (False, True, "short"), (False, None, "long enough key")], "l boolean, i boolean, k string")
+    assert [r[0] for r in flags.select(cost.ready(F.col("l"), F.col("i"), F.col("k"))).collect()] == [True, False, False, True]
+    (tmp_path / "p.tsv").write_text("Barcode\tLatitude\tNote\n1\t2.5\t\n2\tx\ty\n")
+    got = [(r["Latitude"], r["Note"]) for r in readers.read_progress(spark, str(tmp_path / "p.tsv")).orderBy("_row").collect()]
+    assert got == [(2.5, None), (None, "y")]
+
+
+def test_local_model(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self._say({"models": [{"name": "m1"}]})
+
+        def do_POST(self):
+            self._say({"message": {"content": "{}"}})
+
+        def _say(self, body):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}"
+        assert local_models.installed(url) == ["m1"] and local_models.LocalModel("m1", url).call("x") == "{}"
+        assert local_models.installed_table(spark, ["m1"]).count() == 1
+    finally:
+        server.shutdown()
