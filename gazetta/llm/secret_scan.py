@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path
+from .common import materialise, new_path, shuffled
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ def scan(versions: DataFrame, ledger: str, ids: list[str], text_col: str = "text
     found = materialise(read_ledger(spark, ledger), "findings") if known else spark.read.schema(_LEDGER).parquet(ledger)
     current = F.array(*[F.lit(r.kind) for r in rules])
     found = found.select("blob", F.filter("findings", lambda f: F.array_contains(current, f["kind"])).alias("findings"))
-    out = rows.drop("text").join(found, "blob")
+    out = rows.drop("text").join(shuffled(found), "blob")
     return out.select(*[F.col(f"__{c}").alias(c) for c in ids], "blob", "findings")
 
 
