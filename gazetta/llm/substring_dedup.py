@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise
+from .common import map_texts, materialise, numbered, possible, shuffled
 from .decontaminate import words_of
 
 SENTENCES = 2
@@ -73,7 +73,7 @@ def spans_of(sentences: list[tuple[int, int, bytes, int]], least: int = SENTENCE
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, words: int = WORDS, longest: int = LONGEST) -> DataFrame:
     """All columns of docs with the text deduplicated, and n_sentences, n_removed (long), removed_spans (characters of the old text)."""
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id()).withColumn("__none", F.col(f"`{id_col}`").isNull())
+    rows = numbered(docs, "__uid").withColumn("__none", F.col(f"`{id_col}`").isNull())
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,9 +91,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.struct("none", "id", "uid", "start")
     repeated = found.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(place).alias("first")).where(F.col("copies") > 1)
     repeated = materialise(repeated.select("h1", "h2", F.col("first.uid").alias("first_uid"), F.col("first.start").alias("first_start")), "repeated")
-    later = found.join(repeated, ["h1", "h2"]).where((F.col("uid") != F.col("first_uid")) | (F.col("start") != F.col("first_start")))
-    gone = later.groupBy(F.col("uid").alias("__uid")).agg(F.collect_list(F.struct("start", "stop")).alias("__gone"))
-    both = rows.join(gone, "__uid", "left").withColumn("__both", F.struct(F.col(f"`{text_col}`").alias("text"), F.col("__gone").alias("gone")))
+    later = found.join(shuffled(repeated), ["h1", "h2"]).where((F.col("uid") != F.col("first_uid")) | (F.col("start") != F.col("first_start")))
+    gone = materialise(later.select("uid", "start", "stop"), "gone").groupBy(F.col("uid").alias("__uid")).agg(F.collect_list(F.struct("start", "stop")).alias("__gone"))
+    halves = possible(rows, F.col("__uid"), gone, F.col("__uid"))
+    touched = halves.where("__possible").join(shuffled(gone), "__uid", "left")
+    both = touched.unionByName(halves.where("not __possible").withColumn("__gone", F.lit(None).cast(gone.schema["__gone"].dataType)))
+    both = both.withColumn("__both", F.struct(F.col(f"`{text_col}`").alias("text"), F.col("__gone").alias("gone")))
     others = [c for c in docs.columns if c not in (text_col, "n_sentences", "n_removed", "removed_spans")]
 
     def cut(values: list[dict]) -> list[pa.Array]:
