@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, numbered, possible, shuffled
 from .decontaminate import words_of
 
 SHINGLE = 5
@@ -266,7 +266,7 @@ def _compare(tasks: DataFrame, texts: DataFrame, shingler: Shingler, least: floa
         found = similar_links(left, right, least)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    return tasks.join(texts, "node").groupBy("t1", "t2").applyInArrow(run, "a long, b long")
+    return tasks.join(shuffled(texts), "node").groupBy("t1", "t2").applyInArrow(run, "a long, b long")
 
 
 # --- the operator --------------------------------------------------------------------------------------------------
@@ -274,29 +274,31 @@ def _compare(tasks: DataFrame, texts: DataFrame, shingler: Shingler, least: floa
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, rare: int = RARE, family: int = FAMILY, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: uid (its place in docs), id, class_id, class_size, stays (true for one row of each class)."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    given = docs.select(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    all_rows = numbered(given, "uid")
     shingler = Shingler(*word_weights(docs, text_col, rare))
-    sigs = materialise(_signatures(numbered, shingler, Sampler(bands, rows)), "signatures")
+    sigs = materialise(_signatures(all_rows, shingler, Sampler(bands, rows)), "signatures")
     place = F.struct("none", "id", "uid")
     nodes = sigs.where(F.col("k1").isNotNull()).groupBy("k1", "k2").agg(F.min("uid").alias("node"), F.min(place).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     nodes = materialise(nodes, "nodes")
     each = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = materialise(each.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("least")).where(F.col("size") > 1), "buckets")
-    members = materialise(each.join(shared, "bucket"), "members")  # bucket, node, size, least
+    members = materialise(each.join(shuffled(shared), "bucket"), "members")  # bucket, node, size, least
     families = components(members.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
     sizes = families.groupBy("label").agg(F.count("*").alias("nodes"))
-    families = materialise(families.join(sizes, "label").select("node", F.col("label").alias("family"), "nodes"), "families")
-    texts = materialise(numbered.select(F.col("uid").alias("node"), "text").join(families.select("node"), "node"), "texts")
+    families = materialise(families.join(shuffled(sizes), "label").select("node", F.col("label").alias("family"), "nodes"), "families")
+    held = possible(all_rows.select(F.col("uid").alias("node"), "text"), F.col("node"), families, F.col("node")).where("__possible")
+    texts = materialise(held.select("node", "text").join(shuffled(families.select("node")), "node"), "texts")
     small = families.where(F.col("nodes") <= family)
     links = materialise(_compare(small.select(F.col("family").alias("t1"), F.lit(0).alias("t2"), "node", F.lit(2).alias("side"), F.col("node").alias("label")), texts, shingler, similar), "links")
     large = families.where(F.col("nodes") > family)
     if not large.isEmpty():
         links = links.unionByName(_large_families(members, large, texts, shingler, similar, block))
     labels = components(links)
-    classed = nodes.drop("bands").join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
+    classed = nodes.drop("bands").join(shuffled(labels), "node", "left").withColumn("class", F.coalesce("label", "node"))
     classes = classed.groupBy("class").agg(F.min("first").alias("stays"), F.sum("copies").alias("class_size"))
-    classed = materialise(classed.join(classes, "class").select("k1", "k2", "stays", "class_size"), "classes")
-    found = sigs.where(F.col("k1").isNotNull()).select("uid", "id", "k1", "k2").join(classed, ["k1", "k2"])
+    classed = materialise(classed.join(shuffled(classes), "class").select("k1", "k2", "stays", "class_size"), "classes")
+    found = sigs.where(F.col("k1").isNotNull()).select("uid", "id", "k1", "k2").join(shuffled(classed), ["k1", "k2"])
     found = found.select("uid", "id", F.col("stays.id").alias("class_id"), "class_size", (F.col("uid") == F.col("stays.uid")).alias("stays"))
     alone = sigs.where(F.col("k1").isNull()).select("uid", "id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("stays"))
     return found.unionByName(alone)
