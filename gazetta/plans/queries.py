@@ -196,7 +196,7 @@ def _grid_sql() -> str:
     return f"SELECT *, degrees({lat}) + {geo.SHIFT_LAT} AS lat, degrees({lon}) + {geo.SHIFT_LON} AS lon FROM ({sql})"
 
 
-_GRID = """g AS (SELECT p_partkey, 500000.0 + (p_partkey % 1000) * 100 + 50 AS ea, 200000.0 + ((p_size * 13) % 1000) * 100 + 50 AS no FROM part)"""
+_GRID = """g AS (SELECT p_partkey, CAST(500000 + (p_partkey % 1000) * 100 + 50 AS DOUBLE) AS ea, CAST(200000 + ((p_size * 13) % 1000) * 100 + 50 AS DOUBLE) AS no FROM part)"""
 
 
 @query(f"WITH {_GRID} SELECT p_partkey, ea AS easting, no AS northing, round(lat, 6) AS lat, round(lon, 6) AS lon, round(100 * sqrt(2) / 2, 3) AS radius FROM ({_grid_sql()})")

@@ -2,6 +2,7 @@
 
 import math
 import os
+from decimal import Decimal
 
 import pytest
 
@@ -15,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def _plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return None
-    return v if isinstance(v, (bool, str)) else float(v) if isinstance(v, (int, float)) else str(v)
+    return v if isinstance(v, (bool, str)) else float(v) if isinstance(v, (int, float, Decimal)) else str(v)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
