@@ -1,16 +1,17 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup over runs of lines.
 
-A text is a list of lines.  A rolling hash over the hashes of ``window`` successive lines ends a chunk wherever it is a
-multiple of ``divisor``; as that depends on those lines alone, the same passage is cut alike wherever it stands.  Of
-every chunk of several lines that occurs more than once in the corpus, all occurrences but the first (by id, then file
-order, then place) are removed, after their bytes have been compared with those of the first.
+A text is a list of lines.  At every line starts a chunk of ``window`` successive lines; a rolling hash finds the chunks
+that occur more than once in the corpus.  Of these, all occurrences but the first (by id, then file order, then place)
+are removed, after their bytes have been compared.  As every run of at least ``window`` lines consists of such chunks,
+every run seen before goes from its first line to its last, wherever it stands; of each line one copy stays.
 
-Only built-in functions run on the executors.  Chunks are counted by digest with map-side aggregation; occurrences
-are joined to the repeated digests, both read from tables, so a chunk that a third of all documents hold is split.
+Only built-in functions run on the executors.  Chunks are counted by hash with map-side aggregation; occurrences are
+joined to the repeated hashes, both read from tables, so a chunk that a third of all documents hold is split.
 
-Defined cases: null text stays null and empty text stays empty; blank chunks (white space only) are never removed;
-repeated rows count as further occurrences; ties in id are broken by file order; null ids come last; an empty table
-gives no rows; further columns pass through.
+Defined cases: null text stays null and empty text stays empty; chunks of white space only are never removed by
+themselves (of three or more successive blank lines the inner ones stay); a chunk that overlaps its own first
+occurrence is no copy; repeated rows count as further occurrences; ties in id are broken by file order; null ids come
+last; an empty table gives no rows; further columns pass through.
 """
 
 from __future__ import annotations
@@ -21,59 +22,39 @@ from pyspark.sql import functions as F
 from .common import materialise, numbered, possible, shuffled
 
 WINDOW = 2
-DIVISOR = 3
 
 
-def _stops(hashes: Column, lines: Column, window: int, divisor: int) -> Column:
-    """Places of the lines that end a chunk.  No lambda looks into another array, so the work is linear."""
-    rolled = hashes
-    for k in range(1, window):  # the line k places before joins the hash; the array grows by k places without a line
-        earlier = F.concat(F.array_repeat(F.lit(0).cast("long"), k), hashes)
-        rolled = F.zip_with(rolled, earlier, lambda now, before: F.when(now.isNotNull(), F.xxhash64(before, now)))
-    inner = F.transform(rolled, lambda x, i: F.when((i >= window - 1) & (F.pmod(x, F.lit(divisor)) == 0), i))
-    return F.array_distinct(F.concat(F.array_compact(inner), F.array(F.size(lines) - 1)))
+def _chunks(lines: Column, window: int) -> Column:
+    """The chunk that starts at each line.  No lambda looks into another array, so the work is linear."""
+    n = F.size(lines) - (window - 1)
+    chunks = F.slice(lines, F.lit(1), n)
+    for k in range(1, window):
+        chunks = F.zip_with(chunks, F.slice(lines, F.lit(k + 1), n), lambda before, line: F.concat(before, F.lit("\n"), line))
+    return chunks
 
 
-def _with_chunks(df: DataFrame, window: int, divisor: int) -> DataFrame:
-    """df has the column lines; adds chunks: array of (start, n, chunk), those of several lines only."""
-    df = df.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    df = df.withColumn("stops", _stops(F.col("hashes"), F.col("lines"), window, divisor))
-    starts = F.slice(F.concat(F.array(F.lit(0)), F.transform("stops", lambda s: s + 1)), F.lit(1), F.size("stops"))
-    bounds = F.zip_with(starts, F.col("stops"), lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("n")))
-    several = F.filter(bounds, lambda c: c["n"] > 1)
-    text = F.transform(several, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.array_join(F.slice(F.col("lines"), c["start"] + 1, c["n"]), "\n").alias("chunk")))
-    return df.withColumn("chunks", text)
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """All columns of docs with the text deduplicated, and lines_removed (long), chunks_removed (long)."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """All columns of docs with the text deduplicated, and lines_removed (long), chunks_removed (long, runs of lines that went)."""
     rows = numbered(docs, "__uid")
-    lined = rows.select("__uid", F.col(f"`{id_col}`").alias("id"), F.split(F.col(f"`{text_col}`"), "\n", -1).alias("lines")).where(F.size("lines") > 1)
-    chunk = _with_chunks(lined, window, divisor).select("__uid", "id", F.inline("chunks"))
-    chunk = chunk.where(F.col("chunk").rlike(r"\S")).withColumn("digest", F.sha2(F.col("chunk").cast("binary"), 256))
+    lined = rows.select("__uid", F.col(f"`{id_col}`").alias("id"), F.split(F.col(f"`{text_col}`"), "\n", -1).alias("lines")).where(F.size("lines") >= window)
+    chunk = lined.select("__uid", "id", F.posexplode(_chunks(F.col("lines"), window)).alias("start", "chunk"))
+    chunk = chunk.where(F.col("chunk").rlike(r"\S")).withColumn("digest", F.xxhash64("chunk"))
+    repeated = materialise(chunk.groupBy("digest").agg(F.count("*").alias("copies")).where(F.col("copies") > 1).select("digest"), "chunks")
+    maybe = possible(chunk, F.col("digest"), repeated, F.col("digest")).where("__possible")  # only these texts are sent
     place = F.struct(F.col("id").isNull().alias("none"), "id", F.col("__uid").alias("uid"), "start")
-    counted = chunk.select("digest", place.alias("place")).groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
-    repeated = materialise(counted.select("digest", "first"), "chunks")
-    maybe = possible(chunk.withColumn("place", place), F.col("digest"), repeated, F.col("digest")).where("__possible")  # only these texts are sent
-    found = maybe.join(shuffled(repeated), "digest").select("digest", "place", "n", "chunk", (F.col("place") == F.col("first")).alias("is_first"))
-    found = materialise(found, "occurrences")
-    firsts = found.where("is_first").select("digest", F.col("chunk").alias("first_chunk"))
-    checked = found.where(~F.col("is_first")).join(shuffled(firsts), "digest")
-    checked = materialise(checked.select("digest", "place", "n", (F.col("chunk") == F.col("first_chunk")).alias("same"), F.when(F.col("chunk") != F.col("first_chunk"), F.col("chunk")).alias("chunk")), "checked")
-    drop = checked.where("same").select("place", "n")
-    odd = checked.where(~F.col("same"))
-    if not odd.isEmpty():  # same digest, other bytes: their own first stays
-        own = odd.groupBy("digest", "chunk").agg(F.min("place").alias("first"))
-        drop = drop.unionByName(odd.join(own, ["digest", "chunk"]).where(F.col("place") != F.col("first")).select("place", "n"))
-    gone = materialise(drop, "gone").groupBy(F.col("place.uid").alias("__uid")).agg(F.collect_list(F.struct(F.col("place.start").alias("start"), "n")).alias("__gone"))
+    found = materialise(maybe.join(shuffled(repeated), "digest").select("digest", place.alias("place"), "chunk"), "occurrences")
+    firsts = found.groupBy("digest", "chunk").agg(F.min("place").alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)  # by bytes
+    apart = (F.col("place.uid") != F.col("first.uid")) | (F.col("place.start") >= F.col("first.start") + window)
+    drop = found.join(shuffled(firsts), ["digest", "chunk"]).where(apart).select(F.col("place.uid").alias("uid"), F.col("place.start").alias("start"))
+    gone = materialise(drop, "gone").groupBy(F.col("uid").alias("__uid")).agg(F.collect_list("start").alias("__gone"))
     halves = possible(rows, F.col("__uid"), gone, F.col("__uid"))
     touched = halves.where("__possible").join(shuffled(gone), "__uid", "left")
     untouched = halves.where("not __possible").withColumn("__gone", F.lit(None).cast(gone.schema["__gone"].dataType))
     out = touched.unionByName(untouched).withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split(F.col(f"`{text_col}`"), "\n", -1)))
-    gone_lines = F.flatten(F.transform("__gone", lambda g: F.sequence(g["start"], g["start"] + g["n"] - 1)))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone_lines), lambda i: F.get(F.col("__lines"), i))
+    out = out.withColumn("__gone", F.array_distinct(F.flatten(F.transform("__gone", lambda g: F.sequence(g, g + window - 1)))))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone")), lambda i: F.get(F.col("__lines"), i))
     text = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
-    removed = F.coalesce(F.size(gone_lines), F.lit(0)).cast("long")
-    counts = [F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(removed).cast("long").alias("lines_removed"), F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("chunks_removed")]
+    runs = F.array_except("__gone", F.transform("__gone", lambda x: x + 1))  # lines that went and follow none that went
+    counts = [F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size(x)).cast("long").alias(c) for c, x in (("lines_removed", F.col("__gone")), ("chunks_removed", runs))]
     others = [c for c in docs.columns if c not in ("lines_removed", "chunks_removed")]
     return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in others], *counts)

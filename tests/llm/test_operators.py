@@ -417,3 +417,32 @@ def test_line_dedup(spark, docs, empty):
     assert sum(x[2] for x in want) > 20
     assert line_dedup.line_dedup(empty).count() == 0
     assert line_dedup.line_dedup(_read(spark, docs)).count() == _read(spark, docs).count()
+
+
+def _cut_runs(rows):
+    """rows in order: every run of two or more lines that stands before, without overlap, goes; found without chunks."""
+    seen, out = set(), []
+    for i, t in rows:
+        lines, drop, runs = (t or "").split("\n"), set(), []
+        for a in range(len(lines)):
+            for b in range(a + 2, len(lines) + 1):
+                run = tuple(lines[a:b])
+                earlier = any(tuple(lines[x : x + b - a]) == run for x in range(a - (b - a) + 1))
+                if "".join(run).strip():
+                    runs.append(run)
+                    if run in seen or earlier:
+                        drop.update(range(a, b))
+        seen.update(runs)
+        out.append((i, t if t is None or not drop else "\n".join(x for n, x in enumerate(lines) if n not in drop), len(drop), len(drop - {x + 1 for x in drop})))
+    return out
+
+
+def test_line_dedup_removes_whole_runs(spark):
+    passage = [f"Line {k} of a passage that stands in many texts." for k in range(12)]
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    rows += [(200 + n, "\n".join([f"Before {n}.", *passage[n : n + 5], f"After {n}."])) for n in range(8)]  # parts that begin and end elsewhere
+    rows += [(300, "\n".join(passage)), (301, "a\na\na"), (302, "b\nc\nd\nb\nc"), (303, "\n\n"), (304, "\n\n"), (305, "e\n\nf"), (306, "g\ne\n\nf\n"), (307, None), (308, "one line"), (309, "one line")]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((tuple(r) for r in out), key=str) == sorted(_cut_runs(rows), key=str)
+    found = {r.doc_id: r.text for r in out}
+    assert found[300] == "" and found[301] == "a\na\na" and found[302] == "b\nc\nd" and found[204] == "Before 4.\n" + passage[8] + "\nAfter 4."
