@@ -1,13 +1,14 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences (at line ends and after . ! ? with the marks that follow); a sentence longer than
-``longest`` words is cut further every ``longest`` words.  From each sentence starts one span: the shortest run of at
-least ``sentences`` consecutive sentences that has at least ``words`` words.  Span hashes (128 bits over the
-lower-cased words) are joined over the whole corpus; a sentence is removed if a span that covers it occurred before,
-that is, at a smaller (id, file order, place).
+``longest`` words is cut further every ``longest`` words.  A run is at least ``sentences`` consecutive sentences with
+words that have at least ``words`` words.  Spans are the shortest run from each sentence and the shortest run up to each
+sentence, which together cover all that any run seen before covers.  Span hashes (128 bits over the lower-cased words)
+are joined over the whole corpus; a sentence is removed if a span that covers it occurred before, that is, at a smaller
+(id, file order, place).
 
-Counting by hash aggregates in the map tasks first; spans then meet the repeated hashes in a join of two tables, so a
-passage that a third of all documents hold is split over tasks.
+Counting by hash aggregates in the map tasks first; spans that may be repeated then meet the repeated hashes in a join
+of two tables, so a passage that a third of all documents hold is split over tasks.
 
 Defined cases: null text stays null; texts too short for one span stay as they are; repeated rows count as later
 occurrences, ties in id go by file order, null ids come last; an empty table gives no rows; further columns pass
@@ -56,18 +57,22 @@ def sentences_of(text: str, longest: int = LONGEST) -> list[tuple[int, int, byte
 
 
 def spans_of(sentences: list[tuple[int, int, bytes, int]], least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int, bytes]]:
-    """(first sentence, one past the last, hash) of the span from each sentence that has one."""
-    counts = [x[3] for x in sentences]
-    total, end, out, n = 0, 0, [], len(sentences)
+    """(first sentence, one past the last, hash) of the shortest runs from each and up to each sentence that have one."""
+    worded = [k for k, x in enumerate(sentences) if x[3]]  # a span starts and ends with a word
+    counts = [sentences[k][3] for k in worded]
+    total, end, ends, n = 0, 0, [], len(worded)
     for i in range(n):
         while end < n and (total < words or end - i < least):
             total += counts[end]
             end += 1
         if total < words or end - i < least:
             break
-        if counts[i]:  # a span starts with a word
-            out.append((i, end, xxhash.xxh3_128_digest(b"".join([x[2] for x in sentences[i:end] if x[3]]))))
+        ends.append(end)
         total -= counts[i]
+    hashes, out = b"".join([sentences[k][2] for k in worded]), []
+    for i, end in enumerate(ends):  # up to each place before the next end the last start is still i
+        for stop in range(end, max(end + 1, ends[i + 1] if i + 1 < len(ends) else n + 1)):
+            out.append((worded[i], worded[stop - 1] + 1, xxhash.xxh3_128_digest(hashes[16 * i : 16 * stop])))
     return out
 
 
@@ -89,6 +94,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = source.schema["id"].dataType.simpleString()
     found = materialise(source.mapInArrow(spans, f"h1 long, h2 long, none boolean, id {kind}, uid long, start int, stop int"), "spans")
     place = F.struct("none", "id", "uid", "start")
+    twice = materialise(found.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where(F.col("copies") > 1).select("h1"), "twice")
+    found = possible(found, F.col("h1"), twice, F.col("h1")).where("__possible").drop("__possible")  # only these are sent
     repeated = found.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(place).alias("first")).where(F.col("copies") > 1)
     repeated = materialise(repeated.select("h1", "h2", F.col("first.uid").alias("first_uid"), F.col("first.start").alias("first_start")), "repeated")
     later = found.join(shuffled(repeated), ["h1", "h2"]).where((F.col("uid") != F.col("first_uid")) | (F.col("start") != F.col("first_start")))

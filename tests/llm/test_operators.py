@@ -446,3 +446,31 @@ def test_line_dedup_removes_whole_runs(spark):
     assert sorted((tuple(r) for r in out), key=str) == sorted(_cut_runs(rows), key=str)
     found = {r.doc_id: r.text for r in out}
     assert found[300] == "" and found[301] == "a\na\na" and found[302] == "b\nc\nd" and found[204] == "Before 4.\n" + passage[8] + "\nAfter 4."
+
+
+def _cut_all_spans(rows):
+    """Like _cut_spans, over every run instead of the shortest from each sentence."""
+    seen, out = set(), []
+    for i, t in rows:
+        parts = substring_dedup.sentences_of(t) if t else []
+        words = [decontaminate.words_of(t[a:b]) for a, b, _, _ in parts]
+        drop = set()
+        for k, end in itertools.combinations(range(len(parts) + 1), 2):
+            span = tuple(tuple(s) for s in words[k:end] if s)
+            if words[k:end] and words[k] and words[end - 1] and len(span) >= substring_dedup.SENTENCES and sum(map(len, span)) >= substring_dedup.WORDS:
+                drop.update(range(k, end)) if span in seen else seen.add(span)
+        out.append((i, "".join(t[a:b] for k, (a, b, _, _) in enumerate(parts) if k not in drop) if t is not None else None, len(drop)))
+    return out
+
+
+def _words(n, mark):
+    return " ".join(f"{mark}{k}" for k in range(n)) + ". "
+
+
+def test_substring_dedup_removes_whole_runs(spark):
+    passage = _words(16, "a") + _words(4, "b") + _words(3, "c") + _words(3, "d")
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(200, _words(12, "x") + passage), (201, passage), (202, passage + _words(9, "y")), (203, _words(2, "z") + "*** " + passage + "?! ***"), (204, None)]
+    out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.text, r.n_removed) for r in out), key=str) == sorted(_cut_all_spans(rows), key=str)
+    found = {r.doc_id: r.text for r in out}
+    assert found[201] == "" and found[202] == _words(9, "y")
