@@ -1,7 +1,10 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences (at line ends and after . ! ? with the marks that follow); a sentence longer than
-``longest`` words is cut further every ``longest`` words.  A run is at least ``sentences`` consecutive sentences with
+A text is cut into sentences in two ways, and what either finds goes.  The first cuts after . ! ? with the marks that
+follow and at line ends, and a sentence longer than ``longest`` words every ``longest`` words.  The second takes a single
+line end as white space, so line breaks may differ, and cuts long sentences where the hash of two words is the least
+among its neighbours, which a passage keeps wherever it begins; pieces still longer are cut every ``longest`` words.
+A run is at least ``sentences`` consecutive sentences with
 words that have at least ``words`` words.  Spans are the shortest run from each sentence and the shortest run up to each
 sentence, which together cover all that any run seen before covers.  Span hashes (128 bits over the lower-cased words)
 are joined over the whole corpus; a sentence is removed if a span that covers it occurred before, that is, at a smaller
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,30 +36,65 @@ from .decontaminate import words_of
 SENTENCES = 2
 WORDS = 20
 LONGEST = 16
+#: A cut's hash is the least among so many words on either side.
+NEAR = 4
 _END = re.compile(r"[.!?…]+[\"'”’)\]]*\s+|[ \t\r]*\n\s*")
+_END_BLANK = re.compile(r"[.!?…]+[\"'”’)\]]*\s+|[ \t\r]*\n[ \t\r]*\n\s*")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def sentences_of(text: str, longest: int = LONGEST) -> list[tuple[int, int, bytes, int]]:
-    """(from, to, hash of the words, number of words) of each sentence; places in characters, white space after it included."""
+def _pieces(words: list[bytes], longest: int) -> list[int]:
+    """Where the pieces of a long sentence start, and its end."""
+    n = len(words)
+    h = np.array([(1 << 64) - 1, *[xxhash.xxh3_64_intdigest(x + b" " + y) for x, y in zip(words, words[1:])]], np.uint64)
+    least = np.ones(n, bool)
+    for k in range(1, NEAR + 1):
+        least[k:] &= h[k:] < h[:-k]
+        least[:-k] &= h[:-k] <= h[k:]
+    bounds = [0, *[int(i) for i in np.flatnonzero(least) if NEAR <= i <= n - NEAR], n]
+    return [x for i, j in zip(bounds, bounds[1:]) for x in range(i, j, longest)] + [n]
+
+
+def sentences_of(text: str, longest: int = LONGEST, known: dict[tuple[int, int], tuple[int, int, bytes, int]] | None = None) -> list[tuple[int, int, bytes, int]]:
+    """(from, to, hash of the words, number of words) of each sentence; places in characters, white space after it included.
+
+    With ``known``, sentences by their places, the second way."""
     out, at = [], 0
-    ends = [m.end() for m in _END.finditer(text)]
+    ends = [m.end() for m in (_END if known is None else _END_BLANK).finditer(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
     for end in ends:
+        if known and (at, end) in known:
+            out.append(known[at, end])
+            at = end
+            continue
         part = text[at:end]
         words = words_of(part)
         if len(words) <= longest:
             out.append((at, end, xxhash.xxh3_128_digest(b" ".join(words)), len(words)))
         else:
-            starts = [at, *[at + m.start() for i, m in enumerate(_WORD.finditer(part)) if i and i % longest == 0], end]
+            firsts = [*range(0, len(words), longest), len(words)] if known is None else _pieces(words, longest)
+            found = [m.start() for m in _WORD.finditer(part)]
+            starts = [at, *[at + found[i] for i in firsts[1:-1]], end]
             for k in range(len(starts) - 1):
-                some = words[k * longest : (k + 1) * longest]
+                some = words[firsts[k] : firsts[k + 1]]
                 out.append((starts[k], starts[k + 1], xxhash.xxh3_128_digest(b" ".join(some)), len(some)))
         at = end
     return out
 
 
+def both_of(text: str, longest: int = LONGEST) -> list[list[tuple[int, int, bytes, int]]]:
+    """The sentences of the first way and, where they are others, of the second."""
+    one = sentences_of(text, longest)
+    two = sentences_of(text, longest, {(x[0], x[1]): x for x in one})
+    return [one] if one == two else [one, two]
+
+
+def word_places(sentences: list[tuple[int, int, bytes, int]]) -> list[int]:
+    """The number of words before each sentence, and of all."""
+    return list(accumulate((x[3] for x in sentences), initial=0))
+
+
 def spans_of(sentences: list[tuple[int, int, bytes, int]], least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int, bytes]]:
     """(first sentence, one past the last, hash) of the shortest runs from each and up to each sentence that have one."""
     worded = [k for k, x in enumerate(sentences) if x[3]]  # a span starts and ends with a word
@@ -83,12 +122,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, start, stop, digests = [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                for a, b, digest in spans_of(sentences_of(text, longest), sentences, words) if text else ():
-                    owner.append(row), start.append(a), stop.append(b), digests.append(digest)
-            hashes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            at = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), *[batch.column(c).take(at) for c in ("none", "id", "uid")], pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["h1", "h2", "none", "id", "uid", "start", "stop"])
+            texts = batch.column("text")
+            for row in range(len(texts)):
+                text = texts[row].as_py()
+                seen: set[tuple[int, int, bytes]] = set()
+                for parts in both_of(text, longest) if text else ():
+                    place = word_places(parts)
+                    for a, b, digest in spans_of(parts, sentences, words):
+                        if (x := (place[a], place[b], digest)) not in seen:  # the same words cut alike are one span
+                            seen.add(x), owner.append(row), start.append(x[0]), stop.append(x[1]), digests.append(digest)
+                if len(digests) > 50_000 or row + 1 == len(texts):  # bounds the memory
+                    hashes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                    at = pa.array(owner, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), *[batch.column(c).take(at) for c in ("none", "id", "uid")], pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["h1", "h2", "none", "id", "uid", "start", "stop"])
+                    owner, start, stop, digests = [], [], [], []
 
     source = rows.select(F.col("__none").alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("__uid").alias("uid"), F.col(f"`{text_col}`").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -109,19 +156,29 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cut(values: list[dict]) -> list[pa.Array]:
         texts, totals, removed, where = [], [], [], []
         for v in values:
-            text, drop = v["text"], set()
-            parts = sentences_of(text, longest) if text else []
-            for s in v["gone"] or ():
-                drop.update(range(s["start"], s["stop"]))
-            texts.append("".join(text[a:b] for k, (a, b, _, _) in enumerate(parts) if k not in drop) if drop else text)
-            totals.append(len(parts)), removed.append(len(drop))
-            ranges: list[dict] = []
-            for k in sorted(drop):
-                if ranges and ranges[-1]["stop"] == parts[k][0]:
-                    ranges[-1]["stop"] = parts[k][1]
-                else:
-                    ranges.append({"start": parts[k][0], "stop": parts[k][1]})
-            where.append(ranges)
+            text, ranges = v["text"], []
+            ways = (both_of(text, longest) if v["gone"] else [sentences_of(text, longest)]) if text else [[]]
+            if v["gone"]:
+                begins, ends = {}, {}  # characters of a word place; the first way of cutting counts first
+                for parts in reversed(ways):
+                    place = word_places(parts)
+                    begins |= {place[k]: x[0] for k, x in enumerate(parts) if x[3]}
+                    ends |= {place[k + 1]: x[1] for k, x in enumerate(parts) if x[3]}
+                for a, b in sorted((begins[s["start"]], ends[s["stop"]]) for s in v["gone"]):
+                    if ranges and a <= ranges[-1]["stop"]:
+                        ranges[-1]["stop"] = max(b, ranges[-1]["stop"])
+                    else:
+                        ranges.append({"start": a, "stop": b})
+                kept = zip([0, *[r["stop"] for r in ranges]], [*[r["start"] for r in ranges], len(text)])
+                text = "".join([text[a:b] for a, b in kept])
+            texts.append(text), totals.append(len(ways[0])), where.append(ranges)
+            n, at = 0, iter(ranges)
+            r = next(at, None)
+            for a, b, _, _ in ways[0]:  # sentences of which something went
+                while r and r["stop"] <= a:
+                    r = next(at, None)
+                n += bool(r and r["start"] < b)
+            removed.append(n)
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         return [pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(where, span)]
 

@@ -474,3 +474,17 @@ def test_substring_dedup_removes_whole_runs(spark):
     assert sorted(((r.doc_id, r.text, r.n_removed) for r in out), key=str) == sorted(_cut_all_spans(rows), key=str)
     found = {r.doc_id: r.text for r in out}
     assert found[201] == "" and found[202] == _words(9, "y")
+
+
+def test_substring_dedup_finds_other_breaks_and_beginnings(spark):
+    mark = lambda n, m: " ".join(f"{m}{k}" for k in range(n))
+    wrapped = f"{mark(9, 'a')}\n{mark(9, 'b')}\n{mark(9, 'c')}. {mark(8, 'd')}."
+    flowing = wrapped.replace("\n", " ").replace("a3 ", "a3\n").replace("c2 ", "c2\n")
+    long = mark(120, "w")
+    rows = [(1, wrapped), (2, flowing), (3, f"{mark(7, 'x')} {long}."), (4, f"Other words {long} {mark(30, 'y')}."), (5, " ".join(long.split()[13:90]))]
+    rows += [(6, f"A title\n{mark(12, 'e')}. {mark(12, 'f')}."), (7, f"No such head\n{mark(12, 'e')}. {mark(12, 'f')}."), (8, "wide " * 90 + f"\n***\n{mark(25, 'g')}\n***\nend")]
+    out = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[2].text == "" and out[7].text == "No such head\n" and out[1].text == rows[0][1] and out[3].text == rows[2][1]
+    left = {i: set(out[i].text.replace(".", "").split()) for i in (4, 5)}
+    assert {f"y{k}" for k in range(30)} <= left[4] and sum(f"w{k}" in left[4] for k in range(120)) < 30 and len(left[5]) < 40
+    assert "g20" in out[8].text and out[8].text.endswith("end") and all(x.strip() for x in (out[4].text, out[8].text))
