@@ -52,7 +52,7 @@ def update_state(spark: SparkSession, path: str, state_dir: str, id_col: str = "
         spark.conf.set(k, v)
     try:
         # as a pattern the path may name a single file too
-        reader = spark.readStream.schema(batch.schema)
+        reader = spark.readStream.schema(batch.schema).option("maxFileAge", "36500d")  # by default files 7 days older than the newest are left out
         if max_bytes_per_trigger:
             reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
         groups = _rows(reader.parquet(f"{path[:-1]}[{path[-1]}]"), id_col, text_col, digest).groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n"))

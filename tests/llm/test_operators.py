@@ -3,6 +3,7 @@
 import hashlib
 import html
 import itertools
+import os
 import random
 import re
 import zlib
@@ -488,3 +489,17 @@ def test_substring_dedup_finds_other_breaks_and_beginnings(spark):
     left = {i: set(out[i].text.replace(".", "").split()) for i in (4, 5)}
     assert {f"y{k}" for k in range(30)} <= left[4] and sum(f"w{k}" in left[4] for k in range(120)) < 30 and len(left[5]) < 40
     assert "g20" in out[8].text and out[8].text.endswith("end") and all(x.strip() for x in (out[4].text, out[8].text))
+
+
+def test_exact_dedup_reads_old_files_later(spark, tmp_path):
+    """A file that comes later but is dated long before the others."""
+    rows = spark.createDataFrame([(i, f"t{i % 5}") for i in range(20)], "doc_id long, text string")
+    path, state = tmp_path / "docs", f"{tmp_path}/state"
+    rows.where("doc_id >= 10").coalesce(1).write.parquet(str(path))
+    exact_dedup.exact_dedup(spark, str(path), state).collect()
+    there = set(path.glob("*.parquet"))
+    rows.where("doc_id < 10").coalesce(1).write.mode("append").parquet(str(path))
+    for new in set(path.glob("*.parquet")) - there:
+        os.utime(new, (1_000_000_000, 1_000_000_000))
+    out = exact_dedup.exact_dedup(spark, str(path), state).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in out) == [(i, i % 5, 4) for i in range(20)]
