@@ -7,7 +7,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,13 +125,77 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Plans whose rows are rows of files, the same ones at every reading.
+_FILE_PLANS = ("LogicalRelation", "Project", "Filter", "SubqueryAlias")
+
+
+def _has_file_rows(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().analyzed()
+    if "_metadata" in df.columns or not plan.deterministic():
+        return False
+    while plan.getClass().getSimpleName() in _FILE_PLANS:
+        if not plan.children().size():
+            try:
+                df.select("_metadata.row_index")
+            except AnalysisException:  # a format without row numbers
+                return False
+            return True
+        plan = plan.children().apply(0)
+    return False
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """Adds a row number that is the same whenever df is read again.
+    """Adds a row number (long) that is the same whenever a branch reads the result: the place of the row's file among
+    the paths in order, then the row's place in the file.
 
-    It counts within the parts of the scan, and how files are cut into parts depends on the cores that are there; so
-    the least number of parts is fixed for the session before the first reading."""
-    key = "spark.sql.files.minPartitionNum"
-    spark = df.sparkSession
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
-    return df.withColumn(name, F.monotonically_increasing_id())
+    Rows that do not come straight from Parquet files, such as those of joins or groups, have no place that a second
+    reading would find again; they are written once and read back."""
+    if not _has_file_rows(df):
+        df = materialise(df, "rows")
+    files = df.select(F.col("_metadata.file_path").alias("__file")).distinct().agg(F.sort_array(F.collect_set("__file")).alias("f"))
+    files = materialise(files.select(F.posexplode("f").alias("__ordinal", "__file")), "files")
+    files = F.broadcast(files) if files.count() <= MOST_FILES else shuffled(files)
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    number = F.shiftleft(F.col("__ordinal").cast("long"), 40) + F.col("__row")
+    return placed.join(files, "__file").select(*[F.col(f"`{c}`") for c in df.columns], number.alias(name))
+
+
+#: File names sent to every executor at most.
+MOST_FILES = 200_000
+
+
+#: Bits of a bitmap sent to Python workers: so many for each key, within these bounds (8 KB to 16 MB).
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 27
+
+
+def key_bitmap(keys: DataFrame, key: Column, n: int) -> np.ndarray:
+    """A bitmap of the low bits of 64-bit hashes; its size follows their number n up to a bound.
+
+    `may_hold` is false only for hashes that are surely not there; a bitmap at its bound only lets more pass."""
+    size = min(max(1 << (max(n, 1) * BITS_A_KEY - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    place = key.bitwiseAND(F.lit(size - 1))
+    words = keys.select(place.alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
+    table, out = words.toArrow(), np.zeros(size >> 6, np.uint64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """hashes: unsigned."""
+    at = hashes & np.uint64(len(bitmap) * 64 - 1)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+class WordHashes(dict):
+    """64-bit hashes of words.  Short words are kept, up to a bound of some 100 MB."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 48:
+            if len(self) >= 500_000:
+                self.clear()
+            self[word] = found
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

@@ -33,8 +33,14 @@ BLOCK_BYTES = 8 << 20
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def cleaned(text: str) -> tuple[bytes, bytes]:
+    """The text in UTF-8, and the same with spaces for all that is in no word."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return raw, raw.translate(_WORD_BYTES)
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
+    return cleaned(text)[1].split() if text else []
 
 
 def windows_of(words: list[bytes], window: int) -> Iterable[tuple[bytes, ...]]:

@@ -4,14 +4,14 @@ A text is cut into sentences in two ways, and what either finds goes.  The first
 follow and at line ends, and a sentence longer than ``longest`` words every ``longest`` words.  The second takes a single
 line end as white space, so line breaks may differ, and cuts long sentences where the hash of two words is the least
 among its neighbours, which a passage keeps wherever it begins; pieces still longer are cut every ``longest`` words.
-A run is at least ``sentences`` consecutive sentences with
-words that have at least ``words`` words.  Spans are the shortest run from each sentence and the shortest run up to each
-sentence, which together cover all that any run seen before covers.  Span hashes (128 bits over the lower-cased words)
-are joined over the whole corpus; a sentence is removed if a span that covers it occurred before, that is, at a smaller
-(id, file order, place).
+A run is at least ``sentences`` consecutive sentences with words that have at least ``words`` words.  Spans are the
+shortest run from each sentence and the shortest run up to each sentence, which together cover all that any run seen
+before covers.  Span hashes (128 bits over the lower-cased words) are joined over the whole corpus; a sentence is
+removed if a span that covers it occurred before, that is, at a smaller (id, file order, place).
 
-Counting by hash aggregates in the map tasks first; spans that may be repeated then meet the repeated hashes in a join
-of two tables, so a passage that a third of all documents hold is split over tasks.
+Two readings: the first counts 64-bit hashes of spans alone; the second makes the spans again and sends on only those
+whose hash may be among the repeated ones, by a bitmap of bounded size.  Spans that may be repeated then meet their
+first occurrence in a join of two tables, so a passage that a third of all documents hold is split over tasks.
 
 Defined cases: null text stays null; texts too short for one span stay as they are; repeated rows count as later
 occurrences, ties in id go by file order, null ids come last; an empty table gives no rows; further columns pass
@@ -22,127 +22,194 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise, numbered, possible, shuffled
-from .decontaminate import words_of
+from .common import WordHashes, key_bitmap, map_texts, materialise, may_hold, numbered, possible, shuffled
+from .decontaminate import cleaned
 
 SENTENCES = 2
 WORDS = 20
 LONGEST = 16
 #: A cut's hash is the least among so many words on either side.
 NEAR = 4
+#: Spans that are sent on at a time.
+_SEND = 100_000
 _END = re.compile(r"[.!?…]+[\"'”’)\]]*\s+|[ \t\r]*\n\s*")
 _END_BLANK = re.compile(r"[.!?…]+[\"'”’)\]]*\s+|[ \t\r]*\n[ \t\r]*\n\s*")
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-
-
-def _pieces(words: list[bytes], longest: int) -> list[int]:
-    """Where the pieces of a long sentence start, and its end."""
-    n = len(words)
-    h = np.array([(1 << 64) - 1, *[xxhash.xxh3_64_intdigest(x + b" " + y) for x, y in zip(words, words[1:])]], np.uint64)
-    least = np.ones(n, bool)
-    for k in range(1, NEAR + 1):
-        least[k:] &= h[k:] < h[:-k]
-        least[:-k] &= h[:-k] <= h[k:]
-    bounds = [0, *[int(i) for i in np.flatnonzero(least) if NEAR <= i <= n - NEAR], n]
-    return [x for i, j in zip(bounds, bounds[1:]) for x in range(i, j, longest)] + [n]
-
-
-def sentences_of(text: str, longest: int = LONGEST, known: dict[tuple[int, int], tuple[int, int, bytes, int]] | None = None) -> list[tuple[int, int, bytes, int]]:
-    """(from, to, hash of the words, number of words) of each sentence; places in characters, white space after it included.
-
-    With ``known``, sentences by their places, the second way."""
-    out, at = [], 0
-    ends = [m.end() for m in (_END if known is None else _END_BLANK).finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    for end in ends:
-        if known and (at, end) in known:
-            out.append(known[at, end])
-            at = end
-            continue
-        part = text[at:end]
-        words = words_of(part)
-        if len(words) <= longest:
-            out.append((at, end, xxhash.xxh3_128_digest(b" ".join(words)), len(words)))
-        else:
-            firsts = [*range(0, len(words), longest), len(words)] if known is None else _pieces(words, longest)
-            found = [m.start() for m in _WORD.finditer(part)]
-            starts = [at, *[at + found[i] for i in firsts[1:-1]], end]
-            for k in range(len(starts) - 1):
-                some = words[firsts[k] : firsts[k + 1]]
-                out.append((starts[k], starts[k + 1], xxhash.xxh3_128_digest(b" ".join(some)), len(some)))
-        at = end
-    return out
-
-
-def both_of(text: str, longest: int = LONGEST) -> list[list[tuple[int, int, bytes, int]]]:
-    """The sentences of the first way and, where they are others, of the second."""
-    one = sentences_of(text, longest)
-    two = sentences_of(text, longest, {(x[0], x[1]): x for x in one})
-    return [one] if one == two else [one, two]
-
-
-def word_places(sentences: list[tuple[int, int, bytes, int]]) -> list[int]:
-    """The number of words before each sentence, and of all."""
-    return list(accumulate((x[3] for x in sentences), initial=0))
-
-
-def spans_of(sentences: list[tuple[int, int, bytes, int]], least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int, bytes]]:
-    """(first sentence, one past the last, hash) of the shortest runs from each and up to each sentence that have one."""
-    worded = [k for k, x in enumerate(sentences) if x[3]]  # a span starts and ends with a word
-    counts = [sentences[k][3] for k in worded]
-    total, end, ends, n = 0, 0, [], len(worded)
-    for i in range(n):
-        while end < n and (total < words or end - i < least):
-            total += counts[end]
-            end += 1
-        if total < words or end - i < least:
-            break
-        ends.append(end)
-        total -= counts[i]
-    hashes, out = b"".join([sentences[k][2] for k in worded]), []
-    for i, end in enumerate(ends):  # up to each place before the next end the last start is still i
-        for stop in range(end, max(end + 1, ends[i + 1] if i + 1 < len(ends) else n + 1)):
-            out.append((worded[i], worded[stop - 1] + 1, xxhash.xxh3_128_digest(hashes[16 * i : 16 * stop])))
-    return out
+_ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)]
+_U32, _U29 = np.uint64(32), np.uint64(29)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U32)) * _ODD[2]
+    return (x ^ (x >> _U29)) * _ODD[1]
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+
+    def __init__(self, base: np.uint64):
+        self.base, self.inverse, self.n = base, np.uint64(pow(int(base), -1, 1 << 64)), 0
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.n:
+            self.n = 1 << n.bit_length()
+            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.n, x, np.uint64)])) for x in (self.base, self.inverse))
+        return self.up[:n], self.down[:n]
+
+
+class Cutter:
+    """Texts to sentences and spans.  Places of words are their numbers in the text."""
+
+    def __init__(self, sentences: int = SENTENCES, words: int = WORDS, longest: int = LONGEST):
+        self.given = sentences, words, longest
+        self.hashes, self.powers = WordHashes(), [_Powers(x) for x in _ODD[:2]]
+
+    def __reduce__(self):
+        return Cutter, self.given
+
+    def read(self, text: str) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """Hashes of the words, and for each way of cutting (first word, number of words, from, to in characters) of each sentence."""
+        raw, clean = cleaned(text)
+        h = self.hashes.of(clean.split())
+        inside = np.frombuffer(b" " + clean, "u1") != 32
+        starts = np.flatnonzero(inside[1:] & ~inside[:-1])
+        if len(raw) != len(text):  # places in bytes -> in characters
+            starts = np.searchsorted(np.flatnonzero((np.frombuffer(raw, "u1") & 0xC0) != 0x80), starts)
+        one, two = ([m.end() for m in x.finditer(text)] for x in (_END, _END_BLANK))
+        ways = [self._pieces(np.array(one, np.int64), starts, len(text))]
+        cuts = self._cuts(np.array(two, np.int64), starts, h)
+        if len(cuts) or len(one) != len(two) or len(ways[0][0]) > len(one) + 1:
+            ways.append(self._pieces(np.union1d(np.array(two, np.int64), starts[cuts]), starts, len(text)))
+        return h, ways
+
+    def _pieces(self, ends: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        if not len(ends) or ends[-1] < size:
+            ends = np.append(ends, size)
+        begins = np.concatenate([[0], ends[:-1]])
+        upto = np.searchsorted(starts, ends)
+        first = np.concatenate([[0], upto[:-1]])
+        longest = self.given[2]
+        parts = np.maximum(1, -(-(upto - first) // longest))
+        inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        words = np.repeat(first, parts) + longest * inner
+        start = np.where(inner == 0, np.repeat(begins, parts), starts[np.minimum(words, len(starts) - 1)] if len(starts) else 0)
+        return words, np.minimum(np.repeat(upto, parts) - words, longest), start, np.append(start[1:], size)
+
+    def _cuts(self, ends: np.ndarray, starts: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Words before which a long sentence is cut."""
+        n = len(h)
+        bounds = np.unique(np.concatenate([[0], np.searchsorted(starts, ends), [n]]))
+        long = np.flatnonzero(np.diff(bounds) > self.given[2])
+        if not len(long):
+            return long
+        pair = np.full(n, np.iinfo(np.uint64).max)
+        pair[1:] = _mixed(h[:-1] * _ODD[0] ^ h[1:])
+        pair[bounds[:-1]] = np.iinfo(np.uint64).max
+        least = np.ones(n, bool)
+        for k in range(1, NEAR + 1):
+            least[k:] &= pair[k:] < pair[:-k]
+            least[:-k] &= pair[:-k] <= pair[k:]
+        at = np.flatnonzero(least)
+        mine = np.searchsorted(bounds, at, "right") - 1
+        return at[np.isin(mine, long) & (at - bounds[mine] >= NEAR) & (bounds[np.minimum(mine + 1, len(bounds) - 1)] - at >= NEAR)]
+
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """From, to (words) and two hashes of the shortest runs from each and up to each sentence that have one."""
+        h, ways = self.read(text)
+        least, words, _ = self.given
+        found = []
+        for first, count, _, _ in ways:
+            at = np.append(first[count > 0], len(h))
+            k = np.arange(len(at))
+            end = np.maximum(k + least, np.searchsorted(at, at + words))
+            found.append((at[k[end < len(at)]] << 32) | at[end[end < len(at)]])
+            start = np.minimum(k - least, np.searchsorted(at, at - words, "right") - 1)
+            found.append((at[start[start >= 0]] << 32) | at[k[start >= 0]])
+        both = np.unique(np.concatenate(found))
+        start, stop = both >> 32, both & 0xFFFFFFFF
+        hashes = []
+        for powers in self.powers:
+            up, down = powers.upto(len(h) + 1)
+            before = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)], dtype=np.uint64)])
+            hashes.append(_mixed((before[stop] - before[start]) * down[start] + (stop - start).astype(np.uint64)))
+        return start, stop, *hashes
+
+    def without(self, text: str, gone: list[dict]) -> tuple[str, int, int, list[dict]]:
+        """The text without the spans (words) that go, its sentences, those of which something goes, and what goes in characters."""
+        _, ways = self.read(text)
+        ranges: list[dict] = []
+        if gone:
+            begins, ends = {}, {}  # the first way of cutting counts first
+            for first, count, start, stop in reversed(ways):
+                worded = count > 0
+                begins |= dict(zip(first[worded].tolist(), start[worded].tolist()))
+                ends |= dict(zip((first + count)[worded].tolist(), stop[worded].tolist()))
+            for a, b in sorted((begins[s["start"]], ends[s["stop"]]) for s in gone):
+                if ranges and a <= ranges[-1]["stop"]:
+                    ranges[-1]["stop"] = max(b, ranges[-1]["stop"])
+                else:
+                    ranges.append({"start": a, "stop": b})
+            kept = zip([0, *[r["stop"] for r in ranges]], [*[r["start"] for r in ranges], len(text)])
+            _, _, start, stop = ways[0]
+            after = np.searchsorted(np.array([r["stop"] for r in ranges]), start, "right")
+            hit = np.append([r["start"] for r in ranges], len(text) + 1)[after] < stop
+            return "".join([text[a:b] for a, b in kept]), len(start), int(hit.sum()), ranges
+        return text, len(ways[0][0]), 0, ranges
+
+
+def sentences_of(text: str, longest: int = LONGEST) -> list[tuple[int, int, int, int]]:
+    """(from, to, first word, number of words) of each sentence, the first way; places in characters, white space after it included."""
+    _, ways = Cutter(longest=longest).read(text)
+    first, count, start, stop = (x.tolist() for x in ways[0])
+    return list(zip(start, stop, first, count, strict=True))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, words: int = WORDS, longest: int = LONGEST) -> DataFrame:
     """All columns of docs with the text deduplicated, and n_sentences, n_removed (long), removed_spans (characters of the old text)."""
     rows = numbered(docs, "__uid").withColumn("__none", F.col(f"`{id_col}`").isNull())
+    context, cutter = docs.sparkSession.sparkContext, Cutter(sentences, words, longest)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = [], 0
+            for row, text in enumerate(batch.column(0)):
+                if text := text.as_py():
+                    found.append(cutter.spans(text)[2])
+                    n += len(found[-1])
+                if found and (n > _SEND or row + 1 == len(batch)):  # bounds the memory
+                    h, times = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times > 1)], names=["h1", "more"])
+                    found, n = [], 0
+
+    counts = rows.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "h1 long, more boolean")
+    twice = materialise(counts.groupBy("h1").agg(F.count("*").alias("n"), F.max("more").alias("more")).where((F.col("n") > 1) | F.col("more")).select("h1"), "twice")
+    shared = context.broadcast(key_bitmap(twice, F.col("h1"), twice.count()))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, start, stop, digests = [], [], [], []
-            texts = batch.column("text")
-            for row in range(len(texts)):
-                text = texts[row].as_py()
-                seen: set[tuple[int, int, bytes]] = set()
-                for parts in both_of(text, longest) if text else ():
-                    place = word_places(parts)
-                    for a, b, digest in spans_of(parts, sentences, words):
-                        if (x := (place[a], place[b], digest)) not in seen:  # the same words cut alike are one span
-                            seen.add(x), owner.append(row), start.append(x[0]), stop.append(x[1]), digests.append(digest)
-                if len(digests) > 50_000 or row + 1 == len(texts):  # bounds the memory
-                    hashes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                    at = pa.array(owner, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), *[batch.column(c).take(at) for c in ("none", "id", "uid")], pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["h1", "h2", "none", "id", "uid", "start", "stop"])
-                    owner, start, stop, digests = [], [], [], []
+            owner, parts, n = [], [], 0
+            for row, text in enumerate(batch.column("text")):
+                if text := text.as_py():
+                    some = cutter.spans(text)
+                    repeated = may_hold(shared.value, some[2])
+                    parts.append([x[repeated] for x in some])
+                    owner.append(np.full(len(parts[-1][0]), row))
+                    n += len(owner[-1])
+                if parts and (n > _SEND or row + 1 == len(batch)):
+                    start, stop, h1, h2 = map(np.concatenate, zip(*parts))
+                    at = pa.array(np.concatenate(owner), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *[batch.column(c).take(at) for c in ("none", "id", "uid")], pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["h1", "h2", "none", "id", "uid", "start", "stop"])
+                    owner, parts, n = [], [], 0
 
     source = rows.select(F.col("__none").alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("__uid").alias("uid"), F.col(f"`{text_col}`").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     found = materialise(source.mapInArrow(spans, f"h1 long, h2 long, none boolean, id {kind}, uid long, start int, stop int"), "spans")
     place = F.struct("none", "id", "uid", "start")
-    twice = materialise(found.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where(F.col("copies") > 1).select("h1"), "twice")
-    found = possible(found, F.col("h1"), twice, F.col("h1")).where("__possible").drop("__possible")  # only these are sent
     repeated = found.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(place).alias("first")).where(F.col("copies") > 1)
     repeated = materialise(repeated.select("h1", "h2", F.col("first.uid").alias("first_uid"), F.col("first.start").alias("first_start")), "repeated")
     later = found.join(shuffled(repeated), ["h1", "h2"]).where((F.col("uid") != F.col("first_uid")) | (F.col("start") != F.col("first_start")))
@@ -154,33 +221,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others = [c for c in docs.columns if c not in (text_col, "n_sentences", "n_removed", "removed_spans")]
 
     def cut(values: list[dict]) -> list[pa.Array]:
-        texts, totals, removed, where = [], [], [], []
-        for v in values:
-            text, ranges = v["text"], []
-            ways = (both_of(text, longest) if v["gone"] else [sentences_of(text, longest)]) if text else [[]]
-            if v["gone"]:
-                begins, ends = {}, {}  # characters of a word place; the first way of cutting counts first
-                for parts in reversed(ways):
-                    place = word_places(parts)
-                    begins |= {place[k]: x[0] for k, x in enumerate(parts) if x[3]}
-                    ends |= {place[k + 1]: x[1] for k, x in enumerate(parts) if x[3]}
-                for a, b in sorted((begins[s["start"]], ends[s["stop"]]) for s in v["gone"]):
-                    if ranges and a <= ranges[-1]["stop"]:
-                        ranges[-1]["stop"] = max(b, ranges[-1]["stop"])
-                    else:
-                        ranges.append({"start": a, "stop": b})
-                kept = zip([0, *[r["stop"] for r in ranges]], [*[r["start"] for r in ranges], len(text)])
-                text = "".join([text[a:b] for a, b in kept])
-            texts.append(text), totals.append(len(ways[0])), where.append(ranges)
-            n, at = 0, iter(ranges)
-            r = next(at, None)
-            for a, b, _, _ in ways[0]:  # sentences of which something went
-                while r and r["stop"] <= a:
-                    r = next(at, None)
-                n += bool(r and r["start"] < b)
-            removed.append(n)
+        done = [cutter.without(v["text"], v["gone"] or []) if v["text"] else (v["text"], 0, 0, []) for v in values]
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        return [pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(where, span)]
+        return [pa.array(x, kind) for x, kind in zip(zip(*done), (pa.string(), pa.int64(), pa.int64(), span), strict=True)]
 
     out = map_texts(both, "__both", others, "__new string, n_sentences long, n_removed long, removed_spans array<struct<start:bigint,stop:bigint>>", cut)
     order = [F.col("__new").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c in others or c == text_col]
