@@ -504,3 +504,47 @@ def test_exact_dedup_reads_old_files_later(spark, tmp_path):
         os.utime(new, (1_000_000_000, 1_000_000_000))
     out = exact_dedup.exact_dedup(spark, str(path), state).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size) for r in out) == [(i, i % 5, 4) for i in range(20)]
+
+
+def test_exact_dedup_over_several_tables(spark, tmp_path):
+    """One state, a table a day: rows equal to those of an earlier day are kept out, none is lost."""
+    state = f"{tmp_path}/state"
+
+    def day(n, rows):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/day{n}")
+        out = exact_dedup.exact_dedup(spark, f"{tmp_path}/day{n}/", state, digest=lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 64))
+        return sorted(tuple(r)[:4] for r in out.collect())
+
+    assert day(1, [(1, "same"), (2, "solo")]) == [(1, 1, 1, True), (2, 2, 1, True)]
+    assert day(2, [(3, "same"), (4, "other"), (5, "same ")]) == [(3, 1, 2, False), (4, 4, 1, True), (5, 5, 1, True)]
+    assert day(3, [(0, "other"), (6, "same")]) == [(0, 0, 2, True), (6, 1, 3, False)]
+    groups = os.listdir(f"{state}/groups")
+    assert len(groups) == 1 and groups[0].startswith("upto=")
+    for name in os.listdir(f"{tmp_path}/day1"):
+        os.remove(f"{tmp_path}/day1/{name}")
+    os.rmdir(f"{tmp_path}/day1")
+    assert day(4, [(7, "same")]) == [(7, 1, 4, False)]  # the locator's file is gone
+
+
+def test_exact_dedup_compares_with_an_earlier_table_by_bytes(spark, tmp_path):
+    state, weak = f"{tmp_path}/state", lambda t: F.lit("x")
+    for n, rows in enumerate([[(1, "a")], [(2, "a"), (3, "b"), (4, "b")]]):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/day{n}")
+        out = exact_dedup.exact_dedup(spark, f"{tmp_path}/day{n}", state, digest=weak)
+    assert sorted(tuple(r)[:4] for r in out.collect()) == [(2, 1, 2, False), (3, 3, 2, True), (4, 3, 2, False)]
+
+
+def test_changed_rules_replace_their_findings(spark, tmp_path):
+    from dataclasses import replace
+
+    table = spark.createDataFrame([(1, "0123456789abcdef token=abcdefabcdef"), (2, "f" * 50)], "doc_id long, text string")
+    ledger, hexes = f"{tmp_path}/ledger", secret_scan.RULES[2]
+
+    def found(rules):
+        return {r.doc_id: r.s for r in secret_scan.scan(table, ledger, ["doc_id"], rules=rules).select("doc_id", secret_scan.written(F.col("findings")).alias("s")).collect()}
+
+    assert found((hexes,)) == {1: "hex:0:16", 2: "hex:0:50"}
+    longer = replace(hexes, version=2, pattern="[0-9a-f]{40,}", hint="[0-9a-f]{40}")
+    assert found((longer,)) == {1: "", 2: "hex:0:50"}
+    assert found((longer, secret_scan.RULES[0])) == {1: "assign:17:35", 2: "hex:0:50"}
+    assert found((hexes,)) == {1: "hex:0:16", 2: "hex:0:50"}  # both versions stay in the ledger
