@@ -2,8 +2,9 @@
 
 Every version of a text is addressed by the SHA-256 of its bytes (its blob).  The ledger keeps, for each pair of blob
 and rule version, what was found.  A scan reads only blobs whose pair with some current rule version is missing,
-appends its findings, and joins them back to every row (path, version) that holds the blob.  Only built-in functions
-run on the executors.
+appends its findings, and joins them back to every row (path, version) that holds the blob.  Findings name their rule
+version, so a changed rule replaces its former findings; they are listed by start, then in the order of the rules.  Only
+built-in functions run on the executors.
 
 Spans are code-point places.  For each rule the text is split at its matches, so a match starts where the lengths of
 the pieces and matches before it add up to (a running sum over the matches of one blob); matches that are too short
@@ -47,7 +48,7 @@ RULES = (
     Rule("hex", 1, "[0-9a-f]{16,}", "[0-9a-f]{16}"),
     Rule("pem", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----", "PRIVATE KEY-----", base=False),
 )
-_LEDGER = "blob string, scanned array<string>, findings array<struct<start:int,rank:int,kind:string,stop:int,base:boolean>>"
+_LEDGER = "blob string, scanned array<string>, findings array<struct<start:int,rule:string,kind:string,stop:int,base:boolean>>"
 
 
 def blob_of(text: Column) -> Column:
@@ -62,7 +63,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
     """One row per blob: rule versions it was scanned with, findings."""
     rows = spark.read.schema(_LEDGER).parquet(ledger)
-    return rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("scanned"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
+    return rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("scanned"), F.array_distinct(F.flatten(F.collect_list("findings"))).alias("findings"))
 
 
 def _scan(todo: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -80,14 +81,14 @@ def _scan(todo: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     each = by_rule.select("blob", "missing", F.col("r.rank").alias("rank"), F.posexplode_outer(pairs).alias("pos", "x"))
     upto = Window.partitionBy("blob", "rank").orderBy("pos")
     each = each.withColumn("stop", F.sum(F.col("x.gap") + F.length("x.m")).over(upto).cast("int"))
-    kind, base, keep = F.lit(None).cast("string"), F.lit(None).cast("boolean"), F.lit(False)
+    name, kind, base, keep = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("boolean"), F.lit(False)
     for rank, r in enumerate(rules):
         mine = F.col("rank") == rank
-        kind, base = F.when(mine, F.lit(r.kind)).otherwise(kind), F.when(mine, F.lit(r.base)).otherwise(base)
+        name, kind, base = (F.when(mine, F.lit(x)).otherwise(y) for x, y in ((r.name, name), (r.kind, kind), (r.base, base)))
         value = F.regexp_extract("x.m", r.value, 1) if r.value else F.col("x.m")
         keep = F.when(mine, F.length(value) >= r.least).otherwise(keep)
-    finding = F.when(keep, F.struct((F.col("stop") - F.length("x.m")).alias("start"), "rank", kind.alias("kind"), "stop", base.alias("base")))
-    return each.groupBy("blob").agg(F.first("missing").alias("scanned"), F.sort_array(F.collect_list(finding)).alias("findings"))
+    finding = F.when(keep, F.struct((F.col("stop") - F.length("x.m")).alias("start"), name.alias("rule"), kind.alias("kind"), "stop", base.alias("base")))
+    return each.groupBy("blob").agg(F.first("missing").alias("scanned"), F.collect_list(finding).alias("findings"))
 
 
 def scan(versions: DataFrame, ledger: str, ids: list[str], text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -105,8 +106,8 @@ def scan(versions: DataFrame, ledger: str, ids: list[str], text_col: str = "text
         todo = blobs.withColumn("missing", wanted)
     _scan(todo, rules).write.mode("append").parquet(ledger)
     found = materialise(read_ledger(spark, ledger), "findings") if known else spark.read.schema(_LEDGER).parquet(ledger)
-    current = F.array(*[F.lit(r.kind) for r in rules])
-    found = found.select("blob", F.filter("findings", lambda f: F.array_contains(current, f["kind"])).alias("findings"))
+    ranked = F.transform("findings", lambda f: F.struct(f["start"].alias("start"), F.array_position(wanted, f["rule"]).alias("rank"), f["kind"].alias("kind"), f["stop"].alias("stop"), f["base"].alias("base")))
+    found = found.select("blob", F.sort_array(F.filter(ranked, lambda f: f["rank"] > 0)).alias("findings"))
     out = rows.drop("text").join(shuffled(found), "blob")
     return out.select(*[F.col(f"__{c}").alias(c) for c in ids], "blob", "findings")
 
