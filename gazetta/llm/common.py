@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,13 +81,14 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: str, judge:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, at, chars = batch.column("__text").to_pylist(), 0, 0
-            for i, text in enumerate(texts):
+            texts, at, chars = [], 0, 0
+            for i, value in enumerate(batch.column("__text")):
+                texts.append(text := value.as_py())
                 chars += len((text.get("text") if isinstance(text, dict) else text) or "")
-                if chars > most_chars or i + 1 == len(texts):
+                if chars > most_chars or i + 1 == len(batch):
                     part = batch.slice(at, i + 1 - at)
-                    yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + judge(texts[at : i + 1]), names=kept + names)
-                    at, chars = i + 1, 0
+                    yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + judge(texts), names=kept + names)
+                    texts, at, chars = [], i + 1, 0
 
     out = source.mapInArrow(run, ", ".join(x for x in (arrow_fields(source, kept), fields) if x))
     return out.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], *names)
@@ -125,6 +125,27 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Keys that hold at least one of so many rows of a table are joined by broadcast: there are at most so many.
+HOT_PARTS = 1000
+
+
+def hot_keys(left: DataFrame, key: str, parts: int = HOT_PARTS) -> DataFrame:
+    """The keys that hold at least one of ``parts`` rows of left (read from a table), at most ``parts``."""
+    least = max(left.count() / parts, 2)
+    return materialise(left.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key), "hot")
+
+
+def joined_by_hot_key(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """Inner join of left (read from a table) with right (one row a key).
+
+    Rows of left with one of the few hot keys stay where they are and meet a broadcast of as many rows of right, so no task
+    gathers a key that a third of all rows have; the others are dealt out by key."""
+    hot = hot_keys(left, key) if hot is None else hot
+    few = F.broadcast(materialise(right.join(F.broadcast(hot), key), "hot-rows"))
+    cold = left.join(F.broadcast(hot), key, "left_anti").join(shuffled(right), key)
+    return left.join(few, key).unionByName(cold)
+
+
 #: Plans whose rows are rows of files, the same ones at every reading.
 _FILE_PLANS = ("LogicalRelation", "Project", "Filter", "SubqueryAlias")
 
@@ -184,18 +205,3 @@ def may_hold(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """hashes: unsigned."""
     at = hashes & np.uint64(len(bitmap) * 64 - 1)
     return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-
-
-class WordHashes(dict):
-    """64-bit hashes of words.  Short words are kept, up to a bound of some 100 MB."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 48:
-            if len(self) >= 500_000:
-                self.clear()
-            self[word] = found
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

@@ -20,7 +20,6 @@ through.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,38 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, key_bitmap, map_texts, materialise, may_hold, numbered, possible, shuffled
-from .decontaminate import cleaned
+from .common import key_bitmap, map_texts, materialise, may_hold, numbered, possible, shuffled
+from .words import CLOSER, END, LINE, ODD, PART, POWERS, SPACE, in_parts, mixed, read, runs
 
 SENTENCES = 2
 WORDS = 20
 LONGEST = 16
 #: A cut's hash is the least among so many words on either side.
 NEAR = 4
-#: Spans that are sent on at a time.
-_SEND = 100_000
-_END = re.compile(r"[.!?…]+[\"'”’)\]]*\s+|[ \t\r]*\n\s*")
-_END_BLANK = re.compile(r"[.!?…]+[\"'”’)\]]*\s+|[ \t\r]*\n[ \t\r]*\n\s*")
-_ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)]
-_U32, _U29 = np.uint64(32), np.uint64(29)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U32)) * _ODD[2]
-    return (x ^ (x >> _U29)) * _ODD[1]
-
-
-class _Powers:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse, self.n = base, np.uint64(pow(int(base), -1, 1 << 64)), 0
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = 1 << n.bit_length()
-            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.n, x, np.uint64)])) for x in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
 
 
 class Cutter:
@@ -67,105 +42,120 @@ class Cutter:
 
     def __init__(self, sentences: int = SENTENCES, words: int = WORDS, longest: int = LONGEST):
         self.given = sentences, words, longest
-        self.hashes, self.powers = WordHashes(), [_Powers(x) for x in _ODD[:2]]
 
     def __reduce__(self):
         return Cutter, self.given
 
-    def read(self, text: str) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-        """Hashes of the words, and for each way of cutting (first word, number of words, from, to in characters) of each sentence."""
-        raw, clean = cleaned(text)
-        h = self.hashes.of(clean.split())
-        inside = np.frombuffer(b" " + clean, "u1") != 32
-        starts = np.flatnonzero(inside[1:] & ~inside[:-1])
-        if len(raw) != len(text):  # places in bytes -> in characters
-            starts = np.searchsorted(np.flatnonzero((np.frombuffer(raw, "u1") & 0xC0) != 0x80), starts)
-        one, two = ([m.end() for m in x.finditer(text)] for x in (_END, _END_BLANK))
-        ways = [self._pieces(np.array(one, np.int64), starts, len(text))]
-        cuts = self._cuts(np.array(two, np.int64), starts, h)
-        if len(cuts) or len(one) != len(two) or len(ways[0][0]) > len(one) + 1:
-            ways.append(self._pieces(np.union1d(np.array(two, np.int64), starts[cuts]), starts, len(text)))
-        return h, ways
-
-    def _pieces(self, ends: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-        if not len(ends) or ends[-1] < size:
-            ends = np.append(ends, size)
-        begins = np.concatenate([[0], ends[:-1]])
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """texts: none empty.  Hashes of all words, the number of the first word of each text (and of all words), and for each
+        way of cutting the text, the first word, the number of words, from and to (characters of all texts, each with one more
+        between) of each sentence."""
+        found = read(texts)
+        kinds, starts, h, stops = found.kinds, found.starts, found.hashes, found.stops
+        from_, to = runs((kinds & SPACE) != 0)  # white space ends a sentence after its marks, or by its line ends
+        before = np.maximum(from_ - 1, 0)
+        for _ in range(8):
+            before = np.maximum(before - ((kinds[before] & CLOSER) != 0), 0)
+        if len(before) and (kinds[before[before > 0]] & CLOSER).any():  # many in a row
+            before = np.maximum.accumulate(np.where(kinds & CLOSER, 0, np.arange(len(kinds))))[np.maximum(from_ - 1, 0)]
+        lines = np.flatnonzero(kinds & LINE)
+        lines = np.searchsorted(lines, to) - np.searchsorted(lines, from_)
+        marked = (from_ > 0) & ((kinds[before] & END) != 0)
+        one, two = (np.union1d(to[marked | (lines >= n)], stops) for n in (1, 2))
+        ways = [self._pieces(one, starts, stops)]
+        cuts = self._cuts(two, starts, h)
+        if len(cuts) or len(one) != len(two) or len(ways[0][0]) > len(one):
+            ways.append(self._pieces(np.union1d(two, starts[cuts]), starts, stops))
+        return h, found.firsts, ways
+
+    def _pieces(self, ends: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, ...]:
+        begins = np.append(0, ends[:-1])
+        begins[1:] += np.isin(ends[:-1], stops)
         upto = np.searchsorted(starts, ends)
-        first = np.concatenate([[0], upto[:-1]])
+        first = np.append(0, upto[:-1])
         longest = self.given[2]
         parts = np.maximum(1, -(-(upto - first) // longest))
         inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         words = np.repeat(first, parts) + longest * inner
         start = np.where(inner == 0, np.repeat(begins, parts), starts[np.minimum(words, len(starts) - 1)] if len(starts) else 0)
-        return words, np.minimum(np.repeat(upto, parts) - words, longest), start, np.append(start[1:], size)
+        stop = np.append(start[1:], ends[-1])
+        last = np.cumsum(parts) - 1
+        stop[last] = ends
+        return np.searchsorted(stops, start), words, np.minimum(np.repeat(upto, parts) - words, longest), start, stop
 
     def _cuts(self, ends: np.ndarray, starts: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Words before which a long sentence is cut."""
         n = len(h)
         bounds = np.unique(np.concatenate([[0], np.searchsorted(starts, ends), [n]]))
-        long = np.flatnonzero(np.diff(bounds) > self.given[2])
-        if not len(long):
-            return long
+        long = np.diff(bounds) > self.given[2]
+        if not long.any():
+            return np.zeros(0, np.int64)
         pair = np.full(n, np.iinfo(np.uint64).max)
-        pair[1:] = _mixed(h[:-1] * _ODD[0] ^ h[1:])
+        pair[1:] = mixed(h[:-1] * ODD[0] ^ h[1:])
         pair[bounds[:-1]] = np.iinfo(np.uint64).max
-        least = np.ones(n, bool)
+        least = np.repeat(long, np.diff(bounds))
         for k in range(1, NEAR + 1):
             least[k:] &= pair[k:] < pair[:-k]
             least[:-k] &= pair[:-k] <= pair[k:]
         at = np.flatnonzero(least)
         mine = np.searchsorted(bounds, at, "right") - 1
-        return at[np.isin(mine, long) & (at - bounds[mine] >= NEAR) & (bounds[np.minimum(mine + 1, len(bounds) - 1)] - at >= NEAR)]
+        return at[(at - bounds[mine] >= NEAR) & (bounds[mine + 1] - at >= NEAR)]
 
-    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """From, to (words) and two hashes of the shortest runs from each and up to each sentence that have one."""
-        h, ways = self.read(text)
+    def spans(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Text, from, to (its words) and two hashes of the shortest runs from each and up to each sentence that have one."""
+        h, firsts, ways = self.read(texts)
         least, words, _ = self.given
         found = []
-        for first, count, _, _ in ways:
-            at = np.append(first[count > 0], len(h))
-            k = np.arange(len(at))
-            end = np.maximum(k + least, np.searchsorted(at, at + words))
-            found.append((at[k[end < len(at)]] << 32) | at[end[end < len(at)]])
-            start = np.minimum(k - least, np.searchsorted(at, at - words, "right") - 1)
-            found.append((at[start[start >= 0]] << 32) | at[k[start >= 0]])
+        for text, first, count, _, _ in ways:
+            worded = count > 0
+            owner, at = text[worded], np.append(first[worded], len(h))
+            k = np.arange(len(owner))
+            end = np.maximum(k + least, np.searchsorted(at, at[:-1] + words))
+            good = end <= np.searchsorted(at, firsts[owner + 1])
+            found.append((at[k[good]] << 32) | at[end[good]])
+            start = np.minimum(k + 1 - least, np.searchsorted(at, at[1:] - words, "right") - 1)
+            good = start >= np.searchsorted(at, firsts[owner])
+            found.append((at[start[good]] << 32) | at[k[good] + 1])
         both = np.unique(np.concatenate(found))
         start, stop = both >> 32, both & 0xFFFFFFFF
-        hashes = []
-        for powers in self.powers:
-            up, down = powers.upto(len(h) + 1)
-            before = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)], dtype=np.uint64)])
-            hashes.append(_mixed((before[stop] - before[start]) * down[start] + (stop - start).astype(np.uint64)))
-        return start, stop, *hashes
-
-    def without(self, text: str, gone: list[dict]) -> tuple[str, int, int, list[dict]]:
-        """The text without the spans (words) that go, its sentences, those of which something goes, and what goes in characters."""
-        _, ways = self.read(text)
-        ranges: list[dict] = []
-        if gone:
+        owner = np.searchsorted(firsts, start, "right") - 1
+        hashes = [powers.runs(h, start, stop) for powers in POWERS]
+        return owner, start - firsts[owner], stop - firsts[owner], *hashes
+
+    def without(self, texts: list[str], gone: list[list[dict]]) -> list[tuple[str, int, int, list[dict]]]:
+        """For each text what stays without the spans (words) that go, its sentences, those of which something goes, and what goes in characters."""
+        _, firsts, ways = self.read(texts)
+        begin = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        bounds = [np.searchsorted(w[0], np.arange(len(texts) + 1)) for w in ways]
+        out = []
+        for i, (text, spans) in enumerate(zip(texts, gone, strict=True)):
+            parts = [[x[b[i] : b[i + 1]] for x in w[1:]] for w, b in zip(ways, bounds, strict=True)]
+            ranges: list[dict] = []
+            if not spans:
+                out.append((text, len(parts[0][0]), 0, ranges))
+                continue
             begins, ends = {}, {}  # the first way of cutting counts first
-            for first, count, start, stop in reversed(ways):
+            for first, count, start, stop in reversed(parts):
                 worded = count > 0
-                begins |= dict(zip(first[worded].tolist(), start[worded].tolist()))
-                ends |= dict(zip((first + count)[worded].tolist(), stop[worded].tolist()))
-            for a, b in sorted((begins[s["start"]], ends[s["stop"]]) for s in gone):
+                begins |= dict(zip((first[worded] - firsts[i]).tolist(), (start[worded] - begin[i]).tolist()))
+                ends |= dict(zip(((first + count)[worded] - firsts[i]).tolist(), (stop[worded] - begin[i]).tolist()))
+            for a, b in sorted((begins[s["start"]], ends[s["stop"]]) for s in spans):
                 if ranges and a <= ranges[-1]["stop"]:
                     ranges[-1]["stop"] = max(b, ranges[-1]["stop"])
                 else:
                     ranges.append({"start": a, "stop": b})
             kept = zip([0, *[r["stop"] for r in ranges]], [*[r["start"] for r in ranges], len(text)])
-            _, _, start, stop = ways[0]
-            after = np.searchsorted(np.array([r["stop"] for r in ranges]), start, "right")
-            hit = np.append([r["start"] for r in ranges], len(text) + 1)[after] < stop
-            return "".join([text[a:b] for a, b in kept]), len(start), int(hit.sum()), ranges
-        return text, len(ways[0][0]), 0, ranges
+            _, _, start, stop = parts[0]
+            after = np.searchsorted(np.array([r["stop"] for r in ranges]), start - begin[i], "right")
+            hit = np.append([r["start"] for r in ranges], len(text) + 1)[after] < stop - begin[i]
+            out.append(("".join([text[a:b] for a, b in kept]), len(start), int(hit.sum()), ranges))
+        return out
 
 
 def sentences_of(text: str, longest: int = LONGEST) -> list[tuple[int, int, int, int]]:
     """(from, to, first word, number of words) of each sentence, the first way; places in characters, white space after it included."""
-    _, ways = Cutter(longest=longest).read(text)
-    first, count, start, stop = (x.tolist() for x in ways[0])
+    _, _, ways = Cutter(longest=longest).read([text])
+    first, count, start, stop = (x.tolist() for x in ways[0][1:])
     return list(zip(start, stop, first, count, strict=True))
 
 
@@ -176,15 +166,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, n = [], 0
-            for row, text in enumerate(batch.column(0)):
-                if text := text.as_py():
-                    found.append(cutter.spans(text)[2])
-                    n += len(found[-1])
-                if found and (n > _SEND or row + 1 == len(batch)):  # bounds the memory
-                    h, times = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times > 1)], names=["h1", "more"])
-                    found, n = [], 0
+            for _, texts in in_parts(batch):
+                h, times = np.unique(cutter.spans(texts)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times > 1)], names=["h1", "more"])
 
     counts = rows.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "h1 long, more boolean")
     twice = materialise(counts.groupBy("h1").agg(F.count("*").alias("n"), F.max("more").alias("more")).where((F.col("n") > 1) | F.col("more")).select("h1"), "twice")
@@ -192,19 +176,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, parts, n = [], [], 0
-            for row, text in enumerate(batch.column("text")):
-                if text := text.as_py():
-                    some = cutter.spans(text)
-                    repeated = may_hold(shared.value, some[2])
-                    parts.append([x[repeated] for x in some])
-                    owner.append(np.full(len(parts[-1][0]), row))
-                    n += len(owner[-1])
-                if parts and (n > _SEND or row + 1 == len(batch)):
-                    start, stop, h1, h2 = map(np.concatenate, zip(*parts))
-                    at = pa.array(np.concatenate(owner), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *[batch.column(c).take(at) for c in ("none", "id", "uid")], pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["h1", "h2", "none", "id", "uid", "start", "stop"])
-                    owner, parts, n = [], [], 0
+            for rows, texts in in_parts(batch):
+                some = cutter.spans(texts)
+                repeated = may_hold(shared.value, some[3])
+                owner, start, stop, h1, h2 = (x[repeated] for x in some)
+                at = pa.array(rows[owner])
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *[batch.column(c).take(at) for c in ("none", "id", "uid")], pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["h1", "h2", "none", "id", "uid", "start", "stop"])
 
     source = rows.select(F.col("__none").alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("__uid").alias("uid"), F.col(f"`{text_col}`").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -221,10 +198,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others = [c for c in docs.columns if c not in (text_col, "n_sentences", "n_removed", "removed_spans")]
 
     def cut(values: list[dict]) -> list[pa.Array]:
-        done = [cutter.without(v["text"], v["gone"] or []) if v["text"] else (v["text"], 0, 0, []) for v in values]
+        full = [v for v in values if v["text"]]
+        found = iter(cutter.without([v["text"] for v in full], [v["gone"] or [] for v in full]) if full else [])
+        done = [next(found) if v["text"] else (v["text"], 0, 0, []) for v in values]
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         return [pa.array(x, kind) for x, kind in zip(zip(*done), (pa.string(), pa.int64(), pa.int64(), span), strict=True)]
 
-    out = map_texts(both, "__both", others, "__new string, n_sentences long, n_removed long, removed_spans array<struct<start:bigint,stop:bigint>>", cut)
+    out = map_texts(both, "__both", others, "__new string, n_sentences long, n_removed long, removed_spans array<struct<start:bigint,stop:bigint>>", cut, PART)
     order = [F.col("__new").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c in others or c == text_col]
     return out.select(*order, "n_sentences", "n_removed", "removed_spans")
