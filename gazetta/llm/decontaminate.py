@@ -1,13 +1,18 @@
 """Benchmark decontamination by a prefix-filtered containment join.
 
-An item's windows are its runs of ``window`` consecutive words; an item with fewer words, but some, is one window.
-A document holds a window only if it holds all its words, so one word of each window is a necessary prefix: the one
-rarest over all documents.  The index maps that word to its windows.  A document is read once; at each place of an
-index word, the window's length and the word's place in it bound where the window could lie, and the words there are
+An item's windows are its runs of ``window`` consecutive words; an item with fewer words, but some, is one window.  The
+elements of a window are its shingles, runs of ``shingle`` words (the whole window where it is shorter).  A document
+holds a window only if it holds all its shingles, so with shingles ordered by rarity the first one alone is a necessary
+prefix: the one in the fewest documents, counted over all documents.
+
+Documents and windows meet in an equi-join on the hash of that shingle.  A document's row holds the words around the
+shingle; the window's length and the shingle's place in it bound where the window could lie, and the words there are
 compared one by one.
 
-The index is sent to the tasks in blocks of bounded size (``block_bytes`` of item text); a larger benchmark takes
-more scans, each exact, and their hits are united.
+The corpus is read a fixed number of times, however large the benchmark: once to count, once to find prefixes, once for
+the result.  Tasks know the shingles sought by a bitmap whose size has a bound; a full one lets more pass and changes no
+result.  The table of windows is broadcast only if its text is at most ``broadcast_bytes``, otherwise the join is a
+sort-merge join, whose hot keys can be split.
 
 Defined cases: null and empty texts have no words (no hit, no window); rows with a null item id still mark words but
 are not listed; repeated items count once; an empty benchmark leaves all documents clean; further columns are ignored.
@@ -16,70 +21,26 @@ are not listed; repeated items count once; an empty benchmark leaves all documen
 from __future__ import annotations
 
 import hashlib
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise, numbered
+from .common import key_bitmap, map_texts, materialise, may_hold, numbered, possible, shuffled
+from .words import in_parts, read, shingles
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
+SHINGLE = 5
+BROADCAST_BYTES = 8 << 20
 #: A-Z lower-cased; digits, a-z and all bytes of other characters are word bytes; the rest become spaces.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-
-
-def cleaned(text: str) -> tuple[bytes, bytes]:
-    """The text in UTF-8, and the same with spaces for all that is in no word."""
-    raw = text.encode("utf-8", "surrogatepass")
-    return raw, raw.translate(_WORD_BYTES)
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return cleaned(text)[1].split() if text else []
-
-
-def windows_of(words: list[bytes], window: int) -> Iterable[tuple[bytes, ...]]:
-    return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))] if words else []
-
-
-def _rarity(docs: DataFrame, vocabulary: set[bytes], text_col: str) -> dict[bytes, int]:
-    """How many documents hold each word of the vocabulary (bounded by the block)."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
-        for batch in batches:
-            for text in batch["__text"]:
-                found.update(vocabulary.intersection(words_of(text)))
-        yield pd.DataFrame({"word": list(found), "n": np.array(list(found.values()), "i8")})
-
-    partial = docs.select(F.col(text_col).alias("__text")).mapInPandas(count, "word binary, n long")
-    return {bytes(r["word"]): r["n"] for r in partial.groupBy("word").agg(F.sum("n").alias("n")).collect()}
-
-
-def build_index(windows: dict[tuple[bytes, ...], set], rarity: dict[bytes, int]) -> dict[bytes, list[tuple[int, list[bytes], tuple]]]:
-    """The rarest word of each window -> (its place in the window, the window, its items)."""
-    index: dict[bytes, list] = defaultdict(list)
-    for words, items in windows.items():
-        rarest = min(words, key=lambda w: (rarity.get(w, 0), w))
-        index[rarest].append((words.index(rarest), list(words), tuple(items)))
-    return dict(index)
-
-
-def find(words: list[bytes], index: dict) -> tuple[list[tuple[int, int]], set]:
-    """Spans (from, to) of the windows that occur, and their items."""
-    spans, items, total = [], set(), len(words)
-    for at in [i for i, w in enumerate(words) if w in index]:
-        for place, window, owners in index[words[at]]:
-            start, end = at - place, at - place + len(window)
-            if start >= 0 and end <= total and words[start:end] == window:
-                spans.append((start, end))
-                items.update(owners)
-    return spans, items
+    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
 
 
 def united(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -92,67 +53,135 @@ def united(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_FIELDS = "n_words long, n_hit long, hit_spans array<struct<start:int,end:int>>, items array<string>, n_items long, items_sha256 string, contaminated boolean"
-_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-
-def _results(found: list[tuple[int, list, set]]) -> list[pa.Array]:
-    spans = [united(x[1]) for x in found]
-    items = [sorted(i for i in x[2] if i is not None) for x in found]
-    hit = [sum(b - a for a, b in x) for x in spans]
-    columns = [([x[0] for x in found], pa.int64()), (hit, pa.int64()), ([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS), (items, pa.list_(pa.string()))]
-    columns += [([len(x) for x in items], pa.int64()), ([_digest(x) for x in items], pa.string()), ([n > 0 for n in hit], pa.bool_())]
-    return [pa.array(values, kind) for values, kind in columns]
-
-
 def _digest(items: Iterable[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, extra: list[str] | None = None) -> DataFrame:
-    """One row per document: id, the ``extra`` columns of docs, n_words, n_hit, hit_spans (word places, end exclusive), items (sorted), n_items, items_sha256, contaminated."""
-    extra = extra or []
-    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())
-    size = bench.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // block_bytes))
-    context = docs.sparkSession.sparkContext
-
-    def block(k: int) -> dict:
-        rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # about block_bytes
-        windows: dict[tuple[bytes, ...], set] = defaultdict(set)
-        for r in rows:
-            for w in windows_of(words_of(r["text"]), window):
-                windows[w].add(r["item"])
-        vocabulary = {w for words in windows for w in words}
-        return build_index(windows, _rarity(docs, vocabulary, text_col) if vocabulary else {})
-
-    if blocks == 1:
-        shared = context.broadcast(block(0))
-
-        def judge(texts: list[str | None]) -> list[pa.Array]:
-            found = []
-            for words in map(words_of, texts):
-                found.append((len(words), *find(words, shared.value)))
-            return _results(found)
-
-        return map_texts(docs, text_col, [id_col, *extra], _FIELDS, judge)
-
-    rows = numbered(docs, "__uid")
-    hits = None
-    for k in range(blocks):
-        shared = context.broadcast(block(k))
-
-        def part(texts: list[str | None], shared=shared) -> list[pa.Array]:
-            found = [find(words_of(text), shared.value) for text in texts]
-            return [pa.array([[{"start": a, "end": b} for a, b in united(spans)] for spans, _ in found], _SPANS), pa.array([list(items) for _, items in found], pa.list_(pa.string()))]
+_NONE = _digest([])
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-        one = map_texts(rows, text_col, ["__uid"], "spans array<struct<start:int,end:int>>, owners array<string>", part).where(F.size("spans") > 0)
-        one = materialise(one, "hits")
-        hits = one if hits is None else hits.unionByName(one)
-    hits = hits.groupBy("__uid").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_list("owners"))).alias("__owners"))
-    joined = rows.join(hits, "__uid", "left").withColumn("__all", F.struct(F.col(text_col).alias("text"), "__spans", "__owners"))
 
-    def merge(rows: list[dict]) -> list[pa.Array]:
-        return _results([(len(words_of(r["text"])), [(s["start"], s["end"]) for s in r["__spans"] or []], set(r["__owners"] or [])) for r in rows])
+def _windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
+    """benchmark: item, text.  Each window once: its words, their number n, the hashes of its shingles, its items."""
 
-    return map_texts(joined, "__all", [id_col, *extra], _FIELDS, merge)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in in_parts(batch):
+                found = read(texts)
+                lists = [words_of(t) for t in texts]
+                owner, words, hashes = [], [], []
+                for i, mine in enumerate(lists):
+                    if not mine:
+                        continue
+                    one = read([texts[i]]) if len(texts) > 1 else found
+                    m = min(shingle, len(mine))
+                    _, h = shingles(one, m)
+                    n = min(window, len(mine))
+                    for k in range(len(mine) - n + 1):
+                        owner.append(rows[i]), words.append(b" ".join(mine[k : k + n]).decode()), hashes.append(h[k : k + n - m + 1].view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(owner, pa.int64())), pa.array(words, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["item", "words", "hashes"])
+
+    each = benchmark.mapInArrow(cut, "item string, words string, hashes array<long>")
+    return each.groupBy("words").agg(F.first("hashes").alias("hashes"), F.collect_set("item").alias("items"))
+
+
+def _counts(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
+    """docs: text.  h, n: for each shingle hash that the bitmap lets pass the number of texts that hold it."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in in_parts(batch):
+                found = read(texts)
+                parts = []
+                for m in sizes:
+                    start, h = shingles(found, m)
+                    here = may_hold(shared.value, h)
+                    start, h = start[here], h[here]
+                    order = np.lexsort((h, owner := np.searchsorted(found.firsts, start, "right")))
+                    h, owner = h[order], owner[order]
+                    parts.append(h[np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]])  # once a text
+                h, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+
+    return docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def _occurrences(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], window: int) -> DataFrame:
+    """docs: uid, text.  Where a shingle stands that the bitmap lets pass: uid, h, at, and the words around it with their first place."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in in_parts(batch):
+                found = read(texts)
+                owner, hashes, at, first, around = [], [], [], [], []
+                for m in sizes:
+                    start, h = shingles(found, m)
+                    here = may_hold(shared.value, h)
+                    start, h = start[here], h[here].view(np.int64)
+                    mine, known = np.searchsorted(found.firsts, start, "right") - 1, -1
+                    for i, k, x in zip(mine.tolist(), (start - found.firsts[mine]).tolist(), h.tolist()):
+                        if i != known:
+                            known, words = i, words_of(texts[i])
+                        low = max(0, k - window + m)
+                        owner.append(rows[i]), hashes.append(x), at.append(k), first.append(low), around.append(b" ".join(words[low : k + window]).decode())
+                yield pa.RecordBatch.from_arrays([batch.column("uid").take(pa.array(owner, pa.int64())), pa.array(hashes, pa.int64()), pa.array(at, pa.int32()), pa.array(first, pa.int32()), pa.array(around, pa.string())], names=["uid", "h", "at", "first", "around"])
+
+    return docs.mapInArrow(look, "uid long, h long, at int, first int, around string")
+
+
+def _united(values: list[dict]) -> list[pa.Array]:
+    spans = [united((s["start"], s["end"]) for s in v["spans"]) for v in values]
+    items = [sorted(v["items"]) for v in values]
+    columns = [([sum(b - a for a, b in x) for x in spans], pa.int64()), ([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS), (items, pa.list_(pa.string()))]
+    columns += [([len(x) for x in items], pa.int64()), ([_digest(x) for x in items], pa.string())]
+    return [pa.array(x, kind) for x, kind in columns]
+
+
+def _hits(rows: DataFrame, benchmark: DataFrame, window: int, shingle: int, broadcast_bytes: int) -> DataFrame | None:
+    """rows: uid, text.  uid, n_hit, hit_spans, items, n_items, items_sha256 of the texts that hold a window."""
+    windows = materialise(_windows(benchmark, window, shingle), "windows")
+    shape = windows.agg(F.count("*").alias("n"), F.sum(F.octet_length("words") + 64 + 24 * F.size("items")).alias("bytes")).first()
+    if not shape["n"]:
+        return None
+    lengths = [r["n"] for r in windows.select(F.size(F.split("words", " ")).alias("n")).distinct().collect()]  # at most `window` rows
+    sizes = sorted({min(shingle, n) for n in lengths})
+    elements = windows.select("words", F.posexplode("hashes").alias("place", "h"))
+    sought = materialise(elements.select("h").distinct(), "shingles")
+    counts = _counts(rows.select("text"), key_bitmap(sought, F.col("h"), sought.count()), sizes)
+    counts = materialise(counts.join(shuffled(sought), "h", "left_semi"), "counts")
+    rarest = elements.join(shuffled(counts), "h", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "place")).alias("x"))
+    prefixes = rarest.where("x.n > 0").select("words", F.col("x.h").alias("h"), F.col("x.place").alias("place"))
+    prefixes = materialise(prefixes.join(windows.select("words", "items"), "words"), "prefixes")
+    bitmap = key_bitmap(prefixes, F.col("h"), prefixes.count())
+    found = materialise(_occurrences(rows.select("uid", "text"), bitmap, sizes, window), "prefixes-met")
+    side = F.broadcast(prefixes) if shape["bytes"] <= broadcast_bytes else shuffled(prefixes)
+    start, n, around = F.col("at") - F.col("place"), F.size(F.split("words", " ")), F.split("around", " ")
+    met = found.join(side, "h").select("uid", start.alias("start"), (start + n).alias("end"), "words", "items", (start - F.col("first") + 1).alias("from"), n.alias("n"), around.alias("around"))
+    bounded = (F.col("from") >= 1) & (F.col("from") + F.col("n") - 1 <= F.size("around"))
+    held = met.where(bounded).where(F.array_join(F.slice("around", F.greatest("from", F.lit(1)), F.col("n")), " ") == F.col("words"))
+    held = materialise(held.select("uid", "start", "end", "items"), "hits")
+    of_text = held.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    of_text = of_text.select("uid", F.struct("spans", "items").alias("all"))
+    fields = "n_hit long, hit_spans array<struct<start:int,end:int>>, items array<string>, n_items long, items_sha256 string"
+    return materialise(map_texts(of_text, "all", ["uid"], fields, _united), "contaminated")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES, extra: list[str] | None = None) -> DataFrame:
+    """One row per document: id, the ``extra`` columns of docs, n_words, n_hit, hit_spans (word places, end exclusive), items (sorted), n_items, items_sha256, contaminated."""
+    rows = numbered(docs, "__uid")
+    bench = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").alias("text"))
+    hits = _hits(rows.select(F.col("__uid").alias("uid"), F.col(f"`{text_col}`").alias("text")), bench, window, shingle, broadcast_bytes)
+    keep = [F.col(f"`{c}`") for c in [id_col, *(extra or [])]]
+    n_words = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words")
+    clean = [F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<struct<start:int,end:int>>").alias("hit_spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_items"), F.lit(_NONE).alias("items_sha256")]
+    if hits is None:
+        return rows.select(*keep, n_words, *clean, F.lit(False).alias("contaminated"))
+    names = ["n_hit", "hit_spans", "items", "n_items", "items_sha256"]
+    hits = hits.select(F.col("uid").alias("__uid"), F.struct(*names).alias("__hit"))
+    halves = possible(rows, F.col("__uid"), hits, F.col("__uid"))
+    touched = halves.where("__possible").join(shuffled(hits), "__uid", "left")
+    both = touched.unionByName(halves.where("not __possible").withColumn("__hit", F.lit(None).cast(hits.schema["__hit"].dataType)))
+    values = [F.coalesce(F.col(f"__hit.{n}"), c).alias(n) for n, c in zip(names, clean, strict=True)]
+    return both.select(*keep, n_words, *values, F.col("__hit").isNotNull().alias("contaminated"))
