@@ -9,13 +9,14 @@ common text would weigh against each copy's edits, and its members would no long
 Each of ``bands * rows`` samples draws a shingle and a level with probability proportional to weight, so two
 documents agree on a sample with probability equal to their weighted Jaccard similarity.  Documents that agree on a
 whole band are candidates.  Candidates are verified by exact weighted Jaccard similarity; classes are the connected
-components of the verified links.
+components of the verified links.  The same rule holds for groups of every size.
 
-Copies (same word sequence) are one node from the start.  Candidate families (nodes connected by shared bands) of at
-most ``family`` nodes are compared in one task each.  In a larger family every band's members are first compared with
-the member that shares most bands with others, in blocks; where a band then still holds several classes, the members
-outside the largest one are compared with all members, in blocks.  So no pair within a class is expanded, every
-candidate pair that could join two classes is compared, and no task holds more than two blocks.
+Copies (same word sequence) are one node from the start.  Each bucket's nodes are first compared with its head, the
+member that shares most bands with others.  Where a bucket then still holds several classes, its nodes are joined on
+their prefixes: with shingles ordered by rarity, two nodes that are similar enough share one of the first shingles that
+make up all but less than ``similar`` of either's weight.  Only nodes of different classes that share such a shingle and
+a bucket are compared.  So no pair within a class is made, every candidate pair that could join two classes is
+compared, and no task holds more than one node and a block of others.
 
 Defined cases: null, empty and word-less texts are classes of their own; the class id is the smallest id in the class
 (null ids last; a class of null ids has a null class id); repeated rows are copies; an empty table gives no rows;
@@ -25,25 +26,26 @@ further columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, possible, shuffled
-from .decontaminate import words_of
+from .common import hot_keys, joined_by_hot_key, materialise, numbered, possible, shuffled
+from .words import POWERS, in_parts, read
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS = 16
 ROWS = 4
 RARE = 1000
-FAMILY = 256
+#: Nodes compared in one task with one other; a text of more than LONG characters is compared in a task of its own.
 BLOCK = 256
+LONG = 1 << 16
+#: Slots of the counts that order shingles by rarity.
+RARITY_SLOTS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -51,55 +53,42 @@ _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 # --- weights -------------------------------------------------------------------------------------------------------
 
 
-def word_weights(docs: DataFrame, text_col: str, rare: int = RARE) -> tuple[dict[bytes, float], float]:
-    """Weights of the words in at least one of ``rare`` documents (at most ``rare`` x the mean words of a document), and that of all others."""
+def word_weights(docs: DataFrame, text_col: str, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, float]:
+    """Hashes in order and weights of the words in at least one of ``rare`` documents (at most ``rare`` x the mean words of a document), and the weight of all others."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(set(words_of(text)))
-            if len(found) > 400_000:
-                yield _counted(found)
-                found = Counter()
-        yield _counted(found)
-
-    def _counted(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+            for _, texts in in_parts(batch):
+                found = read(texts)
+                owner = np.repeat(np.arange(len(texts)), np.diff(found.firsts))
+                order = np.lexsort((found.hashes, owner))
+                h, owner = found.hashes[order], owner[order]
+                once = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
+                h, n = np.unique(h[once], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
 
     total = docs.count()
-    common = docs.select(F.col(f"`{text_col}`").alias("t")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * rare >= total)
-    return {bytes(r["word"]): math.log(1 + total / r["n"]) for r in common.collect()}, math.log(1 + rare)
+    common = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * rare >= total).toArrow()
+    words, n = common.column("word").to_numpy().view(np.uint64), common.column("n").to_numpy()
+    order = np.argsort(words)
+    return words[order], np.log(1 + total / n[order]), math.log(1 + rare)
 
 
 class Shingler:
     """Texts to weighted shingle sets."""
 
-    def __init__(self, weights: dict[bytes, float], other: float):
-        self.weights, self.other = weights, other
-        self._known: dict[bytes, tuple[int, float]] = {}
-
-    def __getstate__(self):
-        return self.weights, self.other
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def _word(self, word: bytes) -> tuple[int, float]:
-        found = self._known.get(word)
-        if found is None:
-            if len(self._known) > 400_000:
-                self._known.clear()
-            found = self._known[word] = (xxhash.xxh3_64_intdigest(word), self.weights.get(word, self.other))
-        return found
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted hashes of the distinct shingles and their weights."""
-        pairs = [self._word(w) for w in words]
-        hashes = np.array([p[0] for p in pairs], np.uint64)
-        weights = np.array([p[1] for p in pairs])
-        n = min(SHINGLE, len(words))
-        size = len(words) - n + 1
+    def __init__(self, words: np.ndarray, weights: np.ndarray, other: float):
+        self.words, self.weights, self.other = words, weights, other
+
+    def of_hashes(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes of the distinct shingles and their weights, from hashes of the words."""
+        weights = np.full(len(hashes), self.other)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+            known = self.words[at] == hashes
+            weights[known] = self.weights[at[known]]
+        n = min(SHINGLE, len(hashes))
+        size = len(hashes) - n + 1
         h = np.full(size, np.uint64(n))
         w = np.zeros(size)
         for k in range(n):
@@ -109,6 +98,9 @@ class Shingler:
         found, at, count = np.unique(h, return_index=True, return_counts=True)
         return found, count * w[at] / n
 
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.of_hashes(read([text]).hashes)
+
 
 # --- signatures ----------------------------------------------------------------------------------------------------
 
@@ -178,14 +170,15 @@ def _signatures(rows: DataFrame, shingler: Shingler, sampler: Sampler) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, sample = shared.value
         for batch in batches:
-            k1, k2, bands = [], [], []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                if not words:
-                    k1.append(None), k2.append(None), bands.append(None)
-                    continue
-                a, b = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), "<i8")
-                k1.append(int(a)), k2.append(int(b)), bands.append(sample.band_hashes(sample.signature(*shingles.of(words))))
+            k1, k2, bands = ([None] * len(batch) for _ in range(3))
+            for at, texts in in_parts(batch):
+                found = read(texts)
+                first, last = found.firsts[:-1], found.firsts[1:]
+                keys = [p.runs(found.hashes, first, last).view(np.int64).tolist() for p in POWERS]
+                for i, row in enumerate(at.tolist()):
+                    if first[i] < last[i]:
+                        k1[row], k2[row] = keys[0][i], keys[1][i]
+                        bands[row] = sample.band_hashes(sample.signature(*shingles.of_hashes(found.hashes[first[i] : last[i]])))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("uid", "none", "id")], pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["uid", "none", "id", "k1", "k2", "bands"])
 
     kind = rows.schema["id"].dataType.simpleString()
@@ -198,16 +191,18 @@ def _signatures(rows: DataFrame, shingler: Shingler, sampler: Sampler) -> DataFr
 def components(links: DataFrame) -> DataFrame:
     """links: a, b.  (node, label) for every node in a link; the label is the smallest node connected to it.
 
-    Each step takes the least label among neighbours and then the label of that label, so paths halve."""
+    Each step takes the least label among neighbours and then the label of that label, so paths halve.  Nodes with many
+    neighbours and labels of many nodes are joined apart."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialise(both, "edges")
+    many = hot_keys(both, "b")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")), "labels")
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        seen = joined_by_hot_key(both, labels.select(F.col("node").alias("b"), "label"), "b", many).select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
         least = seen.unionByName(labels.withColumn("old", F.col("label"))).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         least = materialise(least, "labels")
         jump = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = materialise(least.join(jump, "label").select("node", F.col("next").alias("label"), "old"), "labels")
+        labels = materialise(joined_by_hot_key(least, jump, "label").select("node", F.col("next").alias("label"), "old"), "labels")
         if labels.where(F.col("label") != F.col("old")).isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
@@ -258,7 +253,7 @@ def _compare(tasks: DataFrame, texts: DataFrame, shingler: Shingler, least: floa
     def run(table: pa.Table) -> pa.Table:
         shingles, left, right = shared.value, [], []
         for node, side, label, text in zip(*[table.column(c).to_pylist() for c in ("node", "side", "label", "text")], strict=True):
-            item = (node, *shingles.of(words_of(text)), label)
+            item = (node, *shingles.of(text), label)
             if side != 1:
                 left.append(item)
             if side != 0:
@@ -269,61 +264,115 @@ def _compare(tasks: DataFrame, texts: DataFrame, shingler: Shingler, least: floa
     return tasks.join(shuffled(texts), "node").groupBy("t1", "t2").applyInArrow(run, "a long, b long")
 
 
+def _block(node: str, chars: str, size, block: int):
+    """The task of a node among ``size`` others that are compared with the same one; long texts have tasks of their own."""
+    return F.when(F.col(chars) > LONG, -1 - F.col(node)).otherwise(F.pmod(F.xxhash64(node), F.ceil(size / block)))
+
+
+def _prefixes(texts: DataFrame, shingler: Shingler, similar: float) -> DataFrame:
+    """texts: node, text.  node, token: the first shingles by rarity that leave less than ``similar`` of the weight.
+
+    Rarity is taken from counts in a fixed number of slots; any order that all nodes share gives every similar pair."""
+    context = texts.sparkSession.sparkContext
+    shared = context.broadcast(shingler)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(RARITY_SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                slots = (shared.value.of(text.as_py())[0] & np.uint64(RARITY_SLOTS - 1)).astype(np.int64)
+                np.add.at(n, slots, 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+
+    table = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most RARITY_SLOTS rows
+    counts = np.zeros(RARITY_SLOTS, np.int64)
+    counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+    rarity = context.broadcast(counts)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text")):
+                h, w = shared.value.of(text.as_py())
+                order = np.lexsort((h, rarity.value[(h & np.uint64(RARITY_SLOTS - 1)).astype(np.int64)]))
+                before = np.cumsum(w[order]) - w[order]
+                tokens = h[order][before <= (1 - similar + 1e-6) * w.sum()].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), node)), pa.array(tokens)], names=["node", "token"])
+
+    return texts.select("node", "text").mapInArrow(cut, "node long, token long")
+
+
+def _open_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, shingler: Shingler, similar: float) -> DataFrame | None:
+    """a, b, label_a, label_b: nodes of different classes that share a bucket and a prefix shingle."""
+    now = materialise(members.join(shuffled(labels), "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label")), "labelled")
+    several = now.where("size > 2").groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
+    mine = materialise(joined_by_hot_key(now, several, "bucket").select("bucket", "node", "label"), "open")
+    if mine.isEmpty():
+        return None
+    nodes = materialise(mine.groupBy("node").agg(F.first("label").alias("label"), F.collect_list("bucket").alias("buckets")), "open-nodes")  # at most `bands` buckets
+    tokens = _prefixes(texts.join(shuffled(nodes.select("node")), "node"), shingler, similar)
+    tokens = materialise(tokens.join(shuffled(nodes.select("node", "label")), "node"), "tokens")
+    counts = tokens.groupBy("token", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("token", F.col("top.label").alias("main"))
+    shared = materialise(joined_by_hot_key(tokens, materialise(main, "main"), "token"), "shared")
+    minor = shared.where(F.col("label") != F.col("main")).select("token", F.col("node").alias("x"), F.col("label").alias("label_x"))
+    every = shared.select("token", F.col("node").alias("y"), F.col("label").alias("label_y"))
+    met = minor.join(shuffled(every), "token").where(F.col("label_x") != F.col("label_y"))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(shuffled(nodes.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"), F.col("buckets").alias(f"buckets_{side}"))), side)
+    return pairs.where(F.arrays_overlap("buckets_a", "buckets_b")).select("a", "b", "label_a", "label_b")
+
+
 # --- the operator --------------------------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, rare: int = RARE, family: int = FAMILY, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: uid (its place in docs), id, class_id, class_size, stays (true for one row of each class)."""
-    given = docs.select(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    all_rows = numbered(given, "uid")
-    shingler = Shingler(*word_weights(docs, text_col, rare))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, rare: int = RARE, block: int = BLOCK, uid_col: str | None = None) -> DataFrame:
+    """One row per row of docs: uid (``uid_col``, row numbers as from `numbered`, or its place in docs), id, class_id, class_size, stays (true for one row of each class)."""
+    given = docs if uid_col else numbered(docs, "__uid")
+    all_rows = given.select(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{uid_col or '__uid'}`").alias("uid"))
+    shingler = Shingler(*word_weights(given, text_col, rare))
     sigs = materialise(_signatures(all_rows, shingler, Sampler(bands, rows)), "signatures")
     place = F.struct("none", "id", "uid")
     nodes = sigs.where(F.col("k1").isNotNull()).groupBy("k1", "k2").agg(F.min("uid").alias("node"), F.min(place).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     nodes = materialise(nodes, "nodes")
-    each = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = materialise(each.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("least")).where(F.col("size") > 1), "buckets")
-    members = materialise(each.join(shuffled(shared), "bucket"), "members")  # bucket, node, size, least
-    families = components(members.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-    sizes = families.groupBy("label").agg(F.count("*").alias("nodes"))
-    families = materialise(families.join(shuffled(sizes), "label").select("node", F.col("label").alias("family"), "nodes"), "families")
-    held = possible(all_rows.select(F.col("uid").alias("node"), "text"), F.col("node"), families, F.col("node")).where("__possible")
-    texts = materialise(held.select("node", "text").join(shuffled(families.select("node")), "node"), "texts")
-    small = families.where(F.col("nodes") <= family)
-    links = materialise(_compare(small.select(F.col("family").alias("t1"), F.lit(0).alias("t2"), "node", F.lit(2).alias("side"), F.col("node").alias("label")), texts, shingler, similar), "links")
-    large = families.where(F.col("nodes") > family)
-    if not large.isEmpty():
-        links = links.unionByName(_large_families(members, large, texts, shingler, similar, block))
+    links = materialise(_links(all_rows, nodes, shingler, similar, block), "links")
     labels = components(links)
     classed = nodes.drop("bands").join(shuffled(labels), "node", "left").withColumn("class", F.coalesce("label", "node"))
-    classes = classed.groupBy("class").agg(F.min("first").alias("stays"), F.sum("copies").alias("class_size"))
-    classed = materialise(classed.join(shuffled(classes), "class").select("k1", "k2", "stays", "class_size"), "classes")
+    classed = materialise(classed.select("k1", "k2", "first", "copies", "class"), "classed")
+    classes = materialise(classed.groupBy("class").agg(F.min("first").alias("stays"), F.sum("copies").alias("class_size")), "classes")
+    classed = materialise(joined_by_hot_key(classed, classes, "class").select("k1", "k2", "stays", "class_size"), "classes")
     found = sigs.where(F.col("k1").isNotNull()).select("uid", "id", "k1", "k2").join(shuffled(classed), ["k1", "k2"])
     found = found.select("uid", "id", F.col("stays.id").alias("class_id"), "class_size", (F.col("uid") == F.col("stays.uid")).alias("stays"))
     alone = sigs.where(F.col("k1").isNull()).select("uid", "id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("stays"))
     return found.unionByName(alone)
 
 
-def _large_families(members: DataFrame, large: DataFrame, texts: DataFrame, shingler: Shingler, similar: float, block: int) -> DataFrame:
-    mine = materialise(members.join(large.select("node"), "node").select("bucket", "node", "size"), "members")
-    shares = mine.groupBy("node").agg(F.sum("size").alias("shares"))
-    heads = mine.join(shares, "node").groupBy("bucket").agg(F.max(F.struct("shares", (-F.col("node")).alias("minus"))).alias("head"))
+def _links(all_rows: DataFrame, nodes: DataFrame, shingler: Shingler, similar: float, block: int) -> DataFrame:
+    each = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = materialise(each.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1), "buckets")
+    maybe = possible(each, F.col("bucket"), shared, F.col("bucket")).where("__possible").select("node", "bucket")
+    members = materialise(maybe.join(shuffled(shared), "bucket"), "members")  # bucket, node, size
+    shares = materialise(members.groupBy("node").agg(F.sum("size").alias("shares")), "shares")
+    held = possible(all_rows.select(F.col("uid").alias("node"), "text"), F.col("node"), shares, F.col("node")).where("__possible")
+    texts = materialise(held.select("node", "text", F.length("text").alias("chars")).join(shuffled(shares.select("node")), "node"), "texts")
+    heads = members.join(shuffled(shares), "node").groupBy("bucket").agg(F.max(F.struct("shares", (-F.col("node")).alias("minus"))).alias("head"))
     heads = materialise(heads.select("bucket", (-F.col("head.minus")).alias("head")), "heads")
-    stars = mine.join(heads, "bucket").where(F.col("node") != F.col("head")).groupBy("head", "node").agg(F.max("size").alias("size"))
-    stars = stars.select(F.col("head").alias("t1"), F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).cast("int").alias("t2"), "node")
-    stars = materialise(stars, "stars")
-    left = stars.select("t1", "t2", F.col("t1").alias("node")).distinct().withColumn("side", F.lit(0))
-    tasks = left.unionByName(stars.withColumn("side", F.lit(1))).withColumn("label", F.col("node"))
-    first = materialise(_compare(tasks, texts, shingler, similar), "links")
-    labels = components(first)
-    now = materialise(mine.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "labelled")
-    counts = now.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    tops = counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).where(F.col("all") > F.col("top.n"))
-    still = materialise(tops.select("bucket", F.col("top.label").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("minor")), "open")
-    # task of a minor block i and a member block j of one bucket; each row goes to every block of the other side
-    i_blocks, j_blocks = F.ceil(F.col("minor") / block).cast("int"), F.ceil(F.col("all") / block).cast("int")
-    rows = now.join(still, "bucket").withColumn("i", i_blocks).withColumn("j", j_blocks)
-    minor = rows.where(F.col("label") != F.col("main")).select("bucket", "node", "label", F.lit(0).alias("side"), (F.pmod(F.xxhash64("node"), F.col("i")) * F.col("j")).alias("base"), F.explode(F.sequence(F.lit(0), F.col("j") - 1)).alias("k"))
-    every = rows.select("bucket", "node", "label", F.lit(1).alias("side"), F.pmod(F.xxhash64("node"), F.col("j")).alias("base"), F.explode(F.transform(F.sequence(F.lit(0), F.col("i") - 1), lambda x: x * F.col("j"))).alias("k"))
-    tasks = minor.unionByName(every).select(F.col("bucket").alias("t1"), (F.col("base") + F.col("k")).cast("int").alias("t2"), "node", "side", "label")
-    return first.unionByName(materialise(_compare(tasks, texts, shingler, similar), "links"))
+    stars = joined_by_hot_key(members, heads, "bucket").where(F.col("node") != F.col("head")).groupBy("head", "node").agg(F.max("size").alias("size"))
+    links = _compared(stars.select(F.col("head").alias("x"), F.col("node").alias("y"), F.col("head").alias("label_x"), F.col("node").alias("label_y"), "size"), texts, shingler, similar, block)
+    pairs = _open_pairs(members, components(links), texts, shingler, similar)
+    if pairs is None:
+        return links
+    pairs = materialise(pairs, "pairs")
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("size"))
+    more = joined_by_hot_key(pairs, sizes, "a").select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("label_a").alias("label_x"), F.col("label_b").alias("label_y"), "size")
+    return links.unionByName(_compared(more, texts, shingler, similar, block))
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, shingler: Shingler, similar: float, block: int) -> DataFrame:
+    """pairs: x, y, label_x, label_y, size (at least the number of pairs of x).  Verified links a, b."""
+    right = pairs.join(shuffled(texts.select(F.col("node").alias("y"), "chars")), "y")
+    right = right.select(F.col("x").alias("t1"), _block("y", "chars", F.col("size"), block).cast("long").alias("t2"), F.col("y").alias("node"), F.lit(1).alias("side"), F.col("label_y").alias("label"), F.col("label_x"))
+    right = materialise(right, "tasks")
+    left = right.select("t1", "t2", F.col("t1").alias("node"), F.lit(0).alias("side"), F.col("label_x").alias("label")).distinct()
+    return materialise(_compare(left.unionByName(right.drop("label_x")), texts, shingler, similar), "links")
