@@ -46,8 +46,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, the one with the smallest id."""
     masked, names, back = _masked(docs)
-    stays = near_dedup.near_duplicates(masked, names["doc_id"], names["text"]).where("stays").select("uid")
-    return numbered(masked, "uid").join(stays, "uid", "left_semi").select(*back)
+    rows = numbered(masked, "uid")
+    stays = near_dedup.near_duplicates(rows, names["doc_id"], names["text"], uid_col="uid").where("stays").select("uid")
+    return rows.join(stays, "uid", "left_semi").select(*back)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
