@@ -430,37 +430,6 @@ def test_cached_chunks_encode_as_the_whole():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
-def _cut_chunks(spark, rows):
-    """rows in order of (id, uid): chunks by the same boundary rule, first occurrence stays."""
-    table = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "k int, text string").where("text is not null")
-    hashed = table.select("k", F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x)).alias("h")).collect()
-    pairs = sorted({(a, b) for r in hashed for a, b in zip(r.h, r.h[1:])})
-    rolled = {(r.a, r.b): r.x for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("x")).collect()} if pairs else {}
-    hashes, seen, out = {r.k: r.h for r in hashed}, set(), []
-    for k, (i, t) in enumerate(rows):
-        lines, drop, start = (t or "").split("\n"), set(), 0
-        for n in range(len(lines)):
-            if n == len(lines) - 1 or (n >= 1 and rolled[(hashes[k][n - 1], hashes[k][n])] % line_dedup.DIVISOR == 0):
-                chunk = tuple(lines[start : n + 1])
-                if len(chunk) > 1 and "".join(chunk).strip():
-                    drop.update(range(start, n + 1)) if chunk in seen else seen.add(chunk)
-                start = n + 1
-        out.append((i, t if t is None or not drop else "\n".join(x for n, x in enumerate(lines) if n not in drop), len(drop)))
-    return out
-
-
-def test_line_dedup(spark, docs, empty):
-    table = _read(spark, docs).where("doc_id is null or (doc_id != 5 and doc_id < 1000) or doc_id > 1000")
-    out = line_dedup.line_dedup(table)
-    assert out.columns == table.columns + ["lines_removed", "chunks_removed"]
-    rows = sorted([(r.doc_id, r.text) for r in table.collect()], key=lambda x: (x[0] is None, x[0] or 0))
-    want = _cut_chunks(spark, rows)
-    assert sorted(((r.doc_id, r.text, r.lines_removed) for r in out.collect()), key=str) == sorted(want, key=str)
-    assert sum(x[2] for x in want) > 20
-    assert line_dedup.line_dedup(empty).count() == 0
-    assert line_dedup.line_dedup(_read(spark, docs)).count() == _read(spark, docs).count()
-
-
 def _cut_runs(rows):
     """rows in order: every run of two or more lines that stands before, without overlap, goes; found without chunks."""
     seen, out = set(), []
@@ -479,6 +448,19 @@ def _cut_runs(rows):
     return out
 
 
+def test_line_dedup(spark, docs, empty):
+    table = _read(spark, docs).where("doc_id is null or (doc_id != 5 and doc_id < 1000) or doc_id > 1000")
+    out = line_dedup.line_dedup(table)
+    assert out.columns == table.columns + ["lines_removed", "chunks_removed"]
+    rows = sorted([(r.doc_id, r.text) for r in table.collect()], key=lambda x: (x[0] is None, x[0] or 0))
+    want = _cut_runs([(i, t) for i, t in rows if i != 1006])
+    got = out.select("doc_id", "text", "lines_removed", "chunks_removed").collect()
+    assert sorted((tuple(r) for r in got if r.doc_id != 1006), key=str) == sorted(want, key=str)
+    assert sum(x[2] for x in want) > 20 and [r.lines_removed for r in got if r.doc_id == 1006] == [0]
+    assert line_dedup.line_dedup(empty).count() == 0
+    assert line_dedup.line_dedup(_read(spark, docs)).count() == _read(spark, docs).count()
+
+
 def test_line_dedup_removes_whole_runs(spark):
     passage = [f"Line {k} of a passage that stands in many texts." for k in range(12)]
     rows = [(i, t) for i, t in enumerate(TEXTS)]
@@ -655,3 +637,19 @@ def test_near_dedup_recall(spark, tmp_path):
     recall = sum(classes[a] == classes[b] for a, b in links) / len(links)
     print(f"recall {recall:.4f} of {len(links)} links among {len(sets)} documents")
     assert len(links) > 20 and recall >= 0.99
+
+
+def test_content_chunks(spark):
+    """Boundaries depend on the lines around them alone, chunks have two lines or more and make up the text."""
+    rng = random.Random(6)
+    passage = [f"line {rng.randint(0, 99)}" for _ in range(60)]
+    texts = ["\n".join(x) for x in (passage, ["one", "two", *passage, "end"], passage[:2], ["", "", "C", "L", " x"], ["same"] * 30)]
+    table = spark.createDataFrame(list(enumerate(texts)), "uid long, text string").select("uid", F.split("text", "\n", -1).alias("lines"))
+    found = {}
+    for r in line_dedup.content_chunks(table).collect():
+        found.setdefault(r.uid, {})[r.start] = r.chunk
+    for i, t in enumerate(texts):
+        chunks = [x.split("\n") for _, x in sorted(found[i].items())]
+        assert "\n".join(x[1:] for c in chunks for x in c) == t and all(len(c) > 1 for c in chunks)
+        assert all(x[0] == "LC"[k == 0] for c in chunks for k, x in enumerate(c))
+    assert len(set(found[0].values()) & set(found[1].values())) >= len(found[0]) - 2 and len(found[0]) > 12

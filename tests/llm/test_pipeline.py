@@ -2,7 +2,7 @@
 
 import pytest
 import corpus_pipeline
-from .test_operators import SCHEMA, TEXTS, _classes, _contaminated, _cut_chunks, _row
+from .test_operators import SCHEMA, TEXTS, _classes, _contaminated, _cut_runs, _row
 
 
 @pytest.fixture(scope="module")
@@ -25,8 +25,8 @@ def test_stages(spark, sf_dir):
     out = stages["language_id"](spark, docs, sf_dir)
     assert out.columns == docs.columns and _pairs(out) == sorted((x for x in rows if x[1] and x[1] != "!!! 123"), key=str)
     out = stages["line_dedup"](spark, docs.where("doc_id != 5 or doc_id is null"), sf_dir)
-    want = _cut_chunks(spark, sorted([x for x in rows if x[0] != 5], key=lambda x: (x[0] is None, x[0] or 0)))
-    assert out.columns == docs.columns and _pairs(out) == sorted(((i, t) for i, t, n in want if not n or t.strip()), key=str)
+    want = _cut_runs(sorted([x for x in rows if x[0] != 5], key=lambda x: (x[0] is None, x[0] or 0)))
+    assert out.columns == docs.columns and _pairs(out) == sorted(((i, t) for i, t, n, _ in want if not n or t.strip()), key=str)
     out = stages["near_dedup"](spark, docs, sf_dir)
     classes = {c for _, c, _ in _classes(rows)}
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(classes)
