@@ -8,7 +8,8 @@ languages of an n-gram at once (the AND of its slots).
 Scoring: over all n-grams of the whole text, a language's count is the number of masks with its bit; as a share
 ``fill ** hashes`` of foreign n-grams hits a language by chance, the count is corrected to
 ``(count - n * fp) / (1 - fp)``.  The largest corrected count decides; ties go to the language with more documents,
-then by name.  The score is the winner's part of all corrected counts.
+then by name.  The score is the winner's part of all corrected counts; the evidence is the winner's corrected count as a
+part of the text's own n-grams, which does not fall with the number of languages.
 
 Defined cases: null text or text without any letter: ``und`` with score 0; without labelled rows all are ``und``;
 empty table: no rows; further columns are ignored; repeated rows are each judged.
@@ -96,16 +97,17 @@ class LanguageFilters:
                     out[:, 64 * w + b] += np.bincount(owner[(found & found.dtype.type(1 << b)) != 0], minlength=len(texts))
         return out, total
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """For each text its language, score and evidence."""
         whole = [t or "" for t in texts]
         if not self.languages:
-            return [UNDETERMINED] * len(whole), np.zeros(len(whole))
+            return [UNDETERMINED] * len(whole), np.zeros(len(whole)), np.zeros(len(whole))
         found, total = self.counts(whole)
         right = np.clip((found - total[:, None] * self.false_positive) / (1 - self.false_positive), 0, None)
         best, sums = right.argmax(1), right.sum(1)
         score = np.where(sums > 0, right.max(1) / np.where(sums > 0, sums, 1), 1 / len(self.languages))
         known = np.array([any(map(str.isalpha, t)) for t in whole], bool)
-        return [self.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, np.minimum(score, 1.0), 0.0)
+        return [self.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, np.minimum(score, 1.0), 0.0), np.where(known, np.minimum(right.max(1) / np.maximum(total, 1), 1.0), 0.0)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | None = None, sample_docs: int = SAMPLE_DOCS, bits: int = SLOT_BITS, orders: tuple[int, ...] = ORDERS, share: float = SHARE, least: int = LEAST) -> LanguageFilters:
@@ -147,11 +149,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``keep`` (by default all but clashing ones), lang_pred and score."""
+    """The columns of ``keep`` (by default all but clashing ones), lang_pred, score and evidence."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def judge(texts: list[str | None]) -> list[pa.Array]:
-        langs, scores = shared.value.predict(texts)
-        return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+        langs, scores, evidence = shared.value.predict(texts)
+        return [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(evidence, pa.float64())]
 
-    return map_texts(docs, text_col, [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep, "lang_pred string, score double", judge)
+    return map_texts(docs, text_col, [c for c in docs.columns if c not in ("lang_pred", "score", "evidence")] if keep is None else keep, "lang_pred string, score double, evidence double", judge)

@@ -33,7 +33,8 @@ CAPACITY = 2048
 END_TOKEN = 0
 #: Pieces ranked in one bucket at most, on average; there are at least as many buckets as shuffle partitions.
 RANK_ROWS = 200_000
-_CACHE_ENTRIES = 600_000
+#: Bytes that one worker keeps of chunks and their ids, about; longer chunks are not kept.
+_CACHE_BYTES, _CACHED_CHARS = 96 << 20, 64
 #: What the byte-level vocabulary reads apart at white space; both halves of a text cut there encode alone.
 _CHUNKS = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+").findall
 _ODD = re.compile(r"[\x1c-\x1f]|<\|endoftext\|>")
@@ -44,7 +45,7 @@ class _Encoder(dict):
 
     def __init__(self, tokenizer: str, ranks: str, pattern: str):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.held = tokenizer, 0
         self._whole = None
         import tiktoken
 
@@ -54,9 +55,12 @@ class _Encoder(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         ids = array("I", self._fast(chunk)).tobytes()
-        if len(self) >= _CACHE_ENTRIES:
-            self.clear()
-        self[chunk] = ids
+        if len(chunk) <= _CACHED_CHARS:
+            self.held += 200 + 4 * len(chunk) + len(ids)
+            if self.held > _CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self[chunk] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -134,7 +138,7 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
             n = min(left[k] - taken[k], gap // k)
             taken[k] += n
             gap -= n * k
-        if gap and len(taken) + sum(taken.values()) > 2:
+        if gap:
             small = min(taken)
             for total in range(small + gap, small + 1, -1):  # the tightest first
                 pair = next(((x, total - x) for x in range(total - 1, (total - 1) // 2, -1) if _free(left, taken, x, total - x)), None) if _may_pair(there, total) else None

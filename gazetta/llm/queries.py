@@ -31,7 +31,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     filters = langid.fit(docs, where=~held_out)
-    return langid.predict(docs.withColumn("held_out", held_out), filters, keep=["doc_id", "held_out"])
+    return langid.predict(docs.withColumn("held_out", held_out), filters, keep=["doc_id", "held_out"]).drop("evidence")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

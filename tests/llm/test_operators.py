@@ -90,6 +90,14 @@ def test_url_filter(spark, limit):
     assert {r["verdict"] for r in url_filter.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_url_rules_of_any_shape(spark):
+    """Hosts in upper case, paths without a leading slash, empty paths, nulls."""
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://com.evil/x"), (3, "http://a.com")], "page_id long, url string")
+    rules = [("A.COM", "/x", "block"), ("com", ".evil", "block"), (None, "/", "block"), ("a.com", None, "block"), ("a.com", "", "mark")]
+    out = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert out == {1: ("a.com/x", "block"), 2: (None, "allow"), 3: ("a.com", "mark")}
+
+
 def _exact(rows):
     groups = {}
     for i, t in rows:
@@ -139,6 +147,52 @@ def test_language_id(spark, docs, empty):
     assert {r.lang_pred for r in langid.predict(table, none).collect()} == {"und"}
 
 
+def _language(texts, labelled):
+    """The rule of langid with exact sets, letter by letter: n-grams, their languages, the counts of each text."""
+    from collections import Counter
+
+    def grams(t):
+        letters = re.sub(r"(?:(?!\0).)+", lambda m: m[0], "".join(c if c.isalpha() else " " for c in ("\n" + t.lower() + "\n")))
+        letters = re.sub(" +", " ", letters)
+        return [letters[i : i + n] for n in langid.ORDERS for i in range(len(letters) - n + 1)]
+
+    seen = {}
+    for t, lang in labelled:
+        seen.setdefault(lang, Counter()).update(grams(t))
+    totals = {lang: sum(c.values()) for lang, c in seen.items()}
+    most = {g: max(c[g] / totals[lang] for lang, c in seen.items()) for c in seen.values() for g in c}
+    member = {lang: {g for g, n in c.items() if n >= langid.LEAST and n / totals[lang] >= langid.SHARE * most[g]} for lang, c in seen.items()}
+    return [({lang: sum(g in m for g in grams(t)) for lang, m in member.items()}, len(grams(t))) for t in texts], member
+
+
+def test_language_filters_against_exact_sets(spark):
+    """Bits, popcounts and their correction for false positives, against sets of n-grams."""
+    data = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(data):
+        pytest.skip("the driver's tables are not here")
+    docs = spark.read.parquet(data).where(F.length("text") < 3000)
+    rows = [(r.text, r.lang) for r in docs.collect() if r.text]
+    labelled, texts = [x for x in rows if x[1]], [t for t, _ in rows]
+    want, member = _language(texts, labelled)
+    filters = langid.fit(docs)
+    assert sorted(filters.languages) == sorted(member)
+    found, total = filters.counts(texts)
+    assert [n for _, n in want] == total.tolist()
+    for i, lang in enumerate(filters.languages):
+        exact = np.array([w[lang] for w, _ in want])
+        foreign = total - exact
+        assert (found[:, i] >= exact).all()  # a Bloom filter loses none
+        assert abs((found[:, i] - exact).sum() - filters.false_positive[i] * foreign.sum()) <= 5 * np.sqrt(filters.false_positive[i] * foreign.sum() + 1) + 0.002 * foreign.sum()
+        corrected = (found[:, i] - total * filters.false_positive[i]) / (1 - filters.false_positive[i])
+        assert np.abs(corrected - exact).mean() <= 0.02 * total.mean()
+    langs, scores, evidence = filters.predict(texts)
+    for (counts, n), lang, score, part in zip(want, langs, scores, evidence):
+        if n and lang != "und":
+            best = max(counts.values())
+            assert counts[lang] >= best - 0.03 * n - 2 and abs(part - counts[lang] / n) < 0.1 + 5 / n
+            assert 0 <= score <= 1
+
+
 def _contaminated(text, items, window=10):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     hit, found = set(), set()
