@@ -69,14 +69,17 @@ def _iterating(f: Callable, kind: str) -> Callable[[Column], Column]:
     return F.pandas_udf(f, kind)
 
 
-def texts_in(value: object, depth: int = 0) -> list[str]:
-    """Every string under a "text" key, in order, down to a fixed depth."""
-    if depth > MAX_DEPTH:
-        return []
-    if isinstance(value, dict):
-        own = [v for k, v in value.items() if k == "text" and isinstance(v, str)]
-        return own + [t for k, v in value.items() if not (k == "text" and isinstance(v, str)) for t in texts_in(v, depth + 1)]
-    return [t for v in value for t in texts_in(v, depth + 1)] if isinstance(value, list) else []
+def texts_in(payload: object) -> list[str]:
+    """Every string under a "text" key in the order of the document; what lies deeper than MAX_DEPTH is left out."""
+    found, waiting = [], [("", payload, 0)]
+    while waiting:
+        key, value, depth = waiting.pop()
+        if isinstance(value, str):
+            found += [value] * (key == "text")
+        elif depth <= MAX_DEPTH and isinstance(value, (dict, list)):
+            inner = value.items() if isinstance(value, dict) else (("", v) for v in value)
+            waiting += [(k, v, depth + 1) for k, v in inner][::-1]
+    return found
 
 
 def deep_texts(payload: Column) -> Column:

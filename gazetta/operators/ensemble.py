@@ -48,7 +48,7 @@ def first_per_key(df: DataFrame) -> DataFrame:
 
 
 def compare(primary: DataFrame, secondary: DataFrame, darwin_core: bool = True) -> DataFrame:
-    """Every primary row with the produced columns of its first secondary match, category and distance (km, 3 places)."""
+    """Every primary row with the produced columns of its first secondary match, category and distance (km, 3 places), and the ordinal by which exporters sort."""
     # rows without a key match nothing; keys of their own spread them over the tasks
     left = _keyed(primary, darwin_core).withColumn("__key", F.coalesce("__key", F.concat(F.lit("\0"), F.col(S.ROW))))
     produced = [c for c in S.PRODUCED if c in secondary.columns]
@@ -58,7 +58,7 @@ def compare(primary: DataFrame, secondary: DataFrame, darwin_core: bool = True)
     km = F.round(haversine(F.col("__at.lat"), F.col("__at.lon"), F.col("__r")["__at"]["lat"], F.col("__r")["__at"]["lon"]), 3)
     joined = joined.withColumn("__km", km)
     second = [F.coalesce(F.col("__r")[c].cast("string"), F.lit("")).alias(f"Secondary_{c}") for c in produced]
-    return joined.select(*[ref(c) for c in primary.columns if c != S.ROW], *second, category(F.col("__km")).alias(CATEGORY), F.col("__km").alias(DISTANCE), F.col("__r").isNotNull().alias("__matched"), S.ROW).orderBy(S.ROW)
+    return joined.select(*[ref(c) for c in primary.columns if c != S.ROW], *second, category(F.col("__km")).alias(CATEGORY), F.col("__km").alias(DISTANCE), F.col("__r").isNotNull().alias("__matched"), S.ROW)
 
 
 def summarise(compared: DataFrame) -> DataFrame:

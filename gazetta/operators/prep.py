@@ -51,17 +51,19 @@ def filter_stats(df: DataFrame, include_existing: bool = False, max_records: int
 
 
 def deduplicate(df: DataFrame) -> DataFrame:
-    """One row per place in first-seen order: the first full record, its key, the distinct ids in order, the count.
+    """One row per place: the first full record, its ordinal (by which exporters sort), the place's key, the distinct ids in order, the count.
 
-    Wide records do not travel with the group: the aggregate runs on key, ordinal and id, and the first records are
-    fetched by their ordinal."""
+    First records are picked in the map tasks before any is sent; ids and counts are gathered apart from them."""
     rows = df if LOC in df.columns else resolve(with_row(df))
-    slim = rows.select(normalised(F.col(LOC)).alias("__l"), normalised(F.col(CTRY)).alias("__c"), F.col(S.ROW).alias("__row"), nonblank(F.when(F.col(ID) != "Unknown", F.col(ID))).alias("__id"))
+    place = [normalised(F.col(LOC)).alias("__l"), normalised(F.col(CTRY)).alias("__c")]
+    own = [c for c in rows.columns if c != S.ROW]
+    firsts = rows.select(*place, F.col(S.ROW), F.struct(*[ref(c) for c in own]).alias("__own")).groupBy("__l", "__c").agg(F.min_by("__own", S.ROW).alias("__own"), F.min(S.ROW).alias(S.ROW))
+    slim = rows.select(*place, F.col(S.ROW).alias("__row"), nonblank(F.when(F.col(ID) != "Unknown", F.col(ID))).alias("__id"))
     per_id = slim.groupBy("__l", "__c", "__id").agg(F.min("__row").alias("__at"), F.count("*").alias("__n"))  # hot places shrink in the map tasks
     ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("__id").isNotNull(), F.struct("__at", "__id")))), lambda x: x["__id"])
-    groups = per_id.groupBy("__l", "__c").agg(F.min("__at").alias(S.ROW), ids.alias(S.OCCURRENCE_IDS), F.sum("__n").alias(S.OCCURRENCE_COUNT))
-    groups = groups.select(F.concat("__l", F.lit("|"), "__c").alias(S.DEDUP_KEY), S.ROW, S.OCCURRENCE_IDS, S.OCCURRENCE_COUNT)
-    return rows.join(groups, S.ROW).orderBy(S.ROW)
+    groups = per_id.groupBy("__l", "__c").agg(ids.alias(S.OCCURRENCE_IDS), F.sum("__n").alias(S.OCCURRENCE_COUNT))
+    out = firsts.join(groups, ["__l", "__c"])
+    return out.select(S.ROW, *[F.col("__own")[c].alias(c) for c in own], F.concat("__l", F.lit("|"), "__c").alias(S.DEDUP_KEY), S.OCCURRENCE_IDS, S.OCCURRENCE_COUNT)
 
 
 def tracking_as_text(df: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def expand(original: DataFrame, processed: DataFrame, protect_existing: bool = F
 
     Of processed rows with the same place the last wins.  A matched row takes every produced column that the result
     has, also blank ones; others keep their own.  ``protect_existing`` keeps valid coordinates of the original.
-    Adds __matched; order and number of rows stay."""
+    Adds __matched; the number of rows stays, and the ordinal by which exporters sort."""
     left = with_row(original)
     c = left.columns
     left_resolved = resolve(left)
@@ -97,7 +99,7 @@ def expand(original: DataFrame, processed: DataFrame, protect_existing: bool = F
             take = keep if name in ("Latitude", "Longitude", "Coordinate_Source", "Coordinate_Radius_Meters") else hit
             own = F.when(take, F.col("__new")[name].cast("string")).otherwise(own.cast("string"))
         out.append(own.alias(name))
-    return joined.select(*out, hit.alias("__matched"), S.ROW).orderBy(S.ROW)
+    return joined.select(*out, hit.alias("__matched"), S.ROW)
 
 
 def expand_stats(expanded: DataFrame) -> DataFrame:

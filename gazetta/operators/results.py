@@ -43,7 +43,7 @@ def message_results(lines: DataFrame, rescan: bool = False) -> DataFrame:
 def keyed_results(lines: DataFrame) -> DataFrame:
     """Lines {key, response} of any depth: the first "text" string that holds an object wins."""
     v = F.col("value")
-    rows = lines.where(F.trim("value") != "").withColumn("__text", candidate_text(v))
+    rows = lines.where(F.trim("value") != "").withColumn("__text", candidate_text(F.coalesce(F.get_json_object(v, "$.response"), v)))
     rows = rows.withColumn("__deep", deep_texts(F.when(F.col("__text") == "", v)))  # only payloads of another shape go to Python
     text = F.coalesce(F.when(F.col("__text") != "", F.col("__text")), F.get(F.filter("__deep", lambda t: t.contains("{")), F.lit(0)))
     rows = rows.withColumn("__text", text)
@@ -86,7 +86,9 @@ def merge_with_source(results: DataFrame, source: DataFrame, id_col: str = "Barc
 
 
 def realtime_columns(loc: Column, ctry: Column) -> dict[str, Column]:
-    """Produced columns of a parsed response (columns of the response, success, error); given coordinates are kept."""
+    """Produced columns of a parsed response (columns of the response, success, error, called); given coordinates are kept.
+
+    A failed call (not ``called``) and an answer that does not parse keep country and locality and say so in their notes."""
     ok = F.coalesce(F.col("success"), F.lit(False))
     out = {}
     for name, field in S.RESPONSE_OF.items():
@@ -102,15 +104,20 @@ def realtime_columns(loc: Column, ctry: Column) -> dict[str, Column]:
         elif name == "Confidence":
             value = F.when(ok, F.coalesce(value, F.lit("medium"))).otherwise(F.lit("low"))
         elif name == "Processing_Notes":
-            value = F.when(ok, F.coalesce(value, F.lit(""))).otherwise(F.concat(F.coalesce(value, F.lit("")), F.lit(" | Error: "), F.coalesce("error", F.lit("unknown"))))
+            value = F.when(ok, F.coalesce(value, F.lit(""))).otherwise(failure_note(F.col("called"), F.coalesce("error", F.lit("unknown"))))
         elif name == "Coordinate_Source":
-            value = F.when(F.col("pre_source") != "needs_ai_processing", F.col("pre_source")).otherwise(value)
+            value = F.when(F.col("pre_source") != "needs_ai_processing", F.col("pre_source")).when(ok, value).otherwise(F.lit("failed"))
         elif name == "Coordinate_Radius_Meters":
             value = F.coalesce("pre_radius", value)
         out[name] = value
     return out
 
 
+def failure_note(called: Column, error: Column) -> Column:
+    what = F.when(called, F.lit("Response parsing failed: ")).otherwise(F.lit("AI processing failed: "))
+    return F.concat(what, error, F.lit(" | Error: "), error)
+
+
 def failed(notes: Column, source: Column) -> Column:
     """Whether a record says that its processing failed."""
     text = F.lower(F.coalesce(notes, F.lit("")))

@@ -227,9 +227,9 @@ def coord_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_GRID}, {_PRE} SELECT p_partkey AS row, CASE
-  WHEN given THEN chr(10) || chr(10) || 'EXISTING COORDINATES: ' || printf('%.6f, %.6f', p_size - 25.0, p_size - 25.0) || ' (PRESERVE THESE EXACT COORDINATES - do not overwrite)'
-  WHEN grid THEN chr(10) || chr(10) || 'GRID REFERENCE CONVERTED: ' || ref || ' -> ' || printf('%.6f, %.6f', lat, lon) || chr(10) || 'PRECISION RADIUS: 70.7 meters (use this for coordinate_radius_meters field)' || chr(10) || 'IMPORTANT: PRESERVE these mathematically converted coordinates, do not estimate or overwrite!'
-  ELSE chr(10) || chr(10) || 'NO EXISTING COORDINATES: Please estimate coordinates from locality if possible' END AS context FROM pre""")
+  WHEN given THEN chr(10) || chr(10) || 'The record comes with the position ' || printf('%.6f, %.6f', p_size - 25.0, p_size - 25.0) || '. Return it unchanged.'
+  WHEN grid THEN chr(10) || chr(10) || 'The grid reference ' || ref || ' was converted to ' || printf('%.6f, %.6f', lat, lon) || '.' || chr(10) || 'Its square gives a radius of 70.7 m for coordinate_radius_meters.' || chr(10) || 'Return this position unchanged; it is computed.'
+  ELSE chr(10) || chr(10) || 'The record has no position. Derive one from the locality where that is possible.' END AS context FROM pre""")
 def coord_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P9."""
     return coords.preprocess(_localities(spark, sf_dir)).select(F.col(S.ROW).alias("row"), coords.prompt_context().alias("context"))
@@ -352,7 +352,7 @@ def chat_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS latitude, true AS success FROM events")
 def keyed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer lies somewhere in the payload."""
-    inner = F.concat(F.lit("{\"thought\":true},{\"text\":"), F.to_json(F.struct(F.regexp_replace("props", '"k"', '"latitude"').alias("t"))).substr(6, 1_000_000))
+    inner = F.concat(F.lit("{\"thought\":true},{\"text\":"), F.expr("substring(to_json(named_struct('t', regexp_replace(props, '\"k\"', '\"latitude\"'))), 6)"))
     line = F.concat(F.lit('{"key":"'), "event_id", F.lit('","response":{"candidates":[{"content":{"parts":['), inner, F.lit("]}}]}}"))
     return results.keyed_results(_t(spark, sf_dir, "events").select(line.alias("value"))).select(F.col("barcode").cast("long").alias("event_id"), "latitude", "success")
 

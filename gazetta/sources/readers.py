@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import schema as S
 from ..functions.text import nonblank, number, pytrim, ref
 from ..operators.resolve import has_identifier_column, has_locality_column, with_row
 
@@ -31,10 +32,27 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
     return best if line.count(best) else ","
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+def has_quoted_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a field may go on in the next line: some line holds an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Adds the input ordinal to a plain scan: by path, then place in the file, however the files are split over tasks."""
+    split = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__from"))
+    splits = split.select("__file", "__from").distinct().agg(F.sort_array(F.collect_set(F.struct("__file", "__from"))).alias("s"))  # one entry a split
+    splits = splits.select(F.posexplode("s").alias("__ordinal", "s")).select("__ordinal", "s.*")
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    row = F.shiftleft(F.col("__ordinal").cast("long"), 33) + F.col("__in")
+    return split.withColumn("__in", within).join(F.broadcast(splits), ["__file", "__from"]).select(*[ref(c) for c in df.columns], row.alias(S.ROW))
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, line_breaks: bool | None = None) -> DataFrame:
     """All columns as text, names exactly as in the header, quotes doubled, line breaks inside quotes, BOM or not.
 
-    The header is read on its own, so that names that differ only in case, or repeat, stay what they are."""
+    The header is read on its own, so that names that differ only in case, or repeat, stay what they are.  Files with line
+    breaks inside quotes (looked for unless ``line_breaks`` says) are read by one task each; others are split over tasks."""
     sep = delimiter or detect_delimiter(spark, path)
     line = first_line(spark, path)
     if not line.strip():
@@ -44,7 +62,9 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None)
         seen[n] = seen.get(n, 0) + 1
         names.append(n if seen[n] == 1 else f"{n}.{seen[n]}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return with_row(spark.read.schema(schema).csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, encoding="UTF-8", enforceSchema=True, mode="PERMISSIVE"))
+    whole = has_quoted_line_breaks(spark, path) if line_breaks is None else line_breaks
+    rows = spark.read.schema(schema).csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=whole, encoding="UTF-8", enforceSchema=True, mode="PERMISSIVE")
+    return in_file_order(rows)
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:

@@ -1,17 +1,19 @@
-"""Writers: distributed tables, and single ordered files for exchange (with a BOM where spreadsheets need one)."""
+"""Writers: distributed tables, and single ordered files for exchange (with a BOM where spreadsheets need one).
+
+Rows become text on the executors in every case; a single file is put together from their parts byte by byte."""
 
 from __future__ import annotations
 
 import csv
 import io
-import json
 import os
 import re
-from collections.abc import Iterator
+import uuid
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.text import number, ref
@@ -41,38 +43,64 @@ def _prepared(df: DataFrame, darwin_core: bool, fieldnames: list[str] | None) ->
     return order
 
 
-def delimited_lines(df: DataFrame, sep: str) -> Iterator[str]:
-    """Header and rows in order; the driver holds one partition at a time."""
-    buffer = io.StringIO()
-    out = csv.writer(buffer, delimiter=sep, lineterminator="\n")
+def joined_files(spark: SparkSession, parts: str, path: str, head: bytes, tail: bytes = b"", skip: int = 0) -> str:
+    """One file from a folder of parts, copied as bytes in the order of their numbers; ``skip`` bytes at their start are left out."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    source = hadoop.fs.Path(parts)
+    names = [str(x.getPath().getName()) for x in source.getFileSystem(conf).listStatus(source)]
+    found = sorted((n for n in names if n.startswith("part-")), key=lambda n: int(n.split("-")[1]))
+    target = hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    fs = hadoop.fs.FileSystem.getLocal(conf).getRaw() if fs.getUri().getScheme() == "file" else fs  # no checksum file beside it
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(head))
+        for name in found:
+            part = source.getFileSystem(conf).open(hadoop.fs.Path(f"{parts}/{name}"))
+            while skip and part.read() >= 0:
+                skip -= 1
+            hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+            part.close()
+        out.write(bytearray(tail))
+    finally:
+        out.close()
+    source.getFileSystem(conf).delete(source, True)
+    return path
+
+
+def _written(lines: DataFrame, path: str, head: bytes, tail: bytes = b"", skip: int = 0) -> str:
+    """Lines (one text column, in order) written by all tasks, then put together."""
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    lines.write.text(parts)
+    return joined_files(lines.sparkSession, parts, path, head, tail, skip)
 
-    def take() -> str:
-        text = buffer.getvalue()
-        buffer.seek(0), buffer.truncate()
-        return text
 
-    out.writerow(df.columns)
-    yield take()
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        out.writerow(["" if v is None else v for v in row])
-        yield take()
+def _as_text(df: DataFrame, name: str) -> Column:
+    kind, value = df.schema[name].dataType, ref(name)
+    if isinstance(kind, T.BooleanType):
+        return F.when(value, "True").when(~value, "False")
+    return F.to_json(value) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else value.cast("string")
+
+
+def delimited_lines(df: DataFrame, sep: str) -> DataFrame:
+    """One text column: the rows as delimited lines; fields with a separator, quote or line break are quoted."""
+    fields = [F.coalesce(_as_text(df, c), F.lit("")) for c in df.columns]
+    quoted = [F.when(f.rlike(f'[{sep}"\r\n]'), F.concat(F.lit('"'), F.replace(f, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(f) for f in fields]
+    return df.select(F.concat_ws(sep, *quoted).alias("value"))
 
 
 def export_delimited(df: DataFrame, path: str, darwin_core: bool = False, fieldnames: list[str] | None = None) -> str:
     """One UTF-8 file with a BOM."""
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
-        f.writelines(delimited_lines(_prepared(df, darwin_core, fieldnames), separator(path)))
-    return path
+    rows, sep, head = _prepared(df, darwin_core, fieldnames), separator(path), io.StringIO()
+    csv.writer(head, delimiter=sep, lineterminator="\n").writerow(rows.columns)
+    return _written(delimited_lines(rows, sep), path, head.getvalue().encode("utf-8-sig"))
 
 
-def export_json(df: DataFrame, path: str, darwin_core: bool = False, pretty: bool = True) -> str:
-    """One JSON array; nulls and other alphabets kept."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        for i, row in enumerate(_prepared(df, darwin_core, None).toLocalIterator(prefetchPartitions=True)):
-            f.write(("," if i else "") + ("\n" if pretty else "") + json.dumps(row.asDict(True), ensure_ascii=False, indent=2 if pretty else None, default=str))
-        f.write("\n]" if pretty else "]")
-    return path
+def export_json(df: DataFrame, path: str, darwin_core: bool = False) -> str:
+    """One JSON array, a record a line; nulls and other alphabets kept."""
+    rows = _prepared(df, darwin_core, None)
+    record = F.to_json(F.struct(*[ref(c) for c in rows.columns]), {"ignoreNullFields": "false"})
+    return _written(rows.select(F.concat(F.lit(","), record).alias("value")), path, b"[\n", b"]", 1)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -97,12 +125,7 @@ def geojson_features(df: DataFrame) -> DataFrame:
 def export_geojson(df: DataFrame, path: str, darwin_core: bool = False) -> str:
     features = geojson_features(to_darwin_core(df.drop(S.ROW)) if darwin_core else df)
     rows = features.orderBy(S.ROW) if S.ROW in features.columns else features
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"type":"FeatureCollection","features":[')
-        for i, row in enumerate(rows.toLocalIterator(prefetchPartitions=True)):
-            f.write((",\n" if i else "\n") + row.feature)
-        f.write("\n]}")
-    return path
+    return _written(rows.select(F.concat(F.lit(","), "feature").alias("value")), path, b'{"type":"FeatureCollection","features":[\n', b"]}", 1)
 
 
 def with_extension(base: str, extension: str) -> str:

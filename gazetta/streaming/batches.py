@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable
@@ -10,7 +11,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.jobs import provider_stagger, sub_batches
+from ..operators.jobs import combine, provider_stagger, sub_batches
 from ..operators.results import chat_results, keyed_results, merge_with_source, message_results
 from ..sources.writers import chat_request, keyed_request
 from .calls import Provider, call_stage
@@ -34,10 +35,10 @@ def reader_for(provider: str) -> Callable[[DataFrame], DataFrame] | None:
     return next((f for k, f in READERS.items() if k in provider.lower()), None)
 
 
-def request_lines(requests: DataFrame, provider: str, model: str, max_tokens: int = 1000) -> DataFrame:
-    """One text column: request lines with safe ids in the provider's layout."""
+def request_lines(requests: DataFrame, provider: str, model: str, max_tokens: int = 1000, keep: list[str] | None = None) -> DataFrame:
+    """One text column: request lines with safe ids in the provider's layout, and the columns ``keep``."""
     make = keyed_request(F.col("request_id"), F.col("prompt"), F.lit(max_tokens)) if "goog" in provider.lower() or "gemini" in provider.lower() else chat_request(F.col("request_id"), F.lit(model), F.col("prompt"), F.lit(max_tokens))
-    return requests.select(make.alias("value"))
+    return requests.select(make.alias("value"), *(keep or []))
 
 
 class FolderProvider:
@@ -58,7 +59,7 @@ class FolderProvider:
         else:
             body = F.struct(F.array(F.struct(F.struct(F.col("response").alias("content")).alias("message"))).alias("choices"))
             out = F.struct(F.col("request_id").alias("custom_id"), F.struct(F.when(F.col("error").isNull(), 200).otherwise(500).alias("status_code"), body.alias("body")).alias("response"))
-        batch_id = f"batch_{abs(hash(requests)):x}"
+        batch_id = f"batch_{hashlib.sha1(requests.encode()).hexdigest()[:16]}"
         answers.select(F.to_json(out).alias("value")).write.mode("overwrite").text(f"{self.folder}/{batch_id}")
         return batch_id
 
@@ -69,10 +70,14 @@ class FolderProvider:
         return {"status": "completed", "total": n, "succeeded": n, "failed": 0}
 
     def results(self, batch_id: str) -> DataFrame:
+        return self.results_of([batch_id])
+
+    def results_of(self, batch_ids: list[str]) -> DataFrame:
+        """All in one scan."""
         reader = reader_for(self.provider)
         if reader is None:
             raise ValueError(f"no reader for {self.provider}")
-        return reader(self.spark.read.text(f"{self.folder}/{batch_id}"))
+        return reader(self.spark.read.text([f"{self.folder}/{b}" for b in batch_ids]))
 
     def cancel(self, batch_id: str) -> bool:
         self._cancelled.add(batch_id)
@@ -97,12 +102,11 @@ def submit_staggered(requests: DataFrame, order: list[str], provider: BatchProvi
     numbered = sub_batches(requests, order, size).persist()
     try:
         plan = numbered.groupBy("batch_number", "start_record", "end_record").agg(F.count("*").alias("n")).orderBy("batch_number").collect()
+        request_lines(numbered, provider.provider, model, keep=["batch_number"]).write.mode("overwrite").partitionBy("batch_number").text(f"{folder}/requests")
         summary: dict = {"total_records": sum(b.n for b in plan), "batch_size": size, "provider": provider.provider, "model": model, "batches": []}
         for b in plan:
-            path = f"{folder}/requests_{b.batch_number}"
-            request_lines(numbered.where(F.col("batch_number") == b.batch_number), provider.provider, model).write.mode("overwrite").text(path)
             try:
-                batch_id = provider.submit(path)
+                batch_id = provider.submit(f"{folder}/requests/batch_number={b.batch_number}")
             except Exception as e:
                 summary["error"] = str(e)
                 break
@@ -122,7 +126,6 @@ def save_summary(summary: dict, path: str) -> None:
 
 def fetch(provider: BatchProvider, batch_ids: list[str], source: DataFrame, id_col: str = "Barcode") -> DataFrame:
     """Mapped records of all sub-batches, with their source columns."""
-    out = provider.results(batch_ids[0])
-    for b in batch_ids[1:]:
-        out = out.unionByName(provider.results(b))
+    together = getattr(provider, "results_of", None)
+    out = together(batch_ids) if together else combine([provider.results(b) for b in batch_ids])
     return merge_with_source(out, source, id_col)

@@ -72,7 +72,7 @@ def test_numbers(spark):
 
 # --- preparation and expansion -------------------------------------------------------------------------------------
 
-PLACES = [("1", " Warmond,  Sweilandpolder ", "Netherlands"), ("2", "warmond, sweilandpolder", "NETHERLANDS"), ("3", "Leiden", "Netherlands"), ("1", "Warmond, Sweilandpolder", "netherlands"), ("5", "", "Netherlands")]
+PLACES = [("1", " Alder Fen,  north\tbank ", "Ruritania"), ("2", "alder fen, north bank", "RURITANIA"), ("3", "Mill pond", "Ruritania"), ("1", "Alder Fen, North Bank", "ruritania"), ("5", "", "Ruritania")]
 
 
 def test_prepare_and_expand(spark):
@@ -80,11 +80,11 @@ def test_prepare_and_expand(spark):
     stats = one(prep.filter_stats(df))
     assert stats == {"total": 5, "with_locality": 4, "with_valid_coordinates": 0, "selected": 4, "groups": 2, "duplicates_removed": 2}
     assert one(prep.filter_stats(df, max_records=3))["selected"] == 3
-    groups = [r.asDict() for r in prep.tracking_as_text(prep.deduplicate(prep.filter_records(df))).collect()]
-    assert [(g["Barcode"], g["dedup_key"], g["occurrence_ids"], g["occurrence_count"]) for g in groups] == [("1", "warmond, sweilandpolder|netherlands", "1|2", "3"), ("3", "leiden|netherlands", "3", "1")]
+    groups = [r.asDict() for r in prep.tracking_as_text(prep.deduplicate(prep.filter_records(df))).orderBy("_row").collect()]
+    assert [(g["Barcode"], g["dedup_key"], g["occurrence_ids"], g["occurrence_count"]) for g in groups] == [("1", "alder fen, north bank|ruritania", "1|2", "3"), ("3", "mill pond|ruritania", "3", "1")]
     done = prep.without_helpers(prep.deduplicate(prep.filter_records(df))).withColumns({"Latitude": F.lit("52.1"), "Longitude": F.lit("4.5"), "Confidence": F.lit("")})
     out = prep.expand(df.withColumn("Confidence", F.lit("old")), done)
-    rows = out.collect()
+    rows = out.orderBy("_row").collect()
     assert [r["Latitude"] for r in rows] == ["52.1"] * 4 + [None] and [r["Confidence"] for r in rows] == [""] * 4 + ["old"]
     assert one(prep.expand_stats(out)) == {"total": 5, "matched": 4, "unmatched": 1}
 
@@ -94,16 +94,16 @@ def test_existing_coordinates(spark):
     assert [r["Barcode"] for r in prep.filter_records(df).collect()] == ["2", "3"]
     assert prep.filter_records(df, include_existing=True).count() == 3
     done = table(spark, ["locality", "Latitude", "Longitude"], ("A", "5", "6"), ("a", "7", "8"))
-    assert [r["Latitude"] for r in prep.expand(df, done).collect()] == ["7"] * 3
-    assert [r["Latitude"] for r in prep.expand(df, done, protect_existing=True).collect()] == ["0", "7", "7"]
+    assert [r["Latitude"] for r in prep.expand(df, done).orderBy("_row").collect()] == ["7"] * 3
+    assert [r["Latitude"] for r in prep.expand(df, done, protect_existing=True).orderBy("_row").collect()] == ["0", "7", "7"]
 
 
 def test_partitions_do_not_matter(spark):
     rng = random.Random(3)
     rows = [(str(i), f"place {rng.randint(0, 20)}", rng.choice(["A", "b"])) for i in range(300)]
     df = table(spark, ["Barcode", "locality", "Country"], *rows)
-    want = [tuple(r) for r in prep.tracking_as_text(prep.deduplicate(prep.filter_records(df.coalesce(1)))).collect()]
-    assert want == [tuple(r) for r in prep.tracking_as_text(prep.deduplicate(prep.filter_records(df.repartition(7)))).collect()]
+    want = [tuple(r) for r in prep.tracking_as_text(prep.deduplicate(prep.filter_records(df.coalesce(1)))).orderBy("_row").collect()]
+    assert want == [tuple(r) for r in prep.tracking_as_text(prep.deduplicate(prep.filter_records(df.repartition(7)))).orderBy("_row").collect()]
     again = prep.deduplicate(prep.without_helpers(prep.deduplicate(df)).drop(*("dedup_key", "occurrence_ids", "occurrence_count")))
     assert again.count() == len(want)
 
@@ -142,7 +142,7 @@ def test_priority_and_context(spark):
     rows = coords.preprocess(df).withColumn("context", coords.prompt_context()).orderBy("_row").collect()
     assert [r.pre_source for r in rows] == ["coordinates_provided", "grid_reference_converted", "needs_ai_processing"]
     assert rows[0].pre_lat == 0 and rows[1].pre_grid_ref == "TL199798" and rows[2].pre_lat is None
-    assert "0.000000, 0.000000" in rows[0].context and "70.7 meters" in rows[1].context and "NO EXISTING" in rows[2].context
+    assert "0.000000, 0.000000" in rows[0].context and "radius of 70.7 m" in rows[1].context and "no position" in rows[2].context
 
 
 def test_haversine(spark):
@@ -170,7 +170,7 @@ def test_ensemble(spark):
     primary = table(spark, ["Barcode", "Latitude", "Longitude"], ("A", "10", "10"), ("B", "10", "10"), ("C", "10", "10"), ("D", "10", "10"), (" ", "1", "1"))
     secondary = table(spark, ["barcode", "latitude", "longitude", "Latitude"], ("A", "10.01", "10", ""), ("B", "10.03", "10", ""), ("C", "20", "10", ""), ("A", "50", "50", ""), ("X", "1", "1", ""), (None, "1", "1", ""))
     out = ensemble.compare(primary, secondary)
-    assert [r[ensemble.CATEGORY] for r in out.collect()] == [S.CATEGORY_ORDER[i] for i in (0, 1, 3, 4, 4)]
+    assert [r[ensemble.CATEGORY] for r in out.orderBy("_row").collect()] == [S.CATEGORY_ORDER[i] for i in (0, 1, 3, 4, 4)]
     assert [tuple(r)[1:] for r in ensemble.summarise(out).collect()] == list(zip(S.CATEGORY_ORDER, (1, 1, 0, 1, 2)))
     assert ensemble.only_primary(primary, secondary).count() == 2 and [r.key for r in ensemble.only_secondary(primary, secondary).collect()] == ["X"]
     assert ensemble.duplicate_keys(secondary).first().duplicates == 1
@@ -299,7 +299,7 @@ def test_exports(spark, tmp_path):
 
 def test_workflow_round_trip(spark, tmp_path):
     path = tmp_path / "in.tsv"
-    path.write_text("Barcode\tLocality verbatim\tCountry\n" + "".join(f"{a}\t{b}\t{c}\n" for a, b, c in PLACES), encoding="utf-8")
+    path.write_text("Barcode\tLocality verbatim\tCountry\n" + "".join(f"{a}\t{b.replace(chr(9), ' ')}\t{c}\n" for a, b, c in PLACES), encoding="utf-8")
     stats = workflows.prepare(spark, str(path))
     assert (stats["total"], stats["selected"], stats["groups"]) == (5, 4, 2)
     lines = open(stats["output"], encoding="utf-8-sig").read().splitlines()
@@ -378,3 +378,83 @@ def test_output_names():
 
     assert writers.dated_output("o", "/d/set.csv", "GPT 5.mini", datetime(2024, 1, 2, 3, 4, 5)) == "o/20240102_set_gpt5mini/set_gpt5mini_20240102_030405.tsv"
     assert writers.with_extension("a.b", "csv") == "a.b.csv" and writers.default_candidates("/x/a.b.tsv") == "/x/a.b_candidates.tsv"
+
+
+def test_result_payloads_take_the_plain_way(spark):
+    """A standard keyed line is read without Python."""
+    answer = json.dumps({"key": "k", "response": {"candidates": [{"content": {"parts": [{"text": '{"latitude": 2}'}]}}]}})
+    df = spark.createDataFrame([(answer,)], "value string")
+    payload = F.get_json_object("value", "$.response")
+    assert df.select(json_text.candidate_text(payload)).first()[0] == '{"latitude": 2}'
+    assert results.keyed_results(df).first().latitude == 2
+
+
+def test_texts_in_any_payload():
+    deep = {"text": "end"}
+    for _ in range(20):
+        deep = {"x": [deep]}
+    assert json_text.texts_in({"a": [{"text": "one"}, {"text": {"text": "two"}}], "text": "three", "b": 5, "c": deep}) == ["one", "two", "three"]
+    assert json_text.texts_in("text") == [] and json_text.texts_in(None) == []
+
+
+def test_delimited_files_are_split_and_ordered(spark, tmp_path):
+    """Small splits, several files: rows keep the order of paths and places; quoted line breaks are found."""
+    for name, first in (("b.tsv", 5000), ("a.tsv", 0)):
+        (tmp_path / name).write_text("Barcode\tnote\n" + "".join(f"{first + i}\t{'x' * (i % 40)}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = readers.read_delimited(spark, f"{tmp_path}/*.tsv", "\t")
+        assert df.rdd.getNumPartitions() > 4
+        assert [int(r.Barcode) for r in df.orderBy("_row").collect()] == list(range(10000)) and df.select("_row").distinct().count() == 10000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "c.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert readers.has_quoted_line_breaks(spark, f"{tmp_path}/c.csv") and not readers.has_quoted_line_breaks(spark, f"{tmp_path}/a.tsv")
+    assert [tuple(r)[:2] for r in readers.read_delimited(spark, f"{tmp_path}/c.csv").orderBy("_row").collect()] == [("1", "x\ny"), ("2", "z")]
+
+
+def test_exported_fields_are_quoted_where_needed(spark, tmp_path):
+    import csv
+
+    rows = [(0, "a,b", 1.5, True, ["x", "y"]), (1, 'q"q', None, False, None), (2, "line\nbreak", -0.25, None, []), (3, "", 12.0, True, ["é"])]
+    df = spark.createDataFrame(rows, "_row long, s string, d double, b boolean, l array<string>").repartition(3)
+    with open(writers.export_delimited(df, f"{tmp_path}/q.csv"), encoding="utf-8-sig", newline="") as f:
+        got = list(csv.reader(f))
+    assert got == [["s", "d", "b", "l"], ["a,b", "1.5", "True", '["x","y"]'], ['q"q', "", "False", ""], ["line\nbreak", "-0.25", "", "[]"], ["", "12.0", "True", '["é"]']]
+    assert json.load(open(writers.export_json(df.limit(0), f"{tmp_path}/none.json"))) == []
+    assert [r["s"] for r in json.load(open(writers.export_json(df, f"{tmp_path}/all.json")))] == [r[1] for r in rows]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["all.json", "none.json", "q.csv"]
+
+
+class Failing:
+    name, requests_per_minute = "failing", 0
+
+    def call(self, prompt):
+        if "lost" in prompt:
+            raise calls.CallError(400, "refused")
+        return "no object here"
+
+
+def test_failed_records_say_so(spark, tmp_path):
+    df = table(spark, ["Barcode", "locality", "Country"], ("1", "lost", "x"), ("2", "odd", "x"))
+    out = {r["Barcode"]: r for r in calls.process(df, Failing(), f"{tmp_path}/ledger", concurrency=1).collect()}
+    assert out["1"]["Processing_Notes"] == "AI processing failed: refused | Error: refused" and out["1"]["Coordinate_Source"] == "failed"
+    assert out["2"]["Processing_Notes"] == "Response parsing failed: No valid JSON found in response | Error: No valid JSON found in response"
+    assert (out["2"]["Exact_Site"], out["2"]["Country_Processed"], out["2"]["Confidence"], out["2"]["Latitude"]) == ("odd", "x", "low", None)
+    assert results.processing_counts(calls.process(df, Failing(), f"{tmp_path}/ledger", concurrency=1)).first().failed == 2
+
+
+class Slow(calls.StubProvider):
+    requests_per_minute = 600
+
+
+def test_rate_limit(spark):
+    import time
+
+    requests = spark.createDataFrame([(str(i), "p") for i in range(8)], "request_id string, prompt string")
+    calls.call_stage(requests.limit(1), calls.StubProvider(), 1).collect()
+    start = time.monotonic()
+    assert calls.call_stage(requests, Slow(), 1).count() == 8
+    assert time.monotonic() - start >= 7 * 0.1
