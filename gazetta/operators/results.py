@@ -85,14 +85,14 @@ def merge_with_source(results: DataFrame, source: DataFrame, id_col: str = "Barc
     return joined.select(*own, *[v.alias(k) for k, v in produced.items()])
 
 
-def realtime_columns(loc: Column, ctry: Column) -> dict[str, Column]:
-    """Produced columns of a parsed response (columns of the response, success, error, called); given coordinates are kept.
+def realtime_columns(loc: Column, ctry: Column, response: str = "__o") -> dict[str, Column]:
+    """Produced columns of a parsed response (a struct column, with success, error, called); given coordinates are kept.
 
     A failed call (not ``called``) and an answer that does not parse keep country and locality and say so in their notes."""
     ok = F.coalesce(F.col("success"), F.lit(False))
     out = {}
     for name, field in S.RESPONSE_OF.items():
-        value = F.col(field)
+        value = F.col(response)[field]
         if name == "Country_Processed":
             value = F.coalesce(F.when(value != "", value), ctry)
         elif name == "Exact_Site":

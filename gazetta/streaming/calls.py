@@ -120,7 +120,6 @@ def answered(requests: DataFrame, ledger: DataFrame) -> DataFrame:
     rows = joined.withColumn("__found", F.when(F.col("error").isNull(), found)).withColumn("__fields", object_map(F.col("__found"))).withColumn("__o", response_fields(F.col("__fields"))).drop("__found", "__fields")
     rows = rows.withColumn("called", F.col("error").isNull()).withColumn("success", F.col("__o").isNotNull()).withColumn("error", F.coalesce("error", F.when(F.col("__o").isNull(), F.lit("No valid JSON found in response"))))
     own = [c for c in requests.columns if c not in S.PRODUCED and not c.startswith("pre_")]
-    rows = rows.select("*", *[F.col(f"__o.{f.name}").alias(f.name) for f in S.RESPONSE if f.name not in requests.columns])
     produced = realtime_columns(F.col(LOC), F.col(CTRY))
     return rows.select(*own, *[v.alias(k) for k, v in produced.items()])
 

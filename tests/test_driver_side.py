@@ -109,3 +109,49 @@ def test_local_model(spark):
         assert local_models.installed_table(spark, ["m1"]).count() == 1
     finally:
         server.shutdown()
+
+
+def test_profiles(spark, monkeypatch):
+    """Each layout against a server that answers in it and checks what it is asked."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    import pytest
+
+    from gazetta.streaming import profiles
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((dict(self.headers), body))
+            if "busy" in json.dumps(body):
+                self.send_response(429)
+                self.end_headers()
+                return
+            answer = {"/chat": {"choices": [{"message": {"content": '{"a":1}'}}]}, "/messages": {"content": [{"type": "text", "text": '{"a":'}, {"text": "1}"}]}, "/keyed": {"candidates": [{"content": {"parts": [{"thought": True}, {"text": '{"a":1}'}]}}]}}[self.path]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(answer).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("SOME_KEY", "secret")
+    try:
+        for layout in (profiles.CHAT, profiles.MESSAGES, profiles.KEYED):
+            profile = profiles.Profile("m", "id-1", f"http://127.0.0.1:{server.server_port}/{layout}", layout, 0)
+            model = profiles.HostedModel(profile, "SOME_KEY", "Do this.")
+            assert model.call("where") == '{"a":1}'
+            headers, body = asked[-1]
+            assert any("secret" in v for v in headers.values()) and "Do this." in json.dumps(body) and "where" in json.dumps(body)
+            with pytest.raises(calls.CallError) as e:
+                model.call("busy")
+            assert e.value.status == 429
+            requests = spark.createDataFrame([("r", "where")], "request_id string, prompt string")
+            assert calls.call_stage(requests, model, 1).first().response == '{"a":1}'
+    finally:
+        server.shutdown()
