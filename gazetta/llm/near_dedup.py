@@ -13,10 +13,13 @@ components of the verified links.  The same rule holds for groups of every size.
 
 Copies (same word sequence) are one node from the start.  Each bucket's nodes are first compared with its head, the
 member that shares most bands with others.  Where a bucket then still holds several classes, its nodes are joined on
-their prefixes: with shingles ordered by rarity, two nodes that are similar enough share one of the first shingles that
-make up all but less than ``similar`` of either's weight.  Only nodes of different classes that share such a shingle and
-a bucket are compared.  So no pair within a class is made, every candidate pair that could join two classes is
-compared, and no task holds more than one node and a block of others.
+their prefixes.  With shingles ordered by rarity, let ``rest`` be a node's weight from a shingle on.  At the first
+shingle that two nodes share, all they share lies in both rests; for the similarity to be reached the lesser rest must be
+``similar / (1 + similar)`` of both weights together, hence twice that of the lighter node's own and ``similar`` of the
+heavier one's.  Only nodes of different classes that share a bucket and such a shingle are compared: edits make shingles
+that are rarer than what copies share, so nodes that just miss the threshold hardly ever meet.  So no pair within a class
+is made, every candidate pair that could join two classes is compared, and no task holds more than one node and a block
+of others.
 
 Defined cases: null, empty and word-less texts are classes of their own; the class id is the smallest id in the class
 (null ids last; a class of null ids has a null class id); repeated rows are copies; an empty table gives no rows;
@@ -270,7 +273,7 @@ def _block(node: str, chars: str, size, block: int):
 
 
 def _prefixes(texts: DataFrame, shingler: Shingler, similar: float) -> DataFrame:
-    """texts: node, text.  node, token: the first shingles by rarity that leave less than ``similar`` of the weight.
+    """texts: node, text.  node, weight, and for its first shingles by rarity token and rest (the weight from there on), down to ``similar`` of the weight.
 
     Rarity is taken from counts in a fixed number of slots; any order that all nodes share gives every similar pair."""
     context = texts.sparkSession.sparkContext
@@ -295,11 +298,13 @@ def _prefixes(texts: DataFrame, shingler: Shingler, similar: float) -> DataFrame
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text")):
                 h, w = shared.value.of(text.as_py())
                 order = np.lexsort((h, rarity.value[(h & np.uint64(RARITY_SLOTS - 1)).astype(np.int64)]))
-                before = np.cumsum(w[order]) - w[order]
-                tokens = h[order][before <= (1 - similar + 1e-6) * w.sum()].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), node)), pa.array(tokens)], names=["node", "token"])
+                total = w.sum()
+                rest = total - np.cumsum(w[order]) + w[order]
+                first = rest >= similar * total * (1 - 1e-6)
+                tokens = h[order][first].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), node)), pa.array(np.full(len(tokens), total)), pa.array(tokens), pa.array(rest[first])], names=["node", "weight", "token", "rest"])
 
-    return texts.select("node", "text").mapInArrow(cut, "node long, token long")
+    return texts.select("node", "text").mapInArrow(cut, "node long, weight double, token long, rest double")
 
 
 def _open_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, shingler: Shingler, similar: float) -> DataFrame | None:
@@ -315,10 +320,15 @@ def _open_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, shingle
     counts = tokens.groupBy("token", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("token", F.col("top.label").alias("main"))
     shared = materialise(joined_by_hot_key(tokens, materialise(main, "main"), "token"), "shared")
-    minor = shared.where(F.col("label") != F.col("main")).select("token", F.col("node").alias("x"), F.col("label").alias("label_x"))
-    every = shared.select("token", F.col("node").alias("y"), F.col("label").alias("label_y"))
-    met = minor.join(shuffled(every), "token").where(F.col("label_x") != F.col("label_y"))
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    light = shared.where(F.col("rest") >= 2 * similar / (1 + similar) * F.col("weight") * (1 - 1e-6)).select(*[F.col(c).alias(f"{c}_x") for c in shared.columns])
+    heavy = shared.select(*[F.col(c).alias(f"{c}_y") for c in shared.columns])
+    ordered = (F.col("weight_x") < F.col("weight_y")) | (F.col("weight_x") == F.col("weight_y")) & (F.col("node_x") < F.col("node_y"))
+    enough = F.least("rest_x", "rest_y") >= similar / (1 + similar) * (F.col("weight_x") + F.col("weight_y")) * (1 - 1e-6)
+    may = (F.col("token_x") == F.col("token_y")) & (F.col("label_x") != F.col("label_y")) & ordered & enough
+    x_minor, y_minor = F.col("label_x") != F.col("main_x"), F.col("label_y") != F.col("main_y")
+    met = [light.where(x_minor).join(shuffled(heavy), may), light.where(~x_minor).join(shuffled(heavy.where(y_minor)), may)]
+    pairs = met[0].select("node_x", "node_y").unionByName(met[1].select("node_x", "node_y"))
+    pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(shuffled(nodes.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"), F.col("buckets").alias(f"buckets_{side}"))), side)
     return pairs.where(F.arrays_overlap("buckets_a", "buckets_b")).select("a", "b", "label_a", "label_b")
