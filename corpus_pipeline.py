@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetta.llm import decontaminate, langid, line_dedup, near_dedup, packing
-from gazetta.llm.common import materialise, numbered
+from gazetta.llm.common import materialise, numbered, possible, shuffled
 
-#: A document whose best language has less than this part of all corrected counts has no language that stands out.
-LEAST_SCORE = 0.35
+#: A document of whose n-grams less than this part belongs to its best language is in none of the languages known.
+LEAST_EVIDENCE = 0.35
 
 
 def _masked(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list]:
@@ -24,12 +24,12 @@ def _masked(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list]:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that stands out go."""
+    """Documents in none of the languages go."""
     masked, names, back = _masked(docs)
     held_out = F.coalesce(F.crc32(F.col(names["doc_id"]).cast("string")) % 4 == 2, F.lit(False))
     filters = langid.fit(masked, names["doc_id"], names["text"], names["lang"], where=~held_out)
     found = langid.predict(masked, filters, names["text"])
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*back)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("evidence") >= LEAST_EVIDENCE)).select(*back)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +54,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     masked, names, back = _masked(docs)
-    others = [c for c in masked.columns if c != names["doc_id"]]
-    found = decontaminate.contamination(masked, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=names["doc_id"], text_col=names["text"], extra=others)
-    return found.where(~F.col("contaminated")).select(*back)
+    rows = numbered(masked, "uid")
+    hits = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "uid", names["text"])
+    if hits is None:
+        return masked.select(*back)
+    halves = possible(rows, F.col("uid"), hits, F.col("uid"))  # most documents are not sent
+    return halves.where("not __possible").unionByName(halves.where("__possible").join(shuffled(hits), "uid", "left_anti")).select(*back)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
