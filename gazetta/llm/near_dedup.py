@@ -45,7 +45,7 @@ BANDS = 16
 ROWS = 4
 RARE = 1000
 #: Nodes compared in one task with one other; a text of more than LONG characters is compared in a task of its own.
-BLOCK = 256
+BLOCK = 64
 LONG = 1 << 16
 #: Slots of the counts that order shingles by rarity.
 RARITY_SLOTS = 1 << 20

@@ -433,19 +433,18 @@ def test_secret_scan(spark, tmp_path):
     assert secret_scan.scan(table.limit(0), f"{tmp_path}/other", ["doc_id"]).count() == 0
 
 
-def test_packing(spark, docs, empty):
+def _check_packed(rows, out, capacity):
+    """rows: (id, text); out: pieces.  Every id once and in order, by the tokenizer itself; sequences full and gapless; few of them."""
     from tokenizers import Tokenizer
 
-    table = _read(spark, docs)
     whole = Tokenizer.from_file(packing.default_tokenizer()[0])
-    out = packing.pack(table, capacity=64).collect()
     want = []
-    for r in table.collect():
-        ids = whole.encode(r.text or "", add_special_tokens=False).ids + [0]
-        at, n, k = 0, len(ids) % 64 or 64, 0
+    for i, text in rows:
+        ids = whole.encode(text or "", add_special_tokens=False).ids + [0]
+        at, n, k = 0, len(ids) % capacity or capacity, 0
         while at < len(ids):
-            want.append((r.doc_id, k, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())))
-            at, n, k = at + n, 64, k + 1
+            want.append((i, k, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())))
+            at, n, k = at + n, capacity, k + 1
     assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out), key=str) == sorted(want, key=str)
     bins = {}
     for r in out:
@@ -455,8 +454,13 @@ def test_packing(spark, docs, empty):
         for offset, length in sorted(b):
             assert offset == at
             at += length
-        assert at <= 64
-    assert len(bins) <= -(-sum(x[3] for x in want) // 64) + 3
+        assert at <= capacity
+    assert len(bins) <= -(-sum(x[3] for x in want) // capacity) + 3
+
+
+def test_packing(spark, docs, empty):
+    table = _read(spark, docs)
+    _check_packed([(r.doc_id, r.text) for r in table.collect()], packing.pack(table, capacity=64).collect(), 64)
     assert packing.pack(empty).count() == 0
 
 

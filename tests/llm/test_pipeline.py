@@ -2,7 +2,7 @@
 
 import pytest
 import corpus_pipeline
-from .test_operators import SCHEMA, TEXTS, _classes, _contaminated, _cut_runs, _row
+from .test_operators import SCHEMA, TEXTS, _check_packed, _classes, _contaminated, _cut_runs, _row
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +33,7 @@ def test_stages(spark, sf_dir):
     out = stages["decontamination"](spark, docs, sf_dir)
     clean = [x for x in rows if not _contaminated(x[1], [(1, " ".join(TEXTS[2].split()[:25]))])[-1]]
     assert out.columns == docs.columns and _pairs(out) == sorted(clean, key=str) and len(clean) < len(rows)
+    _check_packed(rows, stages["packing"](spark, docs, sf_dir).collect(), 2048)
 
 
 def test_run_and_empty(spark, sf_dir, tmp_path):
