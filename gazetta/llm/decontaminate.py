@@ -36,7 +36,6 @@ SHINGLE = 5
 BROADCAST_BYTES = 8 << 20
 #: A-Z lower-cased; digits, a-z and all bytes of other characters are word bytes; the rest become spaces.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -139,8 +138,10 @@ def _united(values: list[dict]) -> list[pa.Array]:
     return [pa.array(x, kind) for x, kind in columns]
 
 
-def _hits(rows: DataFrame, benchmark: DataFrame, window: int, shingle: int, broadcast_bytes: int) -> DataFrame | None:
-    """rows: uid, text.  uid, n_hit, hit_spans, items, n_items, items_sha256 of the texts that hold a window."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, uid_col: str, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
+    """docs with row numbers as from `numbered`.  uid, n_hit, hit_spans, items, n_items, items_sha256 of the texts that hold a window; None where there is no window."""
+    rows = docs.select(F.col(f"`{uid_col}`").alias("uid"), F.col(f"`{text_col}`").alias("text"))
+    benchmark = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").alias("text"))
     windows = materialise(_windows(benchmark, window, shingle), "windows")
     shape = windows.agg(F.count("*").alias("n"), F.sum(F.octet_length("words") + 64 + 24 * F.size("items")).alias("bytes")).first()
     if not shape["n"]:
@@ -168,20 +169,24 @@ def _hits(rows: DataFrame, benchmark: DataFrame, window: int, shingle: int, broa
     return materialise(map_texts(of_text, "all", ["uid"], fields, _united), "contaminated")
 
 
+def _n_words(texts: list[str | None]) -> list[pa.Array]:
+    return [pa.array(np.diff(read([t or "" for t in texts]).firsts), pa.int64())]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES, extra: list[str] | None = None) -> DataFrame:
     """One row per document: id, the ``extra`` columns of docs, n_words, n_hit, hit_spans (word places, end exclusive), items (sorted), n_items, items_sha256, contaminated."""
     rows = numbered(docs, "__uid")
-    bench = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").alias("text"))
-    hits = _hits(rows.select(F.col("__uid").alias("uid"), F.col(f"`{text_col}`").alias("text")), bench, window, shingle, broadcast_bytes)
-    keep = [F.col(f"`{c}`") for c in [id_col, *(extra or [])]]
-    n_words = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words")
+    hits = contaminated(rows, benchmark, "__uid", text_col, item_col, item_text_col, window, shingle, broadcast_bytes)
+    keep = [id_col, *(extra or [])]
     clean = [F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<struct<start:int,end:int>>").alias("hit_spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_items"), F.lit(_NONE).alias("items_sha256")]
-    if hits is None:
-        return rows.select(*keep, n_words, *clean, F.lit(False).alias("contaminated"))
     names = ["n_hit", "hit_spans", "items", "n_items", "items_sha256"]
+    if hits is None:
+        return map_texts(rows, text_col, keep, "__n_words long", _n_words).select(*[F.col(f"`{c}`") for c in keep], F.col("__n_words").alias("n_words"), *clean, F.lit(False).alias("contaminated"))
     hits = hits.select(F.col("uid").alias("__uid"), F.struct(*names).alias("__hit"))
     halves = possible(rows, F.col("__uid"), hits, F.col("__uid"))
     touched = halves.where("__possible").join(shuffled(hits), "__uid", "left")
     both = touched.unionByName(halves.where("not __possible").withColumn("__hit", F.lit(None).cast(hits.schema["__hit"].dataType)))
     values = [F.coalesce(F.col(f"__hit.{n}"), c).alias(n) for n, c in zip(names, clean, strict=True)]
-    return both.select(*keep, n_words, *values, F.col("__hit").isNotNull().alias("contaminated"))
+    both = both.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])], "__hit")
+    counted = map_texts(both, text_col, [*keep, "__hit"], "__n_words long", _n_words)
+    return counted.select(*[F.col(f"`{c}`") for c in keep], F.col("__n_words").alias("n_words"), *values, F.col("__hit").isNotNull().alias("contaminated"))
