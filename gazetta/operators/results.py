@@ -53,7 +53,8 @@ def keyed_results(lines: DataFrame) -> DataFrame:
 
 def inlined_results(payloads: DataFrame) -> DataFrame:
     """Documents {inlinedResponses: [...]} without keys: the place in the list is the key."""
-    items = payloads.select(F.posexplode(F.from_json(F.get_json_object("value", "$.inlinedResponses"), "array<string>")).alias("at", "item"))
+    # outer: else the optimizer parses the list once more in a filter
+    items = payloads.select(F.posexplode_outer(F.from_json(F.get_json_object("value", "$.inlinedResponses"), "array<string>")).alias("at", "item")).where(F.col("at").isNotNull())
     return keyed_results(items.select(F.to_json(F.struct(F.col("at").cast("string").alias("key"), F.col("item").alias("item"))).alias("__k"), "at", "item").select(F.concat(F.lit('{"key":"'), F.col("at"), F.lit('","response":'), F.col("item"), F.lit("}")).alias("value")))
 
 

@@ -151,6 +151,14 @@ def message_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.message_results(lines).select("barcode", "success", "latitude", "error")
 
 
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS latitude, true AS success FROM events")
+def odd_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first text that holds an object, wherever it lies."""
+    answer = F.to_json(F.struct(F.col("answer").alias("text")))
+    line = F.concat(F.lit('{"key":"'), "event_id", F.lit('","outer":{"inner":[{"text":"none"},{"deeper":['), answer, F.lit(']}]}}'))
+    return results.keyed_results(_answers(spark, sf_dir).select(line.alias("value"))).select(F.col("barcode").cast("long").alias("event_id"), "latitude", "success")
+
+
 @query("SELECT '0' AS barcode, CAST(json_extract(props, '$.k') AS DOUBLE) AS latitude, NULL AS error FROM events UNION ALL SELECT '1', NULL, 'finishReason=SAFETY' FROM events")
 def inlined_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers without keys; the place in the list is the key."""

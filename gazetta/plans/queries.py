@@ -351,7 +351,7 @@ def chat_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS latitude, true AS success FROM events")
 def keyed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The answer lies somewhere in the payload."""
+    """The answer lies in the parts of the first candidate."""
     inner = F.concat(F.lit("{\"thought\":true},{\"text\":"), F.expr("substring(to_json(named_struct('t', regexp_replace(props, '\"k\"', '\"latitude\"'))), 6)"))
     line = F.concat(F.lit('{"key":"'), "event_id", F.lit('","response":{"candidates":[{"content":{"parts":['), inner, F.lit("]}}]}}"))
     return results.keyed_results(_t(spark, sf_dir, "events").select(line.alias("value"))).select(F.col("barcode").cast("long").alias("event_id"), "latitude", "success")
@@ -386,7 +386,7 @@ _FAILED = "coalesce(lower(notes) LIKE '%processing failed%' OR lower(notes) LIKE
 
 @query(f"SELECT count(*) AS total, count(*) FILTER ({_FAILED}) AS failed, count(*) FILTER (NOT ({_FAILED})) AS successful FROM (SELECT {_NOTES} FROM events)")
 def failed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F7, A7, A9."""
+    """F7, A7."""
     n = F.col("event_id") % 5
     notes = F.when(n == 0, F.lit("Batch Processing Failed: x")).when(n == 1, F.lit("ok | Error: y")).when(n > 2, F.col("event_type"))
     rows = _t(spark, sf_dir, "events").select(notes.alias("Processing_Notes"), F.when(F.col("event_id") % 11 == 0, F.lit("failed")).otherwise(F.col("event_type")).alias("Coordinate_Source"))
@@ -552,7 +552,7 @@ def jobs_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'cancelled' WHEN 3 THEN 'expired' WHEN 4 THEN 'running' WHEN 5 THEN 'pending' ELSE 'unknown' END AS status,
   event_id % 7 = 0 AS complete FROM events""")
 def status_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X24, F11, F8."""
+    """X24, F11."""
     names = F.array(*[F.lit(x) for x in ("JOB_STATE_SUCCEEDED", "BATCH_STATE_FAILED", "JOB_STATE_CANCELLED", "job_state_expired", "RUNNING", "pending", "else")])
     state = jobs.status(F.get(names, (F.col("event_id") % 7).cast("int")))
     return _t(spark, sf_dir, "events").select("event_id", state.alias("status"), jobs.is_complete(state, F.lit(0), F.lit(0)).alias("complete"))
@@ -575,7 +575,7 @@ def geojson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT s_suppkey, '{"custom_id":"' || s_suppkey || '","method":"POST","url":"/v1/chat/completions","body":{"model":"m","messages":[{"role":"user","content":"' || s_name || '"}],"max_completion_tokens":1000}}' AS line FROM supplier""")
 def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K7, K9."""
+    """K7."""
     return _t(spark, sf_dir, "supplier").select("s_suppkey", writers.chat_request(F.col("s_suppkey").cast("string"), F.lit("m"), F.col("s_name"), F.lit(1000)).alias("line"))
 
 
@@ -588,6 +588,6 @@ def request_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS request_id, 1 AS attempts, true AS answered FROM customer")
 def call_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The call stage with a provider that needs no network."""
+    """V2: the call stage with a provider that needs no network."""
     requests = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("request_id"), F.col("c_name").alias("prompt"))
     return call_stage(requests, StubProvider()).select("request_id", "attempts", json_text.first_object(F.col("response")).isNotNull().alias("answered"))

@@ -458,3 +458,12 @@ def test_rate_limit(spark):
     start = time.monotonic()
     assert calls.call_stage(requests, Slow(), 1).count() == 8
     assert time.monotonic() - start >= 7 * 0.1
+
+
+def test_newest_outputs_first(spark, tmp_path):
+    import os
+
+    for name, at in (("b.csv", 2_000_000_000), ("a.csv", 1_000_000_000), ("c.tsv", 1_500_000_000)):
+        (tmp_path / name).write_text("x\n")
+        os.utime(tmp_path / name, (at, at))
+    assert [r.name for r in readers.discover_outputs(spark, str(tmp_path)).collect()] == ["b.csv", "c.tsv", "a.csv"]
