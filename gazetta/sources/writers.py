@@ -68,6 +68,16 @@ def joined_files(spark: SparkSession, parts: str, path: str, head: bytes, tail:
     return path
 
 
+def write_file(spark: SparkSession, path: str, data: bytes) -> str:
+    """A small file as it is."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    target = hadoop.fs.Path(path)
+    out = target.getFileSystem(conf).create(target, True)
+    out.write(bytearray(data))
+    out.close()
+    return path
+
+
 def _written(lines: DataFrame, path: str, head: bytes, tail: bytes = b"", skip: int = 0) -> str:
     """Lines (one text column, in order) written by all tasks, then put together."""
     parts = f"{path}.parts-{uuid.uuid4().hex}"

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import time
+import urllib.request
+import uuid
 from collections.abc import Callable
 from typing import Protocol
 
@@ -13,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..operators.jobs import combine, provider_stagger, sub_batches
 from ..operators.results import chat_results, keyed_results, merge_with_source, message_results
-from ..sources.writers import chat_request, keyed_request
+from ..session import new_path
+from ..sources.writers import chat_request, keyed_request, write_file
 from .calls import Provider, call_stage
 
 #: Seconds between polls, and after how many to give up.
@@ -84,6 +88,49 @@ class FolderProvider:
         return True
 
 
+class HostedBatches:
+    """Batches of a hosted chat-style provider: request files are uploaded, a job is made of each, its output is fetched.
+
+    A sub-batch holds at most a few thousand requests (see STAGGER), so one file passes through the driver at a time; the
+    access key is read from a named environment variable.  Fetched output is kept in the shared folder."""
+
+    provider = "openai"
+
+    def __init__(self, spark: SparkSession, base: str, key_variable: str, timeout: float = 120):
+        self.spark, self.base, self.key_variable, self.timeout = spark, base.rstrip("/"), key_variable, timeout
+
+    def _ask(self, method: str, path: str, body: bytes | None = None, kind: str = "application/json") -> bytes:
+        headers = {"Authorization": f"Bearer {os.environ.get(self.key_variable, '')}"} | ({"Content-Type": kind} if body is not None else {})
+        with urllib.request.urlopen(urllib.request.Request(f"{self.base}{path}", body, headers, method=method), timeout=self.timeout) as answer:
+            return answer.read()
+
+    def submit(self, requests: str) -> str:
+        lines = "\n".join(r.value for r in self.spark.read.text(requests).toLocalIterator())
+        mark = uuid.uuid4().hex
+        parts = [f'--{mark}\r\nContent-Disposition: form-data; name="purpose"\r\n\r\nbatch', f'--{mark}\r\nContent-Disposition: form-data; name="file"; filename="requests.jsonl"\r\n\r\n{lines}\n', f"--{mark}--\r\n"]
+        file = json.loads(self._ask("POST", "/files", "\r\n".join(parts).encode(), f"multipart/form-data; boundary={mark}"))
+        job = {"input_file_id": file["id"], "endpoint": "/v1/chat/completions", "completion_window": "24h"}
+        return json.loads(self._ask("POST", "/batches", json.dumps(job).encode()))["id"]
+
+    def status(self, batch_id: str) -> dict:
+        job = json.loads(self._ask("GET", f"/batches/{batch_id}"))
+        counts = job.get("request_counts") or {}
+        return {"status": job["status"], "total": counts.get("total", 0), "succeeded": counts.get("completed", 0), "failed": counts.get("failed", 0), "files": [job[k] for k in ("output_file_id", "error_file_id") if job.get(k)]}
+
+    def results(self, batch_id: str) -> DataFrame:
+        return self.results_of([batch_id])
+
+    def results_of(self, batch_ids: list[str]) -> DataFrame:
+        """All in one scan; lines of the output and of the error files."""
+        files = [f for b in batch_ids for f in self.status(b)["files"]]
+        folder = new_path(self.spark, "batch-results")
+        paths = [write_file(self.spark, f"{folder}/{f}.jsonl", self._ask("GET", f"/files/{f}/content")) for f in files]
+        return chat_results(self.spark.read.text(paths) if paths else self.spark.createDataFrame([], "value string"))
+
+    def cancel(self, batch_id: str) -> bool:
+        return json.loads(self._ask("POST", f"/batches/{batch_id}/cancel", b"{}"))["status"] in ("cancelling", "cancelled")
+
+
 def wait(provider: BatchProvider, batch_id: str, sleep: Callable[[float], None] = time.sleep, poll: float = POLL_S, limit: float = LIMIT_S) -> dict:
     """Poll until the job has ended in any way, or the limit is reached."""
     waited = 0.0

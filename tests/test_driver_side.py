@@ -155,3 +155,57 @@ def test_profiles(spark, monkeypatch):
             assert calls.call_stage(requests, model, 1).first().response == '{"a":1}'
     finally:
         server.shutdown()
+
+
+def test_hosted_batches(spark, tmp_path, monkeypatch):
+    """Upload, job, status, output and error files, cancel, against a server that keeps them."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from gazetta.streaming import batches
+
+    files, made = {}, {}
+
+    class Handler(BaseHTTPRequestHandler):
+        def _say(self, body):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body if isinstance(body, bytes) else json.dumps(body).encode())
+
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            assert self.headers["Authorization"] == "Bearer secret"
+            if self.path == "/files":
+                files[f"f{len(files)}"] = [json.loads(x) for x in body.decode().splitlines() if x.startswith("{")]
+                self._say({"id": f"f{len(files) - 1}"})
+            elif self.path == "/batches":
+                asked, n = files[json.loads(body)["input_file_id"]], len(made)
+                good = [{"custom_id": r["custom_id"], "response": {"status_code": 200, "body": {"choices": [{"message": {"content": '{"latitude": 1}'}}]}}} for r in asked if not r["custom_id"].endswith("3")]
+                bad = [{"custom_id": r["custom_id"], "response": {"status_code": 400}, "error": {"message": "refused"}} for r in asked if r["custom_id"].endswith("3")]
+                files[f"o{n}"], files[f"e{n}"] = ("\n".join(map(json.dumps, x)).encode() for x in (good, bad))
+                made[f"b{n}"] = {"id": f"b{n}", "status": "completed", "request_counts": {"total": len(asked), "completed": len(good), "failed": len(bad)}, "output_file_id": f"o{n}", "error_file_id": f"e{n}" if bad else None}
+                self._say(made[f"b{n}"])
+            else:
+                self._say({"status": "cancelling"})
+
+        def do_GET(self):
+            kind, name = self.path.split("/")[1:3]
+            self._say(files[name] if kind == "files" else made[name])
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("SOME_KEY", "secret")
+    try:
+        service = batches.HostedBatches(spark, f"http://127.0.0.1:{server.server_port}/", "SOME_KEY")
+        requests = spark.createDataFrame([(f"r{i}", f"wh\u00e9re {i}") for i in range(7)], "request_id string, prompt string")
+        summary = batches.submit_staggered(requests, ["request_id"], service, "m", str(tmp_path), size=4, sleep=lambda _: None)
+        ids = [b["batch_id"] for b in summary["batches"]]
+        assert ids == ["b0", "b1"] and batches.wait(service, ids[0], sleep=lambda _: None)["succeeded"] == 3
+        out = {r.barcode: (r.success, r.error) for r in service.results_of(ids).collect()}
+        assert len(out) == 7 and out["r3"] == (False, "refused") and out["r2"] == (True, None)
+        assert service.results("b1").count() == 3 and service.cancel("b1")
+    finally:
+        server.shutdown()
