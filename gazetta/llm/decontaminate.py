@@ -174,12 +174,13 @@ def _n_words(texts: list[str | None]) -> list[pa.Array]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES, extra: list[str] | None = None) -> DataFrame:
-    """One row per document: id, the ``extra`` columns of docs, n_words, n_hit, hit_spans (word places, end exclusive), items (sorted), n_items, items_sha256, contaminated."""
+    """One row per document: id, the ``extra`` columns of docs (but those named like a result), n_words, n_hit, hit_spans (word places, end exclusive), items (sorted), n_items, items_sha256, contaminated."""
     rows = numbered(docs, "__uid")
     hits = contaminated(rows, benchmark, "__uid", text_col, item_col, item_text_col, window, shingle, broadcast_bytes)
-    keep = [id_col, *(extra or [])]
+    made = ["n_words", "n_hit", "hit_spans", "items", "n_items", "items_sha256", "contaminated"]
+    keep = [id_col, *[c for c in extra or [] if c not in made and c != id_col]]
     clean = [F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<struct<start:int,end:int>>").alias("hit_spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_items"), F.lit(_NONE).alias("items_sha256")]
-    names = ["n_hit", "hit_spans", "items", "n_items", "items_sha256"]
+    names = made[1:-1]
     if hits is None:
         return map_texts(rows, text_col, keep, "__n_words long", _n_words).select(*[F.col(f"`{c}`") for c in keep], F.col("__n_words").alias("n_words"), *clean, F.lit(False).alias("contaminated"))
     hits = hits.select(F.col("uid").alias("__uid"), F.struct(*names).alias("__hit"))

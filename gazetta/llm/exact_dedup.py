@@ -121,7 +121,7 @@ def _elsewhere(spark: SparkSession, members: DataFrame, id_col: str, text_col: s
     there = [f for r in files.collect() if (f := r["file"]) and _fs(spark, f)[0].exists(_fs(spark, f)[1])]  # names of files only
     if not there:
         return None
-    rows = _rows(spark.read.parquet(*there), id_col, text_col, digest).where(F.col("place.file").isin(there) if len(there) < 100 else F.lit(True))
+    rows = _rows(spark.read.parquet(*there), id_col, text_col, digest)
     return rows.join(shuffled(groups), "digest").where(F.col("place") == F.col("first")).select("digest", "norm")
 
 

@@ -143,6 +143,11 @@ def test_language_id(spark, docs, empty):
     assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (1000, 1001, 1002, 1004))
     assert odd[1003].lang_pred in sounds and 0 <= odd[1003].score <= 1
     assert langid.predict(empty, filters).count() == 0
+    twice = table.withColumns({"score": F.lit("x"), "lang_pred": F.lit(1), "uid": F.col("doc_id")})
+    again = langid.predict(twice.unionByName(twice).unionByName(twice.limit(3).withColumn("doc_id", F.lit(None).cast("long"))), filters)
+    assert again.columns == ["doc_id", "text", "lang", "uid", "lang_pred", "score", "evidence"]
+    same = [(r.lang_pred, r.score) == (got[r.uid].lang_pred, got[r.uid].score) for r in again.collect()]
+    assert all(same) and len(same) == 603
     none = langid.fit(empty)
     assert {r.lang_pred for r in langid.predict(table, none).collect()} == {"und"}
 
@@ -217,6 +222,8 @@ def test_decontamination(spark, docs, empty, limit):
     got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()), key=str)
     want = sorted(((r.doc_id, *_contaminated(r.text, items)) for r in table.collect()), key=str)
     assert got == want and any(x[-1] for x in got)
+    more = decontaminate.contamination(table, bench, broadcast_bytes=limit, extra=["lang", "items", "uid"])
+    assert more.columns == ["doc_id", "lang", "uid", "n_words", "n_hit", "hit_spans", "items", "n_items", "items_sha256", "contaminated"] and more.where("uid = 7").count() == table.count()
     assert decontaminate.contamination(empty, bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.contamination(table, bench.limit(0)).collect())
 
@@ -462,6 +469,8 @@ def test_packing(spark, docs, empty):
     table = _read(spark, docs)
     _check_packed([(r.doc_id, r.text) for r in table.collect()], packing.pack(table, capacity=64).collect(), 64)
     assert packing.pack(empty).count() == 0
+    odd = [(1, "x" * 30_000), (2, "é" * 9_000 + "中" * 9_000), (2, " " * 20_000 + "a"), (3, "-" * 5_000 + "\n" * 5_000)]  # no place to cut for long
+    _check_packed(odd, packing.pack(spark.createDataFrame(odd, "doc_id long, text string"), capacity=512).collect(), 512)
 
 
 def test_two_fit_beats_one_fit():
