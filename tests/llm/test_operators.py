@@ -720,3 +720,34 @@ def test_content_chunks(spark):
         assert "\n".join(x[1:] for c in chunks for x in c) == t and all(len(c) > 1 for c in chunks)
         assert all(x[0] == "LC"[k == 0] for c in chunks for k, x in enumerate(c))
     assert len(set(found[0].values()) & set(found[1].values())) >= len(found[0]) - 2 and len(found[0]) > 12
+
+
+def test_joins_apart_and_bitmaps_lose_nothing(spark):
+    from gazetta.llm import common
+
+    left = materialise(spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 501).alias("k"), "id"), "left")
+    right = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    want = sorted(map(tuple, left.join(right, "k").select("k", "id", "v").collect()))
+    for parts in (2, 1000):
+        hot = common.hot_keys(left, "k", parts)
+        assert hot.count() <= parts
+        assert sorted(map(tuple, common.joined_by_hot_key(left, right, "k", hot).select("k", "id", "v").collect())) == want
+    keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    hashes = np.array([r.h for r in keys.collect()], np.int64).view(np.uint64)
+    bitmap = common.key_bitmap(keys, F.col("h"), 5000)
+    assert common.may_hold(bitmap, hashes).all() and common.may_hold(bitmap, hashes ^ np.uint64(0x5555555)).mean() < 0.1
+    full = common.key_bitmap(keys.limit(0), F.col("h"), 0)
+    assert not common.may_hold(full, hashes).any()
+    flagged = common.possible(spark.range(9000), F.xxhash64("id"), keys, F.col("h"))
+    assert flagged.where("id < 5000 and not __possible").count() == 0
+
+
+def test_runs_of_words_hash_by_words_alone():
+    from gazetta.llm import words
+
+    texts = ["One two, THREE four", "zero one-two three.four five", "", "é中 one"]
+    found = words.read([t for t in texts if t])
+    start, h = words.shingles(found, 4)
+    assert h[start.tolist().index(0)] == h[start.tolist().index(5)] and len(h) == 1 + 3
+    a, b = (words.read([t]).hashes for t in ("one two three", "ONE\ttwo\nthree"))
+    assert (a == b).all() and len(set(a.tolist())) == 3
