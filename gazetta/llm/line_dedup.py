@@ -36,7 +36,8 @@ def _at(start: Column, text: Column) -> Column:
 def content_chunks(lined: DataFrame) -> DataFrame:
     """lined: lines (two or more) and others.  The others, start, n (lines) and chunk, its lines marked C (the first) or L.
 
-    No lambda looks into another array, so the work is linear."""
+    No lambda looks into another array, so the work is linear.  The outer form keeps the optimizer from making the whole list
+    once more in a filter before it is unfolded; what it adds for empty lists, a null, fails the test for white space."""
     others = [c for c in lined.columns if c != "lines"]
     n = F.size("lines")
     hashed = lined.withColumn("h", F.transform("lines", lambda x: F.xxhash64(x)))
@@ -48,7 +49,7 @@ def content_chunks(lined: DataFrame) -> DataFrame:
     marked = marked.withColumn("marks", F.slice(marks, F.lit(1), n)).drop("least")
     starts = F.filter(F.transform("marks", lambda m, i: F.when(m == "C", i)), lambda i: i.isNotNull())
     chunks = F.split(F.array_join(F.zip_with("marks", "lines", lambda m, x: F.concat(m, x)), "\n"), "\n(?=C)", -1)
-    each = marked.select(*others, F.inline(F.zip_with(starts, chunks, _at)))
+    each = marked.select(*others, F.inline_outer(F.zip_with(starts, chunks, _at)))
     return each.where(F.col("chunk").rlike(r"(?:^|\n)[CL][^\n]*\S")).withColumn("n", F.length("chunk") - F.length(F.replace("chunk", F.lit("\n"))) + 1)
 
 
@@ -59,7 +60,7 @@ def pairs_of_lines(lined: DataFrame) -> DataFrame:
     pairs = F.zip_with(F.slice("lines", F.lit(1), n - 1), F.slice("lines", F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit("\n"), b))
     paired = lined.withColumn("pairs", F.transform(pairs, lambda x, i: _at(i, x)))
     left = F.transform(F.array_except(F.sequence(F.lit(0), n - 2), "within"), lambda i: F.get(F.col("pairs"), i))
-    each = paired.withColumn("left", F.when(F.size("within") > 0, left).otherwise(F.col("pairs"))).select(*others, F.inline("left"))
+    each = paired.withColumn("left", F.when(F.size("within") > 0, left).otherwise(F.col("pairs"))).select(*others, F.inline_outer("left"))
     return each.where(F.col("chunk").rlike(r"\S")).withColumn("n", F.lit(PAIR))
 
 
