@@ -42,9 +42,13 @@ _ITEMS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd dt", ("dl",)), "dd": ("
 _IN_HEAD = frozenset("base link meta noscript script style template title".split())
 #: Elements, words of class and id, and roles that tell boilerplate or content.
 _BAD_TAGS = frozenset("nav footer aside form button fieldset menu dialog".split())
-_BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements adsense banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr popup modal sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pager pagination footer masthead topbar toolbar comment comments commentlist respond reply replies disqus newsletter subscribe subscription signup login".split())
+_BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements adsbygoogle adsense banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr popup modal sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pager pagination footer masthead topbar toolbar comment comments commentlist respond reply replies disqus newsletter subscribe subscription signup login".split())
 _DOUBTFUL_WORDS = frozenset("alert notice notices overlay related recommended recommendations trending share sharing social widget widgets tagcloud".split())
 _EITHER_WORDS = frozenset("side aside crumbs foot copyright header discussion search tags byline meta skip hidden legal disclaimer".split())
+#: Names that begin so tell of a part elsewhere (has-sidebar); an article of these classes is a comment or an advert.
+_ELSEWHERE = frozenset("has with without no not is".split())
+_NO_ARTICLE = frozenset("comment reply ad advert promo sponsored".split())
+_GOOD_ROLES = frozenset("main article".split())
 _GOOD_WORDS = frozenset("article content main story post entry body text maintext".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Costs of calling a block content (bad ...) or boilerplate (the others).
@@ -69,8 +73,14 @@ class _Node:
             self.good = max(self.good, _COST["article"])
         if attrs:
             found = {a.lower(): b or c or d or "" for a, b, c, d in _ATTR.findall(attrs)}
-            words = {w.lower() for k in ("class", "id") for w in _NAME_WORD.findall(found.get(k, ""))}
-            if found.get("role", "").lower() in _BAD_ROLES or found.get("aria-hidden") == "true" or "hidden" in found or re.search(r"display:\s*none|visibility:\s*hidden", found.get("style", "")):
+            names = [[w.lower() for w in _NAME_WORD.findall(name)] for k in ("class", "id") for name in found.get(k, "").split()]
+            words = {w for name in names if name and name[0] not in _ELSEWHERE for w in name}
+            role = found.get("role", "").lower()
+            if role in _GOOD_ROLES:
+                self.good = max(self.good, _COST["article"])
+            if role in _BAD_ROLES or found.get("aria-hidden") == "true" or "hidden" in found or re.search(r"display:\s*none|visibility:\s*hidden", found.get("style", "")):
+                self._bad("bad")
+            elif tag == "article" and any(len(n) == 1 and n[0] in _NO_ARTICLE for n in names):
                 self._bad("bad")
             elif words and tag not in ("html", "body", "article", "main") and not (tag in ("h1", "h2") and in_article):
                 good = bool(words & _GOOD_WORDS)

@@ -394,6 +394,8 @@ def test_extraction_keeps_article_parts_with_ordinary_names():
     page = "<article><h1>Title</h1>" + "".join(f'<div class="{c}"><p>{c} {long}</p></div>' for c in "meta byline legal tags skip side discussion".split()) + '<div class="notice"><p>Please note.</p></div><div class="ad"><p>' + long + "</p></div></article>"
     text = html_extract.main_text(page)
     assert text.split("\n") == ["Title"] + [f"{c} {long}" for c in "meta byline legal tags skip side discussion".split()]
+    two = f'<div class="page has-sidebar no-comments"><div role="main"><h1>Title</h1><p>{long}</p></div><article class="comment"><p>{long}</p></article><ins class="adsbygoogle"><p>Buy.</p></ins></div>'
+    assert html_extract.main_text(two) == f"Title\n{long}"
     assert html_extract.main_text("<head><title>T</title><p>Text that follows an open head.") == "Text that follows an open head."
     assert html_extract.main_text("<html><head><meta charset=x>Text without any tag, in an open head.") == "Text without any tag, in an open head."
 
