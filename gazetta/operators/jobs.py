@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: Provider -> (records in a sub-batch, seconds between submissions).
 STAGGER = {"google": (500, 120), "anthropic": (1000, 30), "openai": (2000, 10)}
 BATCH = "batch_number int, total_batches int, batch_id string, batch_name string, provider string, model string, dataset string, start_record long, end_record long, record_count long, submitted_at string, output_formats array<string>, use_dwc boolean, deduplicated boolean"
@@ -16,9 +18,10 @@ JOB_COLUMNS = ("batch_id", "batch_name", "provider", "model", "dataset", "record
 def ordinals(df: DataFrame, order: list[str], name: str = "__n") -> DataFrame:
     """Adds 0, 1, 2, ... in the given order without a single-partition window.
 
-    Rows are range-partitioned and sorted; each partition's size shifts the numbers of those after it."""
+    Rows are range-partitioned and sorted; each partition's size shifts the numbers of those after it.  They are written
+    once, as ranges come from samples that a second reading would draw anew."""
     ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    ranged = materialise(ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*order))), "ranges")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__size"))
     starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))

@@ -313,6 +313,21 @@ def staggered_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("original", (F.col("Confidence") != "").alias("answered"), F.lit(float(done)).alias("batches"))
 
 
+@query("SELECT (SELECT count(*) FROM customer WHERE c_custkey % 7 <> 0) AS answered, (SELECT count(*) FROM customer) AS processed")
+def streamed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of arriving files as a stream; its progress as it is told."""
+    rows, folder, told = _places(spark, sf_dir), new_path(spark, "arrivals"), []
+    rows.repartition(3).write.parquet(f"{folder}/in")
+    listener = state.Progress(told.append)
+    spark.streams.addListener(listener)
+    try:
+        answered = calls.stream_process(spark, f"{folder}/in", rows.schema, f"{folder}/checkpoint", calls.StubProvider(), f"{folder}/ledger")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.createDataFrame([(answered, max((t["processed"] for t in told), default=0))], "answered long, processed long")
+
+
 # --- jobs and models -------------------------------------------------------------------------------------------------
 
 

@@ -145,7 +145,11 @@ def stream_process(spark: SparkSession, folder: str, schema: str, checkpoint: st
     """Process the files that a folder has gained since the last run; returns the number of ledger rows."""
 
     def one(batch: DataFrame, _: int) -> None:
-        settle(requests_of(deduplicate(filter_records(batch)), instructions), provider, ledger)
+        once = batch.persist()  # its files are read, and counted, once
+        try:
+            settle(requests_of(deduplicate(filter_records(once)), instructions), provider, ledger)
+        finally:
+            once.unpersist()
 
     source = spark.readStream.schema(schema).parquet(folder)
     query = source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
