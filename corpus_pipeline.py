@@ -23,6 +23,12 @@ def _masked(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list]:
     return docs.toDF(*names.values()), names, [F.col(new).alias(old) for old, new in names.items()]
 
 
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows without those whose uid is in gone (read from a table).  Rows that surely stay are not sent anywhere."""
+    halves = possible(rows, F.col("uid"), gone, F.col("uid"))
+    return halves.where("not __possible").unionByName(halves.where("__possible").join(shuffled(gone), "uid", "left_anti"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in none of the languages go."""
     masked, names, back = _masked(docs)
@@ -47,8 +53,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class of near duplicates stays, the one with the smallest id."""
     masked, names, back = _masked(docs)
     rows = numbered(masked, "uid")
-    stays = near_dedup.near_duplicates(rows, names["doc_id"], names["text"], uid_col="uid").where("stays").select("uid")
-    return rows.join(stays, "uid", "left_semi").select(*back)
+    found = near_dedup.near_duplicates(rows, names["doc_id"], names["text"], uid_col="uid")
+    return _without(rows, materialise(found.where(~F.col("stays")).select("uid"), "goes")).select(*back)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +62,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     masked, names, back = _masked(docs)
     rows = numbered(masked, "uid")
     hits = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "uid", names["text"])
-    if hits is None:
-        return masked.select(*back)
-    halves = possible(rows, F.col("uid"), hits, F.col("uid"))  # most documents are not sent
-    return halves.where("not __possible").unionByName(halves.where("__possible").join(shuffled(hits), "uid", "left_anti")).select(*back)
+    return (masked if hits is None else _without(rows, hits)).select(*back)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
