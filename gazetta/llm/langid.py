@@ -21,12 +21,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, materialise
+from .words import in_parts
 
 UNDETERMINED = "und"
 #: Documents for each language that fitting expects to read (rows are taken by a hash of id and text).
@@ -121,17 +121,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     place = {lang: i for i, lang in enumerate(languages)}
     limit = {lang: int(min(1.0, sample_docs / n) * (1 << 30)) for n, lang in sizes}
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, group in batch.groupby("__lang"):
-                texts = [t or "" for t in group["__text"]]
-                for h, _ in _ngrams(texts, orders):
-                    values, n = np.unique(h, return_counts=True)
-                    yield pd.DataFrame({"h": values.view(np.int64), "lang": np.full(len(values), place[lang], "i4"), "n": n.astype("i8")})
+            langs = batch.column("__lang").to_pylist()
+            for rows, texts in in_parts(batch, "__text"):
+                by_lang: dict[str, list[str]] = {}
+                for row, text in zip(rows.tolist(), texts, strict=True):
+                    by_lang.setdefault(langs[row], []).append(text)
+                for lang, some in by_lang.items():
+                    for h, _ in _ngrams(some, orders):
+                        values, n = np.unique(h, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.full(len(values), place[lang], "i4")), pa.array(n, pa.int64())], names=["h", "lang", "n"])
 
     cut = F.create_map(*[x for lang, n in limit.items() for x in (F.lit(lang), F.lit(n))])
     sample = rows.where(F.pmod(F.xxhash64("__id", "__text"), F.lit(1 << 30)) < cut[F.col("__lang")])
-    grams = sample.select("__lang", "__text").mapInPandas(count, "h long, lang int, n long").groupBy("h", "lang").agg(F.sum("n").alias("n"))
+    grams = sample.select("__lang", "__text").mapInArrow(count, "h long, lang int, n long").groupBy("h", "lang").agg(F.sum("n").alias("n"))
     grams = materialise(grams, "ngrams")
     totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     weight = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(1.0 / n))]) if totals else F.create_map(F.lit(-1), F.lit(0.0))
@@ -140,10 +144,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     member = grams.where(F.col("n") >= least).join(top, "h").where(F.col("rate") >= share * F.col("most"))
     mask = (1 << bits) - 1
     slot = F.explode(F.array(F.shiftrightunsigned("h", 4).bitwiseAND(F.lit(mask)), F.shiftrightunsigned("h", 34).bitwiseAND(F.lit(mask))))
-    table = member.select(slot.alias("slot"), F.floor(F.col("lang") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, lang % 64)").alias("bit")).groupBy("slot", "word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table = member.select(slot.alias("slot"), F.floor(F.col("lang") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, lang % 64)").alias("bit")).groupBy("slot", "word").agg(F.bit_or("bit").alias("bits")).toArrow()
     kind = np.uint8 if len(languages) <= 8 else np.uint64
     words = np.zeros((-(-len(languages) // 64), 1 << bits), kind)
-    words[table["word"].to_numpy(int), table["slot"].to_numpy(int)] = table["bits"].to_numpy("i8").view(np.uint64).astype(kind)
+    word, slots, found = (table.column(c).to_numpy() for c in ("word", "slot", "bits"))
+    words[word, slots] = found.view(np.uint64).astype(kind)
     fill = np.array([np.count_nonzero(words[i // 64] & kind(1 << (i % 64))) / (1 << bits) for i in range(len(languages))])
     return LanguageFilters(languages, words, bits, orders, np.minimum(fill**2, 0.999))
 

@@ -22,7 +22,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,7 +55,7 @@ class _Encoder(dict):
     def __missing__(self, chunk: str) -> bytes:
         ids = array("I", self._fast(chunk)).tobytes()
         if len(chunk) <= _CACHED_CHARS:
-            self.held += 200 + 4 * len(chunk) + len(ids)
+            self.held += 180 + 2 * len(chunk) + len(ids)
             if self.held > _CACHE_BYTES:
                 self.clear()
                 self.held = 0
@@ -99,7 +98,8 @@ def tokenise(docs: DataFrame, tokenizer: tuple[str, str, str], capacity: int = C
         encoder = _encoder(*tokenizer)
         for batch in batches:
             row, piece, start, length, crc, blobs = [], [], [], [], [], []
-            for i, text in enumerate(batch.column("__text").to_pylist()):
+            for i, value in enumerate(batch.column("__text")):
+                text = value.as_py()
                 ids = (encoder.encode(text) if text else b"") + end
                 total = len(ids) // 4
                 at, n, k = 0, total % capacity or capacity, 0
@@ -168,8 +168,8 @@ def _may_pair(there: int, total: int) -> bool:
     return bool(low & flipped & ~1)
 
 
-def places(runs: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
-    """For each length and run: the ranks that go there, the bins they fill and the offsets in a bin."""
+def places(runs: list[tuple[dict[int, int], int]]) -> np.ndarray:
+    """A row for each length and run, in order: length, first rank that goes there, first bin, pieces in a bin, offset in a bin."""
     rows, used, bins = [], Counter(), 0
     for pattern, times in runs:
         at = 0
@@ -178,14 +178,14 @@ def places(runs: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
             used[k] += pattern[k] * times
             at += k * pattern[k]
         bins += times
-    return pd.DataFrame(rows, columns=["length", "from_rank", "from_bin", "each", "offset"])
+    return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
 def pack(docs: DataFrame, tokenizer: tuple[str, str, str] | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = materialise(tokenise(docs, tokenizer or default_tokenizer(), capacity, id_col, text_col), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    table = places(plan_bins(histogram, capacity)).sort_values(["length", "from_rank"])
+    table = places(plan_bins(histogram, capacity))
     buckets = max(-(-sum(histogram.values()) // RANK_ROWS), tasks(docs.sparkSession))
     rows = pieces.withColumn("__bucket", F.pmod(F.xxhash64("__id", "piece", "start"), F.lit(buckets)))
     here = Window.partitionBy("length", "__bucket")
@@ -194,9 +194,9 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str] | None = None, capacit
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     rows = rows.join(sizes, ["length", "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
-    lengths, ranks, bins, each, offsets = (table[c].to_numpy() for c in table.columns)
+    lengths, ranks, bins, each, offsets = table.T
     step = np.int64(1) << 40  # length and rank in one sorted number; fewer than 2**40 pieces have one length
-    keys = lengths.astype("i8") * step + ranks
+    keys = lengths * step + ranks
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
