@@ -1,4 +1,4 @@
-"""The registered queries: all ten and the pipeline are there, run on the smallest tables and equal their SQL."""
+"""The registered queries: all thirteen and the pipeline are there, run on the smallest tables and equal their SQL."""
 
 import os
 
@@ -19,12 +19,15 @@ COLUMNS = {
     8: "doc_id n_assign n_access n_hex base_sha256 spans",
     9: "doc_id piece start length ids_crc32 sequence_id offset",
     10: "doc_id text lines_removed chunks_removed",
+    11: "vec_id code error label_error codebooks_sha256",
+    12: "doc_id n_tokens ids_sha256 decoded_sha256",
+    13: "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
 def test_all_are_registered():
     found = entry_points.queries()
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(QUERIES) | {"pipeline"} <= set(found)
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14)) and set(QUERIES) | {"pipeline"} <= set(found)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
@@ -36,12 +39,12 @@ def test_query(spark, name):
     number = int(name[2:].split("_")[0])
     assert out.columns == COLUMNS[number].split()
     rows = sorted((tuple(r) for r in out.collect()), key=str)
-    table = "pages" if number in (1, 7) else "documents"
+    table = {1: "pages", 7: "pages", 11: "embeddings"}.get(number, "documents")
     whole = spark.read.parquet(f"{DATA}/{table}.parquet").count()
     assert len(rows) >= whole if number == 9 else len(rows) == whole
     if name in ORACLE_SQL:
         db = duckdb.connect()
-        for t in ("documents", "pages", "benchmark"):
+        for t in ("documents", "pages", "benchmark", "embeddings"):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
         assert rows == sorted(db.execute(ORACLE_SQL[name]).fetchall(), key=str)
 
