@@ -73,3 +73,73 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM t LEFT JOIN s USING (doc_id)
 """
+
+
+def _assigned(k: int) -> str:
+    """The nearest entry of codebooks c{k} for every part."""
+    return f"""
+a{k} AS (SELECT r, part, any_value(q) AS q, arg_min(entry, d * 1000 + entry) AS entry, min(d) AS d FROM (
+  SELECT r, p.part, q, entry, CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(q, c)]) AS HUGEINT) AS d FROM p JOIN c{k} USING (part)) GROUP BY r, part)"""
+
+
+def _refined(k: int) -> str:
+    """Codebooks c{k + 1} from what fell to the entries of c{k}."""
+    return f"""
+m{k} AS (SELECT part, entry, list(v ORDER BY i) AS c FROM (
+  SELECT part, entry, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS v FROM (SELECT part, entry, unnest(q) AS x, unnest(range(len(q))) AS i FROM a{k}) GROUP BY part, entry, i) GROUP BY part, entry),
+c{k + 1} AS (SELECT part, entry, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (part, entry))"""
+
+
+VECTOR_CODES = f"""
+WITH k AS (
+  SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r
+  FROM embeddings WHERE len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])),
+p AS (SELECT r, part, v[part * len(v) // 16 + 1 : (part + 1) * len(v) // 16] AS q FROM k, (SELECT unnest(range(16)) AS part)),
+c0 AS (SELECT part, r - 1 AS entry, q AS c FROM p WHERE r <= 64), {_assigned(0)}, {_refined(0)}, {_assigned(1)}, {_refined(1)}, {_assigned(2)},
+e AS (SELECT r, string_agg(printf('%02x', CAST(entry AS BIGINT)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r),
+s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN e USING (r), s
+"""
+
+
+_CRC32 = """(list_reduce(list_prepend(4294967295, flatten([[unicode(c), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+
+
+def _leaf(text: str) -> str:
+    values = [("doc_id", "CAST(doc_id AS VARCHAR)"), ("source", "source"), ("lang", "lang"), ("n_chars", "CAST(n_chars AS VARCHAR)"), ("text", text)]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for _, v in values) + ")"
+
+
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE
+f AS (
+  SELECT row_number() OVER () AS r, doc_id, source, leaf, other, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT doc_id, source, {_leaf("text")} AS leaf, CASE WHEN xor({_CRC32}, 4294967295) % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS other FROM documents)),
+nodes AS (
+  SELECT source, 0 AS lvl, p, leaf AS h, n FROM f
+  UNION ALL
+  SELECT source, lvl + 1, p // 3, sha256(string_agg(h, '' ORDER BY p)), (any_value(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY source, lvl, p // 3),
+subs AS (SELECT source, lvl AS tall, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS lvl, p, h, n FROM subs
+  UNION ALL
+  SELECT lvl + 1, p // 3, sha256(string_agg(h, '' ORDER BY p)), (any_value(n) + 2) // 3 FROM tops WHERE n > 1 GROUP BY lvl, p // 3),
+path AS (
+  SELECT r, a.lvl AS step, coalesce(string_agg(b.h, '' ORDER BY b.p) FILTER (b.p < a.p), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.p) FILTER (b.p > a.p), '') AS g
+  FROM (SELECT r, f.source, lvl, f.p // CAST(pow(3, lvl) AS BIGINT) AS p FROM f JOIN (SELECT DISTINCT source, lvl FROM nodes WHERE n > 1) t ON f.source IS NOT DISTINCT FROM t.source) a
+  JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.lvl = b.lvl AND a.p // 3 = b.p // 3 GROUP BY r, a.lvl
+  UNION ALL
+  SELECT r, tall + lvl, coalesce(string_agg(b.h, '' ORDER BY b.p) FILTER (b.p < a.p), ''), coalesce(string_agg(b.h, '' ORDER BY b.p) FILTER (b.p > a.p), '')
+  FROM (SELECT r, tall, lvl, s.p // CAST(pow(3, lvl) AS BIGINT) AS p FROM f JOIN subs s ON f.source IS NOT DISTINCT FROM s.source, (SELECT DISTINCT lvl FROM tops WHERE n > 1)) a
+  JOIN tops b USING (lvl) WHERE a.p // 3 = b.p // 3 GROUP BY r, tall, lvl),
+folds AS (
+  SELECT r, 0 AS step, other AS h FROM f
+  UNION ALL
+  SELECT r, step + 1, sha256(l || h || g) FROM folds JOIN path USING (r, step)),
+proofs AS (SELECT r, sha256(string_agg(l || g, '' ORDER BY step)) AS proof_sha256 FROM path GROUP BY r),
+ends AS (SELECT r, arg_max(h, step) AS folded_root FROM folds GROUP BY r),
+top AS (SELECT h AS root FROM tops WHERE n = 1)
+SELECT doc_id, leaf, s.h AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM f JOIN subs s ON f.source IS NOT DISTINCT FROM s.source JOIN ends USING (r) LEFT JOIN proofs USING (r), top
+"""

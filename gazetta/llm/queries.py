@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_extract, langid, line_dedup, near_dedup, oracles, packing, secret_scan, substring_dedup, url_filter
+from . import bpe, decontaminate, exact_dedup, html_extract, langid, line_dedup, merkle, near_dedup, oracles, packing, secret_scan, substring_dedup, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,12 +72,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "lines_removed", "chunks_removed")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    books = vector_codes.fit(rows)
+    out = vector_codes.label_errors(vector_codes.encode(rows, books))
+    return out.drop("label").withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     back = bpe.decode(encoded.withColumn("ids_sha256", F.sha2("ids", 256)), keep=["doc_id", "n_tokens", "ids_sha256"])
     return back.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    found = merkle.manifest(docs, tampered={"text": F.replace("text", F.lit("\n"), F.lit(""))}, where=even)
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest("path").alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
@@ -89,7 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_vector_codes": op11_vector_codes,
     "op12_bpe_round_trip": op12_bpe_round_trip,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -97,4 +113,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": oracles.EXACT_DEDUP,
     "op4_benchmark_decontamination": oracles.DECONTAMINATION,
     "op8_secret_scan": oracles.SECRET_SCAN,
+    "op11_vector_codes": oracles.VECTOR_CODES,
+    "op13_merkle_manifest": oracles.MERKLE_MANIFEST,
 }
