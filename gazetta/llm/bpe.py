@@ -20,7 +20,6 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator, Sequence
-from itertools import accumulate, chain, filterfalse, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +29,16 @@ from .common import map_texts
 
 #: The white space that the vocabulary's split pattern knows.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words with one leading space, or white space; whatever surrounds them, they are split and merged alone.
-_WORDS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
+_IS_SPACE = re.compile(f"[{_SPACE}]").match
 #: Between text and white space every token ends.
 _END = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
-#: Fixed value: the vocabulary's split pattern.
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words with characters from here on are split by the tokenizers library, whose Unicode tables may be older.
-_LATE = "\u0530"
+#: The split pattern, as kinds of characters; `pieces` reads it.  's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+_ENDINGS_1, _ENDINGS_2 = "stmd", ("re", "ve", "ll")
+#: Characters from here on are asked of the tokenizers library, whose Unicode tables may be older.
+_LATE = 0x530
+_BLANK, _WHITE, _LETTER, _NUMBER, _OTHER = range(5)
 #: Characters whose words are looked up together, about.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 21
 #: Bytes that one worker keeps of words and their ids, about.
 KEPT_BYTES = 96 << 20
 #: Words of at most so many bytes are merged many at a time (so many at most); longer ones, which are few, one by one.
@@ -122,8 +121,10 @@ class Vocabulary:
         by_key = np.argsort(keys)
         self.pairs, self.pair_ranks = keys[by_key], by_key
         self.first = self.look_up(np.repeat(self.bytes, 256), np.tile(self.bytes, 256))  # of pairs of bytes
-        self.split = regex.compile(_SPLIT).findall
-        self.split_late = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        self.split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        self.late: dict[int, int] = {}
+        early = [regex.match(r"(\x20)|(\s)|(\p{L})|(\p{N})|(?s:(.))", chr(c)).lastindex - 1 for c in range(_LATE)]
+        self.early = np.array([*early, _OTHER], np.int8)
         self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.find_added = re.compile("|".join(map(re.escape, longest_first))).search if added else lambda text, at=0: None
@@ -132,8 +133,8 @@ class Vocabulary:
         texts = [tokens.get(i, b"") for i in range(max(tokens) + 1)] + [b""]  # the last one stands for all ids beyond
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.starts, self.letters = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(texts), np.uint8)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.held = 0
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -142,44 +143,70 @@ class Vocabulary:
         at = np.searchsorted(self.pairs, keys)
         return np.where(self.pairs[at] == keys, self.pair_ranks[at], -1)
 
-    def _ends(self, word: str) -> list[int]:
-        """Where the pieces of a word end in its bytes, but for the last one: no token spans two pieces."""
-        early = word.isascii() or max(word) < _LATE
-        if early and (word[1:] if word[0] == " " else word).isalpha():
-            return []
-        pieces = self.split(word) if early else [word[a:b] for _, (a, b) in self.split_late(word)]
-        return list(accumulate(len(x.encode()) for x in pieces[:-1]))
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words that are not kept."""
-        as_bytes = [w.encode() for w in words]
-        sizes = np.array([len(b) for b in as_bytes], np.int64)
+    def _kinds(self, chars: np.ndarray) -> np.ndarray:
+        kinds = self.early[np.minimum(chars, _LATE)]
+        if len(at := np.flatnonzero(chars >= _LATE)):
+            some, which = np.unique(chars[at], return_inverse=True)
+            kinds[at] = np.array([self._late(c) for c in some.tolist()], np.int8)[which]
+        return kinds
+
+    def _late(self, c: int) -> int:
+        if c not in self.late:
+            if _IS_SPACE(chr(c)):
+                self.late[c] = _WHITE
+            else:
+                self.late[c] = next((kind for kind, x in ((_LETTER, "a"), (_NUMBER, "1")) if len(self.split(x + chr(c))) == 1), _OTHER)
+        return self.late[c]
+
+    def pieces(self, chars: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """Where the pieces begin that the split pattern finds in each of the parts (which begin at ``parts``)."""
+        n = len(chars)
+        kinds, first = self._kinds(chars), np.zeros(n + 3, bool)
+        first[parts], first[n:] = True, True
+        white = kinds <= _WHITE
+        same = np.where(white, np.int8(_WHITE), kinds)
+        begins = first[:n].copy()
+        begins[1:] |= same[1:] != same[:-1]
+        tails = np.flatnonzero(white[:-1] & ~white[1:] & ~first[1:n])  # the last of white space before text
+        begins[tails] = True
+        begins[tails[kinds[tails] == _BLANK] + 1] = False
+        quotes = np.flatnonzero((chars == ord("'")) & begins)
+        if len(quotes):
+            padded = np.concatenate([chars, np.zeros(2, chars.dtype)])
+            one, two = padded[quotes + 1], padded[quotes + 2]
+            short = np.isin(one, [ord(c) for c in _ENDINGS_1]) & ~first[quotes + 1]
+            long = np.any([(one == ord(a)) & (two == ord(b)) for a, b in _ENDINGS_2], axis=0) & ~first[quotes + 1] & ~first[quotes + 2]
+            begins[quotes[short | long] + 1] = False
+            ends = np.concatenate([quotes[short] + 2, quotes[long] + 3])
+            begins[ends[ends < n]] = True
+        return np.flatnonzero(begins)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of pieces that are not kept."""
+        sizes = np.array([len(b) for b in words], np.int64)
         order, at = np.argsort(sizes, kind="stable"), 0
         for size in (1 << k for k in range(_LONG.bit_length())):
             end = int(np.searchsorted(sizes[order], size, "right"))
             for i in range(at, end, _TOGETHER):
-                some = order[i : min(i + _TOGETHER, end)].tolist()
-                made = self._merged([as_bytes[k] for k in some], [self._ends(words[k]) for k in some], size)
-                self.young.update(zip([words[k] for k in some], made, strict=True))
+                some = [words[k] for k in order[i : min(i + _TOGETHER, end)].tolist()]
+                self.young.update(zip(some, self._merged(some, size), strict=True))
             at = end
         for k in order[at:].tolist():
-            ends = [0, *self._ends(words[k]), len(as_bytes[k])]
-            pieces = [self.bytes[np.frombuffer(as_bytes[k][a:b], np.uint8)].tolist() for a, b in pairwise(ends)]
-            self.young[words[k]] = b"".join(array("I", merge(x, self.ranks, self.made)).tobytes() for x in pieces)
-        self.held += 180 * len(words) + 5 * int(sizes.sum())
+            symbols = self.bytes[np.frombuffer(words[k], np.uint8)].tolist()
+            self.young[words[k]] = array("I", merge(symbols, self.ranks, self.made)).tobytes()
+        self.held += 200 * len(words) + 5 * int(sizes.sum())
 
-    def _merged(self, words: list[bytes], ends: list[list[int]], size: int) -> list[bytes]:
+    def _merged(self, words: list[bytes], size: int) -> list[bytes]:
         """`merge` for many words of at most ``size`` bytes at once: a row of the arrays each, a merge a row in every step."""
         n = np.array([len(b) for b in words], np.int64)
         letters = np.frombuffer(b"".join([b.ljust(size, b"\0") for b in words]), np.uint8).reshape(-1, size).astype(np.int64)
         symbols, places = self.bytes[letters], np.arange(size)
         alive = places < n[:, None]
-        row, end = np.array([(i, e) for i, x in enumerate(ends) for e in x], np.int64).reshape(-1, 2).T
         after, before = np.tile(places + 1, (len(words), 1)), np.tile(places - 1, (len(words), 1))
-        after[np.arange(len(words)), n - 1], after[row, end - 1], before[row, end] = size, size, -1
+        after[np.arange(len(words)), n - 1] = size
         tree = np.full((len(words), 2 * size), _NONE, np.int64)
         rank = self.first[letters[:, :-1] << 8 | letters[:, 1:]]
-        tree[:, size:-1] = np.where((rank >= 0) & (after < size)[:, :-1] & alive[:, 1:], rank << 32 | places[:-1], _NONE)
+        tree[:, size:-1] = np.where((rank >= 0) & alive[:, 1:], rank << 32 | places[:-1], _NONE)
         level = size
         while level > 1:
             tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
@@ -211,12 +238,17 @@ class Vocabulary:
         return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; words that are new are merged together, a slice at a time."""
+        """Little-endian unsigned 32-bit ids of each text; pieces that are new are merged together, a slice at a time."""
         out: list[list[bytes]] = [[] for _ in texts]
         waiting, chars = [], 0
         for i, text in enumerate(texts):
             for part in self._slices(text or ""):
-                waiting.append((i, [part] if part in self.added else _WORDS(part)))
+                if part in self.added:
+                    self._write(waiting, out)
+                    out[i].append(self.added[part])
+                    waiting, chars = [], 0
+                    continue
+                waiting.append((i, part))
                 chars += len(part)
                 if chars > SLICE_CHARS:
                     self._write(waiting, out)
@@ -224,21 +256,40 @@ class Vocabulary:
         self._write(waiting, out)
         return [b"".join(x) for x in out]
 
-    def _write(self, waiting: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
-        """Words used since the last change of generations are young; old ones that are not used again are forgotten."""
+    def _write(self, waiting: list[tuple[int, str]], out: list[list[bytes]]) -> None:
+        if not waiting:
+            return
+        text = "".join([part for _, part in waiting])
+        ends = np.cumsum([len(part) for _, part in waiting])
+        parts, letters = np.concatenate([[0], ends[:-1]]), text.encode()
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at = self.pieces(chars, parts)
+        firsts = np.searchsorted(at, parts)  # the first piece of each part
+        if len(letters) > len(chars):
+            place = np.cumsum(1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000))
+            at = np.where(at > 0, place[at - 1], 0)
+        which, words = _distinct(letters, at, np.diff(at, append=len(letters)))
+        found = self._known(words)
+        sizes = np.array([len(x) for x in found], np.int64) >> 2
+        ids = _gathered(np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, sizes, which).tobytes()
+        stops = np.cumsum(np.add.reduceat(sizes[which], firsts) * 4).tolist()
+        for (i, _), a, b in zip(waiting, [0, *stops], stops, strict=False):
+            out[i].append(ids[a:b])
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of pieces.  Those used since the last change of generations are young; old ones that are not used again are forgotten."""
         if self.held > KEPT_BYTES // 2:
             self.young, self.old, self.held = {}, self.young, 0
-        unknown = []
-        for w in set(filterfalse(self.young.__contains__, chain.from_iterable(words for _, words in waiting))):
-            if (ids := self.old.get(w) or self.added.get(w)) is None:
-                unknown.append(w)
-            else:
-                self.young[w] = ids
-                self.held += 180 + 5 * len(w)
+        get, old, unknown = self.young.get, self.old.get, []
+        for w in words:
+            if get(w) is None:
+                if (ids := old(w)) is None:
+                    unknown.append(w)
+                else:
+                    self.young[w] = ids
+                    self.held += 200 + 5 * len(w)
         self._learn(unknown)
-        get = self.young.__getitem__
-        for i, words in waiting:
-            out[i].append(b"".join(map(get, words)))
+        return [self.young[w] for w in words]
 
     def _slices(self, text: str) -> Iterator[str]:
         """Added tokens, and what lies between them in parts that end where tokens do."""
@@ -257,12 +308,39 @@ class Vocabulary:
         numbers, parts = np.frombuffer(ids, "<u4"), []
         for at in range(0, len(numbers), SLICE_CHARS):
             some = np.minimum(numbers[at : at + SLICE_CHARS], len(self.starts) - 1)
-            sizes = self.sizes[some]
-            first = np.cumsum(sizes) - sizes
-            parts.append(self.letters[np.arange(int(sizes.sum())) + np.repeat(self.starts[some] - first, sizes)].tobytes())
+            parts.append(_gathered(self.letters, self.starts, self.sizes, some).tobytes())
         return b"".join(parts).decode("utf-8", "replace")
 
 
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs of values (start, size) that ``which`` names, one after the other."""
+    size = sizes[which]
+    shift = starts[which] - np.cumsum(size) + size
+    return values[np.arange(int(size.sum())) + np.repeat(shift, size)]
+
+
+def _distinct(letters: bytes, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Which of the different words each word is, and these.  Words of at most 16 bytes are two numbers and a size."""
+    padded = np.frombuffer(letters + bytes(16), np.uint8)
+    eight = np.ndarray(len(letters) + 8, "<u8", padded.data, strides=(1,))
+    short = np.flatnonzero(size <= 16)
+    bits = 8 * np.arange(17, dtype=np.uint64)
+    masks = np.array([(1 << int(b)) - 1 if b < 64 else (1 << 64) - 1 for b in bits], np.uint64)
+    low = eight[at[short]] & masks[np.minimum(size[short], 8)]
+    high = eight[at[short] + 8 * (size[short] > 8)] & masks[np.maximum(size[short] - 8, 0)]
+    mixed = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high + size[short].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    _, first, inverse = np.unique(mixed, return_index=True, return_inverse=True)
+    same = (low[first][inverse] == low) & (high[first][inverse] == high) & (size[short][first][inverse] == size[short])
+    which = np.empty(len(at), np.int64)
+    which[short] = inverse
+    starts, stops = at.tolist(), (at + size).tolist()
+    words = [letters[starts[k] : stops[k]] for k in short[first].tolist()]
+    others: dict[bytes, int] = {}
+    for k in np.concatenate([short[~same], np.flatnonzero(size > 16)]).tolist():  # longer ones, and such as share a hash
+        which[k] = others.setdefault(letters[starts[k] : stops[k]], len(words) + len(others))
+    return which, [*words, *others]
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte: itself where it prints, else the next free one from U+0100 on."""
     prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import pytest
 
 from gazetta.llm import bpe
@@ -56,14 +57,25 @@ def test_tree_against_plain_search():
 
 
 def test_many_words_at_once(words):
-    """The rows of the arrays and the single trees agree, also where a word has several pieces."""
+    """The rows of the arrays and the single trees agree."""
     rng = random.Random(2)
     some = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 64))).encode() for _ in range(500)]
-    cuts = [sorted(rng.sample(range(1, len(w)), min(len(w) - 1, rng.choice([0, 0, 1, 3])))) for w in some]
-    out = words._merged(some, cuts, 64)
-    for w, cut, ids in zip(some, cuts, out, strict=True):
-        parts = [w[a:b] for a, b in zip([0, *cut], [*cut, len(w)])]
-        assert _ids(ids) == [i for p in parts for i in bpe.merge([int(words.bytes[c]) for c in p], words.ranks, words.made)]
+    for w, ids in zip(some, words._merged(some, 64), strict=True):
+        assert _ids(ids) == bpe.merge([int(words.bytes[c]) for c in w], words.ranks, words.made)
+
+
+def test_pieces(words):
+    """Several parts read together are split as the library splits each of them."""
+    rng = random.Random(8)
+    parts = [t for t in _texts(300, 12, 9) + ["it's", "I'VE", "'tis", "we''ll", " 's", "a'r", "'", "x've're", "²½a", "a ", " \n", "\n a"] if t]
+    rng.shuffle(parts)
+    starts, at = [], 0
+    for p in parts:
+        starts += [at + a for _, (a, _) in words.split(p)]
+        at += len(p)
+    chars = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+    begins = np.cumsum([0, *map(len, parts)])[:-1]
+    assert words.pieces(chars, begins).tolist() == starts
 
 
 def test_against_library(library, words, monkeypatch):
