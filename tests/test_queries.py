@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 
 import __spark_entry__ as entry_points
-from gazetta.plans import file_queries  # noqa: F401  registers its queries
+from gazetta.plans import file_queries, text_queries  # noqa: F401  register their queries
 from gazetta.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
