@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +14,11 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions.text import nonblank, number, pytrim, ref
 from ..operators.resolve import has_identifier_column, has_locality_column, with_row
+from .records import BOM, in_file_order, lines, parsed, records
 
 DELIMITERS = ("\t", ",", "|", ";")
 NUMERIC = ("Latitude", "Longitude", "Coordinate_Radius_Meters", "Elevation")
 LISTS = ("records", "data", "results")
-BOM = "﻿"
 
 
 def first_line(spark: SparkSession, path: str) -> str:
@@ -27,7 +28,10 @@ def first_line(spark: SparkSession, path: str) -> str:
 
 def detect_delimiter(spark: SparkSession, path: str) -> str:
     """The most frequent of tab, comma, bar and semicolon in the first line; ties in that order; comma if none."""
-    line = first_line(spark, path)
+    return best_delimiter(first_line(spark, path))
+
+
+def best_delimiter(line: str) -> str:
     best = max(DELIMITERS, key=line.count)
     return best if line.count(best) else ","
 
@@ -38,33 +42,30 @@ def has_quoted_line_breaks(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
 
-def in_file_order(df: DataFrame) -> DataFrame:
-    """Adds the input ordinal to a plain scan: by path, then place in the file, however the files are split over tasks."""
-    split = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__from"))
-    splits = split.select("__file", "__from").distinct().agg(F.sort_array(F.collect_set(F.struct("__file", "__from"))).alias("s"))  # one entry a split
-    splits = splits.select(F.posexplode("s").alias("__ordinal", "s")).select("__ordinal", "s.*")
-    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    row = F.shiftleft(F.col("__ordinal").cast("long"), 33) + F.col("__in")
-    return split.withColumn("__in", within).join(F.broadcast(splits), ["__file", "__from"]).select(*[ref(c) for c in df.columns], row.alias(S.ROW))
-
-
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, line_breaks: bool | None = None) -> DataFrame:
     """All columns as text, names exactly as in the header, quotes doubled, line breaks inside quotes, BOM or not.
 
-    The header is read on its own, so that names that differ only in case, or repeat, stay what they are.  Files with line
-    breaks inside quotes (looked for unless ``line_breaks`` says) are read by one task each; others are split over tasks."""
+    The header is read on its own, so that names that differ only in case, or repeat, stay what they are.  Files are split
+    over tasks; line breaks inside quotes (looked for unless ``line_breaks`` says) cost a pass over the lines in order."""
     sep = delimiter or detect_delimiter(spark, path)
     line = first_line(spark, path)
     if not line.strip():
         return spark.createDataFrame([], T.StructType([]))
+    names = header_names(line, sep)
+    if has_quoted_line_breaks(spark, path) if line_breaks is None else line_breaks:
+        return parsed(records(lines(spark, path), sep), names, sep)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    rows = spark.read.schema(schema).csv(path, header=True, sep=sep, quote='"', escape='"', encoding="UTF-8", enforceSchema=True, mode="PERMISSIVE")
+    return in_file_order(rows)
+
+
+def header_names(line: str, sep: str) -> list[str]:
+    """The names in a header; repeated ones are numbered."""
     names, seen = [], {}
-    for n in next(csv.reader(io.StringIO(line), delimiter=sep)):
+    for n in next(csv.reader(io.StringIO(line.rstrip("\r")), delimiter=sep)):
         seen[n] = seen.get(n, 0) + 1
         names.append(n if seen[n] == 1 else f"{n}.{seen[n]}")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    whole = has_quoted_line_breaks(spark, path) if line_breaks is None else line_breaks
-    rows = spark.read.schema(schema).csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=whole, encoding="UTF-8", enforceSchema=True, mode="PERMISSIVE")
-    return in_file_order(rows)
+    return names
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
@@ -103,14 +104,29 @@ def files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFram
 
 
 def discover_datasets(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per delimited file, by name.  Files that cannot be read are left out."""
-    names = files(spark, folder).where(F.lower("name").rlike(r"\.(csv|tsv|txt)$")).orderBy("name").collect()
+    """One row per delimited file, by name.  Files that cannot be read are left out.
+
+    All files are read together: one scan for first lines and line counts, a second one over those files whose quoted fields
+    may hold line breaks.  What reaches the driver is a row a file."""
+    found = files(spark, folder).where(F.lower("name").rlike(r"\.(csv|tsv|txt)$") & (F.col("size") > 0)).orderBy("name").collect()
+    if not found:
+        return spark.createDataFrame([], DATASET)
+    text = lines(spark, [f.path for f in found])
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1
+    facts = text.groupBy("__file").agg(F.min_by("value", S.ROW).alias("first"), F.count_if(F.trim(F.regexp_replace("value", "\r$", "")) != "").alias("n"), F.max(odd).alias("odd"))
+    heads = {unquote(r["__file"]): r for r in facts.collect()}
+    heads = {f.path: heads[unquote(f.path)] for f in found if unquote(f.path) in heads and heads[unquote(f.path)]["first"].strip()}
+    separators = {path: best_delimiter(r["first"]) for path, r in heads.items()}
+    counts = {path: r["n"] - 1 for path, r in heads.items()}
+    if quoted := {path: separators[path] for path, r in heads.items() if r["odd"]}:
+        whole = records(lines(spark, list(quoted)), {heads[p]["__file"]: s for p, s in quoted.items()})
+        by_file = {r["__file"]: r["n"] for r in whole.where(~F.col("header") & (F.trim("value") != "")).groupBy("__file").agg(F.count("*").alias("n")).collect()}
+        counts |= {p: by_file.get(heads[p]["__file"], 0) for p in quoted}
     rows = []
-    for f in names:  # one probe per file of an input folder
-        df = read_delimited(spark, f.path)
-        columns = [c for c in df.columns if c != "_row"]
-        if columns:
-            rows.append((f.name, f.path, detect_delimiter(spark, f.path), df.count(), columns, has_locality_column(columns), has_identifier_column(columns), f.size))
+    for f in found:
+        if f.path in heads:
+            columns = header_names(heads[f.path]["first"], separators[f.path])
+            rows.append((f.name, f.path, separators[f.path], counts[f.path], columns, has_locality_column(columns), has_identifier_column(columns), f.size))
     return spark.createDataFrame(rows, DATASET)
 
 
