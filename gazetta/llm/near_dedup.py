@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hot_keys, joined_by_hot_key, materialise, numbered, possible, shuffled
-from .words import POWERS, in_parts, read
+from .words import digests, in_parts, read
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -167,7 +167,7 @@ class Sampler:
 
 
 def _signatures(rows: DataFrame, shingler: Shingler, sampler: Sampler) -> DataFrame:
-    """rows: uid, none, id, text.  uid, none, id, k1, k2 (the word sequence; null without words), bands."""
+    """rows: uid, none, id, text.  uid, none, id, k1, k2 (a digest of the word sequence; null without words), bands."""
     shared = rows.sparkSession.sparkContext.broadcast((shingler, sampler))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,11 +176,10 @@ def _signatures(rows: DataFrame, shingler: Shingler, sampler: Sampler) -> DataFr
             k1, k2, bands = ([None] * len(batch) for _ in range(3))
             for at, texts in in_parts(batch):
                 found = read(texts)
-                first, last = found.firsts[:-1], found.firsts[1:]
-                keys = [p.runs(found.hashes, first, last).view(np.int64).tolist() for p in POWERS]
+                first, last, keys = found.firsts[:-1], found.firsts[1:], digests(texts, found)
                 for i, row in enumerate(at.tolist()):
                     if first[i] < last[i]:
-                        k1[row], k2[row] = keys[0][i], keys[1][i]
+                        k1[row], k2[row] = keys[i]
                         bands[row] = sample.band_hashes(sample.signature(*shingles.of_hashes(found.hashes[first[i] : last[i]])))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("uid", "none", "id")], pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["uid", "none", "id", "k1", "k2", "bands"])
 
