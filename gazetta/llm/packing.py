@@ -8,6 +8,8 @@ entries, whatever the corpus): a bin's pattern of lengths is repeated for as lon
 is what bin-by-bin filling would do.  Pieces then find their place from their rank among the pieces of their length;
 ranks are made in buckets of bounded size, so a length that a third of all pieces have still spreads over tasks.
 
+Ties: of pairs that fit equally the one with the longest piece; of pieces of one length the smallest id, piece and ids first.
+
 Defined cases: null text is empty text; empty text is one piece holding the end token alone; an empty table gives no
 rows; repeated rows are packed each; further columns are ignored.
 """
@@ -140,7 +142,7 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
             gap -= n * k
         if gap:
             small = min(taken)
-            for total in range(small + gap, small + 1, -1):  # the tightest first
+            for total in range(small + gap, small, -1):  # the tightest first
                 pair = next(((x, total - x) for x in range(total - 1, (total - 1) // 2, -1) if _free(left, taken, x, total - x)), None) if _may_pair(there, total) else None
                 if pair:
                     taken[small] -= 1
