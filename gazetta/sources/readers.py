@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions.text import nonblank, number, pytrim, ref
 from ..operators.resolve import has_identifier_column, has_locality_column, with_row
+from . import json_lists
 from .records import BOM, in_file_order, lines, parsed, records
 
 DELIMITERS = ("\t", ",", "|", ";")
@@ -74,22 +75,39 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[(number(ref(c)) if c in NUMERIC else nonblank(ref(c)) if c != "_row" else ref(c)).alias(c) for c in df.columns])
 
 
-def read_json_records(spark: SparkSession, path: str) -> DataFrame:
-    """A list of records; an object with records, data or results; or GeoJSON, whose points fill in missing coordinates."""
+def read_json_records(spark: SparkSession, path: str, split: bool | None = None) -> DataFrame:
+    """A list of records; an object with records, data or results; or GeoJSON, whose points fill in missing coordinates.
+
+    Files that fill more than one task (or where ``split`` says so) are cut into records by many tasks; smaller ones are
+    parsed whole.  Both give the same rows, but that line breaks between the parts of a value become blanks where a list of
+    mixed kinds comes as raw text."""
+    if split is None:
+        most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+        split = not files(spark, path).where(F.col("size") > most).isEmpty()
+    if split:
+        for keys, geo in ((("features",), True), (LISTS, False)):
+            if (rows := json_lists.read(spark, path, keys)) is not None:
+                if geo and "geometry" not in rows.schema["r"].dataType.names:  # the root is a list of plain records
+                    geo = False
+                return _features(rows.withColumnRenamed("r", "f")) if geo else rows.select("r.*", S.ROW)
     raw = spark.read.json(path, multiLine=True, primitivesAsString=True)
     if "features" in raw.columns:
-        each = raw.select(F.explode("features").alias("f")).where("f is not null")
-        props = each.schema["f"].dataType["properties"].dataType.names
-        lon, lat = F.get("f.geometry.coordinates", F.lit(0)), F.get("f.geometry.coordinates", F.lit(1))
-        own = [F.col("f.properties")[p].alias(p) for p in props if p not in ("Latitude", "Longitude")]
-        place = [F.coalesce(F.col("f.properties")[n], v).alias(n) if n in props else v.alias(n) for n, v in (("Latitude", lat), ("Longitude", lon))]
-        return with_row(each.select(*own, *place))
+        return _features(with_row(raw.select(F.explode("features").alias("f")).where("f is not null")))
     for name in LISTS:
         if name in raw.columns and isinstance(raw.schema[name].dataType, T.ArrayType):
             return with_row(raw.select(F.explode(name).alias("r")).where("r is not null").select("r.*"))
     return with_row(raw)
 
 
+def _features(each: DataFrame) -> DataFrame:
+    """The properties of GeoJSON features f, with coordinates from points where they have none."""
+    props = each.schema["f"].dataType["properties"].dataType.names
+    lon, lat = F.get("f.geometry.coordinates", F.lit(0)), F.get("f.geometry.coordinates", F.lit(1))
+    own = [F.col("f.properties")[p].alias(p) for p in props if p not in ("Latitude", "Longitude")]
+    place = [F.coalesce(F.col("f.properties")[n], v).alias(n) if n in props else v.alias(n) for n, v in (("Latitude", lat), ("Longitude", lon))]
+    return each.select(*own, *place, S.ROW)
+
+
 def load_records(spark: SparkSession, path: str) -> DataFrame:
     return read_json_records(spark, path) if path.lower().endswith((".json", ".geojson")) else read_delimited(spark, path)
 
