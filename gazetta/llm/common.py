@@ -51,6 +51,14 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: str, judge:
     return out.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], *names)
 
 
+def by_place(df: DataFrame, results: tuple[str, ...]) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """df with neutral column names, the new name of each, and what gives the old names back, but for those that results have.
+
+    Names of helpers then cannot clash with those of the data, nor names that differ in case alone with each other."""
+    new = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*new), dict(zip(df.columns, new, strict=True)), [F.col(n).alias(c) for c, n in zip(df.columns, new, strict=True) if c not in results]
+
+
 def _split_fields(fields: str) -> list[str]:
     """Top-level parts of a DDL list."""
     out, depth, at = [], 0, 0

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, possible, shuffled
+from .common import by_place, materialise, numbered, possible, shuffled
 
 PAIR = 2
 
@@ -84,8 +84,14 @@ def _with(rows: DataFrame, gone: DataFrame, uid: str, name: str) -> DataFrame:
     return touched.unionByName(halves.where("not __possible").withColumn(name, F.lit(None).cast(lists.schema[name].dataType)))
 
 
+#: Columns that are added; ones of docs with these names give way.
+RESULTS = ("lines_removed", "chunks_removed")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs with the text deduplicated, and lines_removed (long), chunks_removed (long, runs of lines that went)."""
+    docs, names, back = by_place(docs, RESULTS)
+    id_col, text_col = names[id_col], names[text_col]
     rows = numbered(docs, "__uid")
     texts = rows.select(F.col("__uid").alias("uid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.contains("text", F.lit("\n")))
     lines = F.split("text", "\n", -1)
@@ -101,5 +107,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
     starts = F.array_except("__gone", F.transform("__gone", lambda x: x + 1))  # lines that went and follow none that went
     counts = [F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size(x)).cast("long").alias(c) for c, x in (("lines_removed", F.col("__gone")), ("chunks_removed", starts))]
-    others = [c for c in docs.columns if c not in ("lines_removed", "chunks_removed")]
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in others], *counts)
+    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *counts).select(*back, *RESULTS)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_bitmap, map_texts, materialise, may_hold, numbered, possible, shuffled
+from .common import by_place, key_bitmap, map_texts, materialise, may_hold, numbered, possible, shuffled
 from .words import CLOSER, END, LINE, ODD, PART, POWERS, SPACE, in_parts, mixed, read, runs
 
 SENTENCES = 2
@@ -159,8 +159,14 @@ def sentences_of(text: str, longest: int = LONGEST) -> list[tuple[int, int, int,
     return list(zip(start, stop, first, count, strict=True))
 
 
+#: Columns that are added; ones of docs with these names give way.
+RESULTS = ("n_sentences", "n_removed", "removed_spans")
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, words: int = WORDS, longest: int = LONGEST) -> DataFrame:
     """All columns of docs with the text deduplicated, and n_sentences, n_removed (long), removed_spans (characters of the old text)."""
+    docs, names, back = by_place(docs, RESULTS)
+    id_col, text_col = names[id_col], names[text_col]
     rows = numbered(docs, "__uid").withColumn("__none", F.col(f"`{id_col}`").isNull())
     context, cutter = docs.sparkSession.sparkContext, Cutter(sentences, words, longest)
 
@@ -195,7 +201,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     touched = halves.where("__possible").join(shuffled(gone), "__uid", "left")
     both = touched.unionByName(halves.where("not __possible").withColumn("__gone", F.lit(None).cast(gone.schema["__gone"].dataType)))
     both = both.withColumn("__both", F.struct(F.col(f"`{text_col}`").alias("text"), F.col("__gone").alias("gone")))
-    others = [c for c in docs.columns if c not in (text_col, "n_sentences", "n_removed", "removed_spans")]
+    others = [c for c in docs.columns if c != text_col]
 
     def cut(values: list[dict]) -> list[pa.Array]:
         full = [v for v in values if v["text"]]
@@ -205,5 +211,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return [pa.array(x, kind) for x, kind in zip(zip(*done), (pa.string(), pa.int64(), pa.int64(), span), strict=True)]
 
     out = map_texts(both, "__both", others, "__new string, n_sentences long, n_removed long, removed_spans array<struct<start:bigint,stop:bigint>>", cut, PART)
-    order = [F.col("__new").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c in others or c == text_col]
-    return out.select(*order, "n_sentences", "n_removed", "removed_spans")
+    order = [F.col("__new").alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    return out.select(*order, *RESULTS).select(*back, *RESULTS)

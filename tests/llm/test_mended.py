@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from gazetta.llm import near_dedup, packing, words
+from gazetta.llm import line_dedup, near_dedup, packing, substring_dedup, words
 
 
 def _thue_morse(n, a, b):
@@ -88,3 +88,18 @@ def test_two_fit_against_lists():
     assert {2, 3} == {k for k in (2, 3) if any(k in p for p, _ in packing.plan_bins({6: 1, 3: 1, 2: 2}, 10))}
     assert {6: 1, 2: 2} in [p for p, _ in packing.plan_bins({6: 1, 3: 1, 2: 2}, 10)]
     assert {50: 1, 21: 1, 20: 1} in [p for p, _ in packing.plan_bins({50: 1, 40: 1, 21: 1, 20: 1}, 100)]
+
+
+def test_clashing_columns(spark):
+    """Columns named like helpers, results or file metadata, or like others in another case."""
+    passage = "This is a first long sentence of some twelve words that stands in all texts.\nAnother long one of as many words follows it here and ends the passage."
+    rows = [(i, f"own {i}\n{passage}\nline of {i}", *"abcdefg", i) for i in range(6)]
+    names = ["doc_id", "text", "__word", "__at", "_metadata", "TEXT", "__uid", "__gone", "n_removed", "lines_removed"]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} {k}" for i, k in enumerate(["long", *["string"] * 8, "long"]))).toDF(*names)
+    for operator, added in ((substring_dedup.substring_dedup, substring_dedup.RESULTS), (line_dedup.line_dedup, line_dedup.RESULTS)):
+        out = operator(df)
+        kept = [c for c in names if c not in added]
+        assert out.columns == [*kept, *added]
+        found = sorted(tuple(r) for r in out.collect())
+        assert len(found) == 6 and [r[2] for r in found] == ["a"] * 6 and [r[5] for r in found] == ["d"] * 6
+        assert any(r[1] != row[1] for r, row in zip(found, rows))
