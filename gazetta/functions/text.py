@@ -46,8 +46,8 @@ def number(c: Column) -> Column:
 
 
 def safe_id(c: Column) -> Column:
-    """Ids of up to 64 letters, digits, _ and - stay; others become pb_ and 24 hex digits of their SHA-1."""
-    return F.when(c.rlike(r"\A[A-Za-z0-9_-]{1,64}\z"), c).otherwise(F.concat(F.lit("pb_"), F.substring(F.sha1(c), 1, 24)))
+    """Ids of up to 64 letters, digits, _ and - stay; others become gz_ and 24 hex digits of their SHA-1."""
+    return F.when(c.rlike(r"\A[A-Za-z0-9_-]{1,64}\z"), c).otherwise(F.concat(F.lit("gz_"), F.substring(F.sha1(c), 1, 24)))
 
 
 def model_slug(c: Column) -> Column:

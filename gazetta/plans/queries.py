@@ -151,7 +151,7 @@ def expand_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.expand_stats(_expanded(spark, sf_dir))
 
 
-@query("SELECT page_id, CASE WHEN regexp_full_match(url, '[A-Za-z0-9_-]{1,64}') THEN url ELSE 'pb_' || substr(sha1(url), 1, 24) END AS safe_id FROM pages")
+@query("SELECT page_id, CASE WHEN regexp_full_match(url, '[A-Za-z0-9_-]{1,64}') THEN url ELSE 'gz_' || substr(sha1(url), 1, 24) END AS safe_id FROM pages")
 def safe_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P7."""
     return _t(spark, sf_dir, "pages").select("page_id", text.safe_id(F.col("url")).alias("safe_id"))
@@ -317,7 +317,7 @@ def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- results -------------------------------------------------------------------------------------------------------
 
-_RESULTS = """res AS (SELECT CASE WHEN regexp_full_match(url, '[A-Za-z0-9_-]{1,64}') THEN url ELSE 'pb_' || substr(sha1(url), 1, 24) END AS barcode, page_id % 4 <> 0 AS success, page_id FROM pages)"""
+_RESULTS = """res AS (SELECT CASE WHEN regexp_full_match(url, '[A-Za-z0-9_-]{1,64}') THEN url ELSE 'gz_' || substr(sha1(url), 1, 24) END AS barcode, page_id % 4 <> 0 AS success, page_id FROM pages)"""
 
 
 @query(f"""WITH {_RESULTS} SELECT p.page_id, p.url AS "Barcode", CASE WHEN success THEN CAST(CAST(p.page_id % 90 AS DOUBLE) AS VARCHAR) END AS "Latitude",
@@ -579,11 +579,11 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "supplier").select("s_suppkey", writers.chat_request(F.col("s_suppkey").cast("string"), F.lit("m"), F.col("s_name"), F.lit(1000)).alias("line"))
 
 
-@query(f"""WITH {SPEC_SQL} SELECT 'pb_' || substr(sha1(key), 1, 24) AS request_id, count(*) AS records FROM need GROUP BY key""")
+@query(f"""WITH {SPEC_SQL} SELECT 'gz_' || substr(sha1(key), 1, 24) AS request_id, count(*) AS records FROM need GROUP BY key""")
 def request_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q20, Q21: one request per place, its id unique by construction."""
     places = prep.deduplicate(prep.filter_records(spec(spark, sf_dir)))
-    return places.select(F.concat(F.lit("pb_"), F.substring(F.sha1(S.DEDUP_KEY), 1, 24)).alias("request_id"), F.col(S.OCCURRENCE_COUNT).alias("records"))
+    return places.select(F.concat(F.lit("gz_"), F.substring(F.sha1(S.DEDUP_KEY), 1, 24)).alias("request_id"), F.col(S.OCCURRENCE_COUNT).alias("records"))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS request_id, 1 AS attempts, true AS answered FROM customer")

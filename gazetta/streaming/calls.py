@@ -102,7 +102,7 @@ def requests_of(candidates: DataFrame, instructions: str) -> DataFrame:
     """Candidates with pre_* columns, request_id (a hash of the place key, so unique) and prompt."""
     rows = preprocess(candidates)
     text = prompt(instructions, prompt_locality(candidates.columns), F.col(CTRY), prompt_context())
-    return rows.withColumn("request_id", F.concat(F.lit("pb_"), F.substring(F.sha1(S.DEDUP_KEY), 1, 24))).withColumn("prompt", text)
+    return rows.withColumn("request_id", F.concat(F.lit("gz_"), F.substring(F.sha1(S.DEDUP_KEY), 1, 24))).withColumn("prompt", text)
 
 
 def settle(requests: DataFrame, provider: Provider, ledger: str, concurrency: int = 8) -> DataFrame:

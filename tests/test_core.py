@@ -61,7 +61,7 @@ def test_darwin_core_collision(spark):
 def test_safe_ids(spark):
     df = spark.createDataFrame([("GB-0408891",), ("RMNH.PISC.87661",), ("a" * 65,), ("x\n",)], "id string")
     got = [r[0] for r in df.select(text.safe_id(F.col("id"))).collect()]
-    assert got[0] == "GB-0408891" and got[1] == "pb_0784a6fb113e36b439cd23cd" and all(g.startswith("pb_") and len(g) == 27 for g in got[1:])
+    assert got[0] == "GB-0408891" and got[1] == "gz_0784a6fb113e36b439cd23cd" and all(g.startswith("gz_") and len(g) == 27 for g in got[1:])
 
 
 def test_numbers(spark):
