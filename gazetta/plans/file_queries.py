@@ -64,6 +64,16 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.load_records(spark, writers.export_json(rows, f"{new_path(spark, 'records')}/t.json")).select("id", "name", "segment")
 
 
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS id, c_name || ' {"a}' || chr(10) || ']' AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS inner_segment, row_number() OVER (ORDER BY c_custkey) AS place FROM customer""")
+def split_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list cut into records by many tasks; brackets and quotes in texts, records within records, order kept."""
+    inner = F.struct(F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("segment"))
+    rows = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias(S.ROW), F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(' {"a}\n]')).alias("name"), F.array(inner).alias("list"))
+    found = readers.read_json_records(spark, writers.export_json(rows, f"{new_path(spark, 'lists')}/t.json"), split=True)
+    placed = jobs.ordinals(found, [S.ROW])
+    return placed.select("id", "name", F.col("list")[0]["segment"].alias("inner_segment"), (F.col("__n") + 1).alias("place"))
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(c_custkey % 160 - 80 AS DOUBLE) AS latitude, CAST(c_custkey % 340 - 170 AS DOUBLE) AS longitude FROM customer WHERE c_custkey % 6 <> 0")
 def geojson_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points come back as coordinates; rows without numbers are no features."""
