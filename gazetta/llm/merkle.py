@@ -176,16 +176,16 @@ def _local(place: str) -> str:
     return f"slice(array({', '.join(found)}), 1, steps)"
 
 
-def paths(made: Tree, above: DataFrame) -> DataFrame:
+def paths(made: Tree, above: DataFrame | None = None) -> DataFrame:
     """Every leaf of the tree: g, p, h, payload, its path (siblings left and right, level by level) and what else above has.
 
-    above: one row for each group: g, up (the path above its top node) and further columns."""
-    extra = [c for c in above.columns if c not in ("g", "up")]
+    above: one row for each group: g, up (the path above its top node) and further columns; None: nothing is above."""
+    extra = [c for c in above.columns if c not in ("g", "up")] if above is not None else []
     below = None
     for i in reversed(range(len(made.levels))):
         runs = made.levels[i]
         last = f"{_DEPTH} <= {(i + 1) * LEVELS}"
-        met = shuffled(runs.where(last)).join(shuffled(above), "g")
+        met = runs.where(last).withColumn("up", F.array().cast(_PATH)) if above is None else shuffled(runs.where(last)).join(shuffled(above), "g")
         if below is not None:
             inner = below.select("g", F.col("p").alias("idx"), F.col("path").alias("up"), *extra)
             met = met.unionByName(shuffled(runs.where(f"not {last}")).join(shuffled(inner), ["g", "idx"]))
@@ -232,8 +232,7 @@ def manifest(df: DataFrame, id_col: str = "doc_id", group_col: str = "source", f
     groups = ranked(tops, 0, DIGITS)
     over = tree(groups.select("g", F.col("r").alias("p"), "total", "h", F.struct("name").alias("payload")), _tall(tops.count()))
     root = over.tops.select("top").first()
-    nothing = df.sparkSession.range(1).select(F.lit("").alias("g"), F.array().cast(_PATH).alias("up"))
-    above = paths(over, nothing).select(F.col("payload.name").alias("g"), F.col("path").alias("up"), _hex(F.col("h")).alias("subroot"))
+    above = paths(over).select(F.col("payload.name").alias("g"), F.col("path").alias("up"), _hex(F.col("h")).alias("subroot"))
 
     out = paths(docs, materialise(above, "above"))
     out = out.select(F.col("payload.id").alias("id"), F.when(F.col("g") != "", F.expr("substring(g, 2)")).alias("group"), F.col("p").alias("place"), _hex(F.col("h")).alias("leaf"), "subroot", F.lit(root and root[0]).alias("root"), "path", _hex(F.coalesce("payload.other", "h")).alias("other"))
