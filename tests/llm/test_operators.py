@@ -564,7 +564,9 @@ def test_substring_dedup_removes_whole_runs(spark):
     passage = _words(16, "a") + _words(4, "b") + _words(3, "c") + _words(3, "d")
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(200, _words(12, "x") + passage), (201, passage), (202, passage + _words(9, "y")), (203, _words(2, "z") + "*** " + passage + "?! ***"), (204, None)]
     out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    assert sorted(((r.doc_id, r.text, r.n_removed) for r in out), key=str) == sorted(_cut_all_spans(rows), key=str)
+    assert sorted(((r.doc_id, decontaminate.words_of(r.text)) for r in out), key=str) == sorted(_cut_spans(rows), key=str)
+    first_way = {i: (text, n) for i, text, n in _cut_all_spans(rows)}  # the second way of cutting may find more, never less
+    assert all(r.n_removed >= first_way[r.doc_id][1] and (r.n_removed > first_way[r.doc_id][1] or r.text == first_way[r.doc_id][0]) for r in out)
     found = {r.doc_id: r.text for r in out}
     assert found[201] == "" and found[202] == _words(9, "y")
 
