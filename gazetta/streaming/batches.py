@@ -46,31 +46,61 @@ def request_lines(requests: DataFrame, provider: str, model: str, max_tokens: in
 
 
 class FolderProvider:
-    """A provider kept in a folder: requests are answered by a :class:`Provider` when submitted (for tests and dry runs)."""
+    """A provider kept in a folder (for tests and dry runs).  Submitted requests wait there; as soon as somebody asks for a
+    state or for results, a :class:`Provider` answers all that wait, together, so the number of Spark jobs does not follow
+    the number of batches."""
 
     def __init__(self, spark: SparkSession, folder: str, model: Provider, provider: str = "openai"):
         self.spark, self.folder, self.model, self.provider = spark, folder, model, provider
         self._cancelled: set[str] = set()
+        self._waiting: dict[str, str] = {}  # batch: folder of its requests
+        self._answers: dict[str, tuple[str, int]] = {}  # batch: table of its answers, how many
 
     def submit(self, requests: str) -> str:
-        lines = self.spark.read.text(requests)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(requests)
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            raise FileNotFoundError(requests)
+        batch_id = f"batch_{hashlib.sha1(requests.encode()).hexdigest()[:16]}"
+        self._waiting[batch_id] = requests
+        return batch_id
+
+    def _answer(self) -> None:
+        """Answer what waits: one table, with the batch of every answer."""
+        todo = {b: r for b, r in self._waiting.items() if b not in self._cancelled}
+        if not todo:
+            return
+        lines = self.spark.read.text(list(todo.values()))
+        batch_of = {r.rstrip("/").rsplit("/", 1)[1]: b for b, r in todo.items()}
+        if len(batch_of) < len(todo):  # folders of one name: batch by batch
+            lines = combine([self.spark.read.text(r).withColumn("batch", F.lit(b)) for b, r in todo.items()])
+        else:
+            names = self.spark.createDataFrame(list(batch_of.items()), "name string, batch string")
+            name = F.url_decode(F.replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1), F.lit("+"), F.lit("%2B")))
+            lines = lines.select("value", name.alias("name")).join(F.broadcast(names), "name")
         v = F.col("value")
         keyed = reader_for(self.provider) is keyed_results
         key, text = ("$.key", "$.request.contents[0].parts[0].text") if keyed else ("$.custom_id", "$.body.messages[0].content")
-        answers = call_stage(lines.select(F.get_json_object(v, key).alias("request_id"), F.get_json_object(v, text).alias("prompt")), self.model)
+        asked = lines.select(F.to_json(F.struct("batch", F.get_json_object(v, key).alias("id"))).alias("request_id"), F.get_json_object(v, text).alias("prompt"))
+        answers = call_stage(asked, self.model)
+        answers = answers.withColumn("batch", F.get_json_object("request_id", "$.batch")).withColumn("request_id", F.get_json_object("request_id", "$.id"))
         if keyed:
             out = F.struct(F.col("request_id").alias("key"), F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.col("response").alias("text"))).alias("parts")).alias("content"))).alias("candidates")).alias("response"))
         else:
             body = F.struct(F.array(F.struct(F.struct(F.col("response").alias("content")).alias("message"))).alias("choices"))
             out = F.struct(F.col("request_id").alias("custom_id"), F.struct(F.when(F.col("error").isNull(), 200).otherwise(500).alias("status_code"), body.alias("body")).alias("response"))
-        batch_id = f"batch_{hashlib.sha1(requests.encode()).hexdigest()[:16]}"
-        answers.select(F.to_json(out).alias("value")).write.mode("overwrite").text(f"{self.folder}/{batch_id}")
-        return batch_id
+        path = f"{self.folder}/answers-{uuid.uuid4().hex}"
+        answers.select(F.to_json(out).alias("value"), "batch").write.parquet(path)
+        counts = {r.batch: r.n for r in self.spark.read.parquet(path).groupBy("batch").agg(F.count("*").alias("n")).collect()}  # one row a batch
+        for b in todo:
+            self._answers[b] = path, counts.get(b, 0)
+            del self._waiting[b]
 
     def status(self, batch_id: str) -> dict:
         if batch_id in self._cancelled:
             return {"status": "cancelled", "total": 0, "succeeded": 0, "failed": 0}
-        n = self.spark.read.text(f"{self.folder}/{batch_id}").count()
+        if batch_id in self._waiting:
+            self._answer()
+        n = self._answers[batch_id][1]
         return {"status": "completed", "total": n, "succeeded": n, "failed": 0}
 
     def results(self, batch_id: str) -> DataFrame:
@@ -81,7 +111,13 @@ class FolderProvider:
         reader = reader_for(self.provider)
         if reader is None:
             raise ValueError(f"no reader for {self.provider}")
-        return reader(self.spark.read.text([f"{self.folder}/{b}" for b in batch_ids]))
+        if any(b in self._waiting for b in batch_ids):
+            self._answer()
+        paths = sorted({self._answers[b][0] for b in batch_ids if b in self._answers})
+        if not paths:
+            return reader(self.spark.createDataFrame([], "value string"))
+        wanted = self.spark.createDataFrame([(b,) for b in dict.fromkeys(batch_ids)], "batch string")
+        return reader(self.spark.read.parquet(*paths).join(F.broadcast(wanted), "batch").select("value"))
 
     def cancel(self, batch_id: str) -> bool:
         self._cancelled.add(batch_id)

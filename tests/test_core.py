@@ -364,6 +364,30 @@ def test_staggered_batches(spark, tmp_path, provider):
     assert sorted(r["original"] for r in out.collect()) == [str(i) for i in range(7)]
 
 
+def test_folder_batches_are_answered_together(spark, tmp_path):
+    """The number of Spark jobs does not follow the number of sub-batches."""
+    requests = spark.createDataFrame([(f"r{i}", f"place {i}") for i in range(60)], "request_id string, prompt string")
+
+    def jobs_of(size):
+        group = f"staggered {size}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            service = batches.FolderProvider(spark, f"{tmp_path}/svc{size}", calls.StubProvider(), "openai")
+            summary = batches.submit_staggered(requests, ["request_id"], service, "m", f"{tmp_path}/{size}", size=size, sleep=lambda _: None)
+            ids = [b["batch_id"] for b in summary["batches"]]
+            assert sum(batches.wait(service, i, sleep=lambda _: None)["succeeded"] for i in ids) == 60
+            assert len({r.barcode for r in service.results_of(ids).collect()}) == 60
+            assert sorted(r.barcode for r in service.results(ids[-1]).collect()) == sorted(f"r{i}" for i in range(60))[-size:]
+            return len(ids), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    (few, a), (many, b) = jobs_of(30), jobs_of(3)
+    assert (few, many) == (2, 20) and b <= a + 5
+    with pytest.raises(FileNotFoundError):
+        batches.FolderProvider(spark, str(tmp_path / "svc"), calls.StubProvider()).submit(str(tmp_path / "none"))
+
+
 def test_stream(spark, tmp_path):
     df = table(spark, ["Barcode", "locality", "Country"], *[(str(i), f"place {i % 3}", "x") for i in range(6)])
     df.where("_row < 2").write.parquet(f"{tmp_path}/in")
