@@ -78,13 +78,13 @@ def without_helpers(df: DataFrame) -> DataFrame:
 def expand(original: DataFrame, processed: DataFrame, protect_existing: bool = False) -> DataFrame:
     """Results back onto every original row.
 
-    Of processed rows with the same place the last wins.  A matched row takes every produced column that the result
+    Of processed rows with the same place the last wins, by their ordinal if they have one.  A matched row takes every produced column that the result
     has, also blank ones; others keep their own.  ``protect_existing`` keeps valid coordinates of the original.
     Adds __matched; the number of rows stays, and the ordinal by which exporters sort."""
     left = with_row(original)
     c = left.columns
     left_resolved = resolve(left)
-    right = resolve(with_row(processed.drop(S.ROW)))
+    right = resolve(with_row(processed))
     produced = [p for p in S.PRODUCED if p in processed.columns]
     last = right.where(F.col(LOC) != "").groupBy(dedup_key(F.col(LOC), F.col(CTRY)).alias("__key")).agg(F.max_by(F.struct(*[ref(p) for p in produced], F.lit(1).alias("__hit")), F.col(S.ROW)).alias("__new"))
     # rows without a locality match nothing; keys of their own spread them over the tasks

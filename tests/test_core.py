@@ -98,6 +98,14 @@ def test_existing_coordinates(spark):
     assert [r["Latitude"] for r in prep.expand(df, done, protect_existing=True).orderBy("_row").collect()] == ["0", "7", "7"]
 
 
+def test_last_result_is_last_by_ordinal(spark):
+    """Results keep their ordinal, in whatever order they are scanned."""
+    df = table(spark, ["Barcode", "locality"], ("1", "A"), ("2", "a"))
+    done = table(spark, ["locality", "Latitude"], *[("A", str(i)) for i in range(40)])
+    for rows in (done, done.orderBy(F.desc("_row")), done.repartition(7, "Latitude")):
+        assert [r["Latitude"] for r in prep.expand(df, rows).orderBy("_row").collect()] == ["39", "39"]
+
+
 def test_partitions_do_not_matter(spark):
     rng = random.Random(3)
     rows = [(str(i), f"place {rng.randint(0, 20)}", rng.choice(["A", "b"])) for i in range(300)]
