@@ -37,6 +37,19 @@ def test_query_equals_sql(spark, name):
     assert got == want
 
 
+def _tables(spark, folder, **rows):
+    for name, (columns, *values) in rows.items():
+        spark.createDataFrame(values, columns).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_results_of_pages_with_one_url(spark, tmp_path):
+    """Every result finds its own page."""
+    data = _tables(spark, tmp_path, pages=("page_id long, url string", (1, "http://a.b/c"), (2, "http://a.b/c"), (4, "http://a.b/c"), (5, "x")))
+    got = sorted((r.page_id, r.Barcode, r.Latitude, r.Confidence) for r in QUERIES["results_join"](spark, data).collect())
+    assert got == [(1, "http://a.b/c", "1.0", "medium"), (2, "http://a.b/c", "2.0", "medium"), (4, "http://a.b/c", None, "low"), (5, "x", "5.0", "medium")]
+
+
 def test_entry_contract(spark):
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     if os.path.isdir(DATA):
