@@ -50,6 +50,15 @@ def test_results_of_pages_with_one_url(spark, tmp_path):
     assert got == [(1, "http://a.b/c", "1.0", "medium"), (2, "http://a.b/c", "2.0", "medium"), (4, "http://a.b/c", None, "low"), (5, "x", "5.0", "medium")]
 
 
+def test_comparison_rounds_and_knows_no_distance_without_match(spark, tmp_path):
+    """A latitude just below a tie goes down as in the SQL; a row without a match has no distance, which is a category of its own."""
+    price = 262714.0
+    data = _tables(spark, tmp_path, customer=("c_custkey long", (14,), (15,)), orders=("o_custkey long, o_orderkey long, o_totalprice double", (14, 1, price), (14, 2, 1.0)))
+    got = {r.k: r for r in QUERIES["ensemble_compare"](spark, data).collect()}
+    assert got[14].matched and got[14].secondary_lat == -65.934321
+    assert (got[15].matched, got[15].secondary_lat, got[15].km, got[15].category) == (False, None, None, "no comparison")
+
+
 def test_entry_contract(spark):
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     if os.path.isdir(DATA):
