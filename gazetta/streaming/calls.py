@@ -23,6 +23,7 @@ from ..operators.coords import preprocess, prompt, prompt_context
 from ..operators.prep import deduplicate, expand, filter_records
 from ..operators.resolve import CTRY, LOC, prompt_locality
 from ..operators.results import realtime_columns
+from ..session import materialise
 
 LEDGER = "request_id string, response string, error string, attempts int"
 MAX_RETRIES = 5
@@ -145,11 +146,8 @@ def stream_process(spark: SparkSession, folder: str, schema: str, checkpoint: st
     """Process the files that a folder has gained since the last run; returns the number of ledger rows."""
 
     def one(batch: DataFrame, _: int) -> None:
-        once = batch.persist()  # its files are read, and counted, once
-        try:
-            settle(requests_of(deduplicate(filter_records(once)), instructions), provider, ledger)
-        finally:
-            once.unpersist()
+        # its files are read, and counted, once: stages that run beside each other would both fill a cache
+        settle(requests_of(deduplicate(filter_records(materialise(batch, "arrived"))), instructions), provider, ledger)
 
     source = spark.readStream.schema(schema).parquet(folder)
     query = source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

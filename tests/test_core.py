@@ -13,7 +13,7 @@ from gazetta.operators import coords, cost, ensemble, jobs, prep, profile, resol
 from gazetta.plans import workflows
 from gazetta.session import configure
 from gazetta.sources import readers, writers
-from gazetta.streaming import batches, calls
+from gazetta.streaming import batches, calls, state
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -405,6 +405,20 @@ def test_stream(spark, tmp_path):
     assert calls.stream_process(*args) == 3
 
 
+def test_stream_counts_rows_once(spark, tmp_path, monkeypatch):
+    """Also where nothing stays cached, as on executors that fill a cache beside each other."""
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda self, *a: self)
+    told, df = [], table(spark, ["Barcode", "locality", "Country"], *[(str(i), f"place {i % 3}", "x") for i in range(6)])
+    df.write.parquet(f"{tmp_path}/in")
+    spark.streams.addListener(listener := state.Progress(told.append))
+    try:
+        assert calls.stream_process(spark, f"{tmp_path}/in", df.schema, f"{tmp_path}/cp", calls.StubProvider(), f"{tmp_path}/ledger") == 3
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert max(t["processed"] for t in told) == 6
+
+
 def test_output_names():
     from datetime import datetime
 
