@@ -20,6 +20,9 @@ from .records import BOM, in_file_order, lines, parsed, records
 DELIMITERS = ("\t", ",", "|", ";")
 NUMERIC = ("Latitude", "Longitude", "Coordinate_Radius_Meters", "Elevation")
 LISTS = ("records", "data", "results")
+#: Bytes of a JSON file that is parsed whole at most.  There Spark fetches the text of every number and list from the file anew,
+#: some 4 KB each time, so a task reads many times its file.
+WHOLE_BYTES = 256 << 10
 
 
 def first_line(spark: SparkSession, path: str) -> str:
@@ -78,12 +81,12 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
 def read_json_records(spark: SparkSession, path: str, split: bool | None = None) -> DataFrame:
     """A list of records; an object with records, data or results; or GeoJSON, whose points fill in missing coordinates.
 
-    Files that fill more than one task (or where ``split`` says so) are cut into records by many tasks; smaller ones are
-    parsed whole.  Both give the same rows, but that line breaks between the parts of a value become blanks where a list of
+    Files beyond WHOLE_BYTES or one task (or where ``split`` says so) are cut into records, by many tasks if they fill them;
+    smaller ones are parsed whole.  Both give the same rows, but that line breaks between the parts of a value become blanks where a list of
     mixed kinds comes as raw text."""
     if split is None:
         most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-        split = not files(spark, path).where(F.col("size") > most).isEmpty()
+        split = not files(spark, path).where(F.col("size") > min(most, WHOLE_BYTES)).isEmpty()
     if split:
         for keys, geo in ((("features",), True), (LISTS, False)):
             if (rows := json_lists.read(spark, path, keys)) is not None:

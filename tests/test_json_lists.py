@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from gazetta import schema as S
 from gazetta.sources import json_lists, readers
 
 
@@ -67,3 +68,18 @@ def test_large_files_are_split(spark, tmp_path, tiny_splits):
     (tmp_path / "t.json").write_text(json.dumps([{"id": i, "s": "x" * i} for i in range(100)]))
     assert spark.read.option("lineSep", "}").text(str(tmp_path / "t.json")).rdd.getNumPartitions() > 20
     assert [int(r.id) for r in readers.load_records(spark, str(tmp_path / "t.json")).orderBy("_row").collect()] == list(range(100))
+
+
+@pytest.mark.parametrize("geo", [False, True])
+def test_only_small_files_are_parsed_whole(spark, tmp_path, monkeypatch, geo):
+    """Beyond WHOLE_BYTES a file is read by lines: parsed whole, the text of every number is fetched from the file anew."""
+    rows = [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [i % 180, 1.50]}, "properties": {"id": i}} if geo else {"id": i, "x": 1.50, "name": "n" * 20} for i in range(6000)]
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": rows} if geo else rows))
+    assert readers.WHOLE_BYTES < path.stat().st_size < 1 << 20
+    whole = readers.read_json_records(spark, str(path), split=False).drop(S.ROW)
+    asked, own = [], readers.json_lists.read
+    monkeypatch.setattr(readers.json_lists, "read", lambda *a: asked.append(a) or own(*a))
+    found = readers.read_json_records(spark, str(path)).drop(S.ROW)
+    assert asked and sorted(found.columns) == sorted(whole.columns) and found.count() == 6000
+    assert sorted(map(tuple, found.select(whole.columns).collect())) == sorted(map(tuple, whole.collect()))
