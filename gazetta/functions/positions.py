@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 _NUMBER = r"\d{1,2}(?:[.,]\d+)?"
 _DEGREE = r"\s*(?:[°º˚⁰]|deg(?:rees?)?\b\.?|d(?![a-z]))\s*"
 _MINUTE = r"\s*(?:['′’ʹ´`](?!['′’ʹ´`])|min(?:utes?)?\b\.?|m(?![a-z]))\s*"
@@ -46,15 +48,22 @@ def _checked(parts: Column) -> Column:
     return F.when(good, F.struct(F.when(side.isin("S", "W"), 0 - value).otherwise(value).alias("value"), side.alias("side"), unit.alias("unit")))
 
 
+def _of(angles: Column, sides: str) -> Column:
+    """The first angle of these sides."""
+    return F.get(F.filter(angles, lambda a: a["side"].isin(*sides)), F.lit(0))
+
+
+def _position(whole: Column, lat: Column, lon: Column) -> Column:
+    good = lat.isNotNull() & lon.isNotNull()
+    return F.when(good, F.struct(whole.alias("text"), lat["value"].alias("lat"), lon["value"].alias("lon"), F.greatest(lat["unit"], lon["unit"]).alias("unit")))
+
+
 def positions(text: Column) -> Column:
     """array of struct(text, lat, lon, unit) of all positions in a text that are in range, in order; unit: the coarser of
     what the last digits of both angles are worth, in degrees."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(POSITION), F.lit(0))
 
     def read(whole: Column) -> Column:
-        both = F.transform(F.regexp_extract_all(whole, F.lit(ANGLE), F.lit(0)), angle)
-        lat, lon = (F.get(F.filter(both, lambda a: a["side"].isin(*sides)), F.lit(0)) for sides in ("NS", "EW"))
-        good = lat.isNotNull() & lon.isNotNull()
-        return F.when(good, F.struct(whole.alias("text"), lat["value"].alias("lat"), lon["value"].alias("lon"), F.greatest(lat["unit"], lon["unit"]).alias("unit")))
+        return once(F.transform(F.regexp_extract_all(whole, F.lit(ANGLE), F.lit(0)), angle), lambda both: once(F.struct(_of(both, "NS").alias("lat"), _of(both, "EW").alias("lon")), lambda p: _position(whole, p["lat"], p["lon"])))
 
     return F.filter(F.transform(found, read), lambda p: p.isNotNull())

@@ -170,3 +170,17 @@ def test_expansion(spark):
 def test_fixed_values():
     assert len(gazetteer.VICE_COUNTIES) == 113 and len(set(gazetteer.VICE_COUNTIES)) == 113
     assert all(a != b for (a, _), (b, _) in itertools.combinations(gazetteer.ABBREVIATIONS, 2))
+
+
+def test_values_are_computed_once(spark):
+    """Expressions with lambdas are interpreted: a value mentioned twice is computed twice, and rounds multiply."""
+    assert str(repair.remade(F.col("t"), 2)).count("regexp_extract_all") == 2
+    assert str(repair.remade(repair.unreferenced(F.col("t")), 2)).count("regexp_extract_all") == 3
+    assert str(positions.positions(F.col("t"))).count("regexp_extract_all") == 2
+
+
+def test_runs_of_many_alphabets(spark):
+    """Long runs without suspect characters, between damaged ones, stay as they are."""
+    good = "ascii " * 5000 + "漢字 mixed " * 5000
+    df = spark.createDataFrame([(good + "é".encode().decode("latin-1") + good, good + "é" + good)], "hurt string, want string")
+    assert df.where(repair.remade(F.col("hurt")) == F.col("want")).count() == 1
