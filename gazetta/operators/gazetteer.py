@@ -1,19 +1,29 @@
 """Names in text: vice-county numbers, and dictionaries of phrases of any size (the longest match wins).
 
-A dictionary is a table.  Texts are cut into words once; every run of as many words as some phrase has is looked up by an
-equi-join, so the work follows the words of the texts, not texts times phrases.  Dictionaries are broadcast only up to
-BROADCAST_BYTES of phrases, which is checked; beyond that the join is shuffled, and adaptive execution splits phrases that
-very many texts hold.  Only matches are gathered, by row."""
+A dictionary is a table.  Texts are cut into words once; every run of as many words as some phrase has is held to a bitmap
+of the phrases' hashes, whose size has a bound, and those that it lets pass are looked up by an equi-join on the words
+themselves.  So the work follows the words of the texts, not texts times phrases, and what is shuffled follows the matches;
+a bitmap at its bound only lets more pass.  Dictionaries are broadcast only up to BROADCAST_BYTES of phrases, which is
+checked; of larger ones that much is, the phrases that are commonest in a part of the texts, and runs that may be one of the
+others are joined by shuffling, where adaptive execution splits phrases that very many texts hold.  Which phrases are
+broadcast changes no result.  Only matches are gathered, by row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.bitmaps import key_bitmap, may_hold, run_hashes
 from ..functions.text import ref
+from ..session import materialise
 
 #: Bytes of phrases sent to every executor at most.
 BROADCAST_BYTES = 16 << 20
+#: Share of the texts by which the commonest phrases of a larger dictionary are told; all texts are searched for all phrases.
+SHARE_COUNTED = 1 / 32
 #: A word: letters and digits, joined by single marks, and a full stop right behind it (of an abbreviation or a sentence).
 WORD = r"[\p{L}\p{N}]+(?:[-'’/][\p{L}\p{N}]+)*\.?"
 GAP = r"[^\p{L}\p{N}]+"
@@ -72,16 +82,21 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def _key(words: Column, exact_case: bool) -> Column:
-    joined = F.array_join(F.transform(words, lambda w: F.regexp_replace(w, r"\.$", "")), " ")
-    return joined if exact_case else F.lower(joined)
+def _bare(words: Column, exact_case: bool) -> Column:
+    """The words as they are compared: without a full stop behind them."""
+    return F.transform(words, lambda w: F.rtrim(w, F.lit(".")) if exact_case else F.lower(F.rtrim(w, F.lit("."))))
+
+
+def _stops(words: Column) -> Column:
+    return F.transform(words, lambda w: w.endswith("."))
 
 
 def _entries(dictionary: DataFrame, phrase_col: str, exact_case: bool) -> DataFrame:
-    """One row a key: its words, how many, and the entry; of phrases with the same words the first in order."""
+    """One row a key and its full stops: the entry, of phrases with the same words and stops the first in order, and its rank in the key: those that ask for more stops are higher."""
     rows = dictionary.select(_words(ref(phrase_col)).alias("words"), F.struct(*[ref(c) for c in dictionary.columns]).alias("entry"), ref(phrase_col).alias("phrase"))
-    rows = rows.where(F.size("words") > 0).select(_key(F.col("words"), exact_case).alias("key"), F.transform("words", lambda w: w.endswith(".")).alias("dots"), "phrase", "entry")
-    return rows.groupBy("key", "dots").agg(F.min_by("entry", F.struct("phrase", F.to_json("entry"))).alias("entry"))
+    rows = rows.where(F.size("words") > 0).select(F.array_join(_bare(F.col("words"), exact_case), " ").alias("key"), _stops(F.col("words")).alias("dots"), "phrase", "entry")
+    rows = rows.groupBy("key", "dots").agg(F.min_by("entry", F.struct("phrase", F.to_json("entry"))).alias("entry"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.size(F.filter("dots", lambda d: d)), F.to_json("entry"))))
 
 
 def matches(df: DataFrame, dictionary: DataFrame, id_col: str, text_col: str, phrase_col: str = "phrase", exact_case: bool = False) -> DataFrame:
@@ -90,34 +105,95 @@ def matches(df: DataFrame, dictionary: DataFrame, id_col: str, text_col: str, ph
     start and size count words; stop: a full stop that is not the phrase's ends the last one.  Matches do not overlap: from left to right, the longest at each place wins.  A full stop in
     a phrase must be in the text; one in the text need not be in the phrase.  id: unique, not null."""
     entries = _entries(dictionary, phrase_col, exact_case)
-    shape = entries.groupBy(F.size("dots").alias("n")).agg(F.sum(F.octet_length("key") + 64).alias("bytes")).collect()  # one row for each length of phrases
+    hashes = materialise(entries.select("key", _whole(_hashes(F.split("key", " "))).alias("h"), F.size("dots").alias("n"), (F.octet_length("key") + 64).alias("bytes")), "phrases")
+    shape = hashes.groupBy("n").agg(F.sum("bytes").alias("bytes")).collect()  # one row for each length of phrases
     sizes = sorted(r["n"] for r in shape)
-    small = sum(r["bytes"] for r in shape) <= BROADCAST_BYTES
-    entries = F.broadcast(entries) if small else entries.hint("merge")
-    rows = df.select(ref(id_col).alias("id"), _words(ref(text_col)).alias("words"))
-    runs = F.flatten(F.array(*[_runs(n, exact_case) for n in sizes])) if sizes else F.array().cast("array<struct<start:int,key:string,dots:array<boolean>>>")
-    each = rows.select("id", F.explode(runs).alias("run")).select("id", "run.*")
-    held = each.withColumnRenamed("dots", "there").join(entries, "key")
-    held = held.where(F.forall(F.arrays_zip("there", "dots"), lambda z: z["there"] | ~z["dots"]))
-    # of entries that differ in full stops alone, the one that asks for most of them
-    ends = F.element_at("there", -1) & ~F.element_at("dots", -1)
-    best = held.groupBy("id", "start", F.size("dots").alias("size")).agg(F.max_by(F.struct("entry", ends.alias("stop")), F.struct(F.size(F.filter("dots", lambda d: d)), F.to_json("entry"))).alias("best"))
-    by_place = best.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", (-F.col("size")).alias("less"), F.to_json("best.entry").alias("order"), "best"))).alias("all"))
+    rows = df.select(ref(id_col).alias("id"), ref(text_col).alias("text"))
+    if sum(r["bytes"] for r in shape) <= BROADCAST_BYTES:
+        held = _held(_candidates(rows, hashes, sizes, exact_case), F.broadcast(entries))
+    else:
+        common = _common(_candidates(rows.sample(SHARE_COUNTED, 7), hashes, sizes, exact_case), hashes)
+        near, far = ([t.join(F.broadcast(common), "key", how) for t in (hashes, entries)] for how in ("left_semi", "left_anti"))
+        held = _held(_candidates(rows, near[0], sizes, exact_case), F.broadcast(near[1])).unionByName(_held(_candidates(rows, far[0], sizes, exact_case), far[1].hint("merge")))
+    # in order; the longest first, and of entries that differ in full stops alone, the one that asks for most of them
+    place = F.struct((-F.col("start")).alias("back"), "size", "rank", "entry", "stop")
+    by_place = held.repartition("id").groupBy("id").agg(F.sort_array(F.collect_list(place), asc=False).alias("all"))
     kind = by_place.schema["all"].dataType.simpleString()
-    kept = F.aggregate("all", F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("kept")), lambda a, m: F.when(m["start"] >= a["end"], F.struct((m["start"] - m["less"]).alias("end"), F.concat(a["kept"], F.array(m)).alias("kept"))).otherwise(a))
-    found = F.transform(kept["kept"], lambda m: F.struct(m["start"].alias("start"), (-m["less"]).alias("size"), m["best"]["entry"].alias("entry"), m["best"]["stop"].alias("stop")))
+    kept = F.aggregate("all", F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("kept")), lambda a, m: F.when(-m["back"] >= a["end"], F.struct((m["size"] - m["back"]).alias("end"), F.concat(a["kept"], F.array(m)).alias("kept"))).otherwise(a))
+    found = F.transform(kept["kept"], lambda m: F.struct((-m["back"]).alias("start"), m["size"].alias("size"), m["entry"].alias("entry"), m["stop"].alias("stop")))
     return by_place.select(F.col("id").alias(id_col), found.alias("found"))
 
 
-def _runs(n: int, exact_case: bool) -> Column:
-    """All runs of n words: start, key and which of them end with a full stop."""
-    starts = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>"))
+def _candidates(rows: DataFrame, hashes: DataFrame, sizes: list[int], exact_case: bool) -> DataFrame:
+    """rows: id, text.  The runs of words that may be a phrase: id, start, key and there (which words end with a full stop)."""
+    both = hashes.select(F.explode(F.array("h", F.shiftrightunsigned("h", 32))).alias("h"))  # two bits for each phrase
+    bitmap = rows.sparkSession.sparkContext.broadcast(key_bitmap(both, F.col("h"), 2 * hashes.count()))
+    cut = rows.select("id", _words(F.col("text")).alias("words")).select("id", _bare(F.col("words"), exact_case).alias("bare"), _stops(F.col("words")).alias("stops"))
+    cut = cut.select("id", "bare", "stops", _possible(_hashes(F.col("bare")), bitmap, sizes).alias("runs"))
+    each = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), F.array_join(F.slice("bare", r["start"] + 1, r["size"]), " ").alias("key"), F.slice("stops", r["start"] + 1, r["size"]).alias("there")))
+    return cut.select("id", F.explode(each).alias("run")).select("id", "run.*")
+
+
+def _common(candidates: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The keys met most often, as many as BROADCAST_BYTES hold."""
+    met = materialise(candidates.groupBy("key").agg(F.count("*").alias("met")).join(hashes.groupBy("key").agg(F.sum("bytes").alias("bytes")).hint("merge"), "key").withColumn("much", F.floor(F.log2("met"))), "phrases-met")
+    least, room = 64, BROADCAST_BYTES
+    for r in met.groupBy("much").agg(F.sum("bytes").alias("bytes")).orderBy(F.desc("much")).collect():  # at most 64 rows
+        if (room := room - r["bytes"]) < 0:
+            break
+        least = r["much"]
+    return met.where(F.col("much") >= least).select("key")
+
+
+def _held(candidates: DataFrame, entries: DataFrame) -> DataFrame:
+    """The candidates that are phrases: id, start, size, rank, entry and stop."""
+    met = candidates.join(entries, "key").where(F.forall(F.arrays_zip("there", "dots"), lambda z: z["there"] | ~z["dots"]))
+    ends = F.element_at("there", -1) & ~F.element_at("dots", -1)
+    return met.select("id", "start", F.size("dots").alias("size"), "rank", "entry", ends.alias("stop"))
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _cut(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes one after another, unsigned, and where each row's begin and end."""
+    at = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy()[at[0] : at[-1]].view(np.uint64), at - at[0]
+
+
+def _whole(phrases: Column) -> Column:
+    """The hash of a phrase, from its words' hashes."""
+
+    def run(rows: pa.Array) -> pa.Array:
+        words, at = _cut(rows)
+        sizes, out = np.diff(at), np.zeros(len(rows), np.uint64)
+        for n, hashes in run_hashes(words, max(sizes, default=0)):
+            out[sizes == n] = hashes[at[:-1][sizes == n]]
+        return pa.array(out.view(np.int64))
+
+    return F.arrow_udf(run, "long")(phrases)
+
+
+def _possible(words: Column, bitmap: Broadcast, sizes: list[int]) -> Column:
+    """All runs, of as many words as some phrase has, that the bitmap lets pass, from the words' hashes."""
 
-    def run(i: Column) -> Column:
-        some = F.slice("words", i + 1, F.lit(n))
-        return F.struct(i.alias("start"), _key(some, exact_case).alias("key"), F.transform(some, lambda w: w.endswith(".")).alias("dots"))
+    def run(rows: pa.Array) -> pa.Array:
+        words, at = _cut(rows)
+        ends, starts, lengths = np.repeat(at[1:], np.diff(at)), [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for n, hashes in run_hashes(words, max(sizes, default=0)):
+            if n in sizes:
+                place = np.flatnonzero(may_hold(bitmap.value, hashes))
+                place = place[may_hold(bitmap.value, hashes[place] >> np.uint64(32))]
+                starts.append(place := place[place + n <= ends[place]])
+                lengths.append(np.full(len(place), n, np.int32))
+        order = np.argsort(place := np.concatenate(starts), kind="stable")
+        place, size = place[order], np.concatenate(lengths)[order]
+        cuts = np.searchsorted(place, at)
+        start = (place - np.repeat(at[:-1], np.diff(cuts))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(start), pa.array(size)], ["start", "size"]))
 
-    return F.transform(starts, run)
+    return F.arrow_udf(run, "array<struct<start:int,size:int>>")(words)
 
 
 def expanded(df: DataFrame, dictionary: DataFrame, id_col: str, text_col: str, out_col: str, phrase_col: str = "phrase", value_col: str = "expansion", exact_case: bool = True) -> DataFrame:

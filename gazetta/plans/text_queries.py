@@ -155,7 +155,9 @@ SELECT doc_id, f.c AS n, md5(f.k) AS places FROM f""")
 def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary that grows with the table (the first two and three words of every text) against all texts."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    words = F.regexp_extract_all("text", F.lit(gazetteer.WORD), F.lit(0))
+    # only as much of each text is cut into words as holds the first three
+    head = F.regexp_extract("text", rf"\A(?:[^\p{{L}}\p{{N}}]*+(?>{gazetteer.WORD})){{3}}", 0)
+    words = F.regexp_extract_all(head, F.lit(gazetteer.WORD), F.lit(0))
     phrases = docs.select(words.alias("w")).where(F.size("w") >= 3).select(F.explode(F.array(F.slice("w", 1, 2), F.slice("w", 1, 3))).alias("p")).select(F.array_join("p", " ").alias("phrase")).distinct()
     found = gazetteer.matches(docs, phrases, "doc_id", "text")
     places = F.array_join(F.transform("found", lambda m: F.concat(F.lit(","), m["start"].cast("string"), F.lit(":"), m["size"].cast("string"))), "")

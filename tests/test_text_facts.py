@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gazetta.functions import elevation, positions, repair
+from gazetta.functions import bitmaps, elevation, positions, repair
 from gazetta.operators import coords, gazetteer
 
 
@@ -158,6 +158,39 @@ def test_longest_match(spark, monkeypatch, small):
     assert out == expected and len(expected) > 40
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 16])
+def test_part_of_a_dictionary_is_broadcast(spark, monkeypatch, bits):
+    """The commonest phrases stay where the texts are, the others are shuffled; a full bitmap lets all pass: the same matches."""
+    monkeypatch.setattr(gazetteer, "BROADCAST_BYTES", 700)
+    monkeypatch.setattr(gazetteer, "SHARE_COUNTED", 1.0)
+    monkeypatch.setattr(bitmaps, "LEAST_BITS", bits)
+    monkeypatch.setattr(bitmaps, "MOST_BITS", bits)
+    split = []
+    monkeypatch.setattr(gazetteer, "_common", lambda *a, f=gazetteer._common: split.append(f(*a)) or split[-1])
+    rng = random.Random(9)
+    words = ["lake", "Lake", "st.", "st", "new", "upper", "o'hara", "x", "straße", "Ås"]
+    phrases = list({tuple((w.removesuffix(".").lower(), w.endswith(".")) for w in p): " ".join(p) for p in ([rng.choice(words) for _ in range(rng.randint(1, 3))] for _ in range(40))}.values())
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", ",", "."]) for _ in range(rng.randint(0, 25))) for _ in range(60)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    dictionary = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    out = {r.id: [(m.start, m.size, m.entry.phrase) for m in r.found] for r in gazetteer.matches(df, dictionary, "id", "t").collect()}
+    assert out == {i: m for i, t in enumerate(texts) if (m := _brute_matches(t or "", phrases))}
+    assert 0 < split[0].count() < len(phrases) / 2
+
+
+def test_runs_that_are_no_phrase_are_not_shuffled(spark, monkeypatch):
+    """Of 40,000 runs of two and three words two are phrases; the join gets few others."""
+    seen = []
+    monkeypatch.setattr(gazetteer, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(gazetteer, "_held", lambda c, e, f=gazetteer._held: seen.append(c) or f(c, e))
+    texts = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    dictionary = spark.createDataFrame([("W3x7 w3x8",), ("w99x197 w99x198 w99x199",), ("not there",)], "phrase string")
+    found = gazetteer.matches(df, dictionary, "id", "t").collect()
+    assert sorted((r.id, m.start, m.size) for r in found for m in r.found) == [(3, 7, 2), (99, 197, 3)]
+    assert sum(c.count() for c in seen) < 100
+
+
 def test_expansion(spark):
     texts = ["Hispan., Prov. Jaen, Mt. Mulhacen.", "R. Ouse, Hunts. Is it?", "Pyr. or., L. Bleu.", "Italia. Gallia", None, "", "  no\tphrase  ", "Co. Durham; Pt. 3 Co Mayo", "VC VC"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
