@@ -30,16 +30,18 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: str, judge:
     """The columns ``keep`` and what ``judge`` returns: for a list of texts, a list of Arrow arrays in the order of ``fields``.
 
     Kept columns pass through as Arrow arrays, so ids and further columns of any type come back as they were.  Texts
-    are judged about ``most_chars`` characters at a time, which bounds the memory whatever the batch holds.
+    are judged about ``most_chars`` characters at a time, which bounds the memory whatever the batch holds.  A text that
+    is kept is sent once.
     """
     kept = [f"__k{i}" for i in range(len(keep))]
-    source = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.col(f"`{text_col}`").alias("__text"))
+    read = kept[keep.index(text_col)] if text_col in keep else "__text"
+    source = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], *[F.col(f"`{text_col}`").alias(read)] * (read not in kept))
     names = [x.split()[0] for x in _split_fields(fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, at, chars = [], 0, 0
-            for i, value in enumerate(batch.column("__text")):
+            for i, value in enumerate(batch.column(read)):
                 texts.append(text := value.as_py())
                 chars += len((text.get("text") if isinstance(text, dict) else text) or "")
                 if chars > most_chars or i + 1 == len(batch):

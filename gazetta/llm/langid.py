@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, materialise
-from .words import in_parts
+from .words import PART, in_parts
 
 UNDETERMINED = "und"
 #: Documents for each language that fitting expects to read (rows are taken by a hash of id and text).
@@ -35,6 +35,8 @@ SLOT_BITS = 20
 ORDERS = (3, 4)
 SHARE = 0.25
 LEAST = 3
+#: N-grams that are hashed at a time, also of one long text.
+STEP = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
 
@@ -47,7 +49,7 @@ def _letter_table() -> np.ndarray:
 
 
 def _ngrams(texts: list[str], orders: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: hashes of all n-grams and the number of the text they stand in.  Runs of other characters than letters count as one space."""
+    """For each order, at most STEP at a time: hashes of all n-grams and the number of the text they stand in.  Runs of other characters than letters count as one space."""
     parts = [np.frombuffer(("\n" + t.lower() + "\n").encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
     codes = np.concatenate(parts) if parts else np.zeros(0, "<u4")
     owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
@@ -58,18 +60,17 @@ def _ngrams(texts: list[str], orders: tuple[int, ...]) -> Iterator[tuple[np.ndar
         edge = np.flatnonzero(np.diff(owner)) + 1
         keep[edge] = True
         keep[0] = True
-    codes = np.where(is_letter, codes, 32)[keep].astype(np.uint64)
+    codes = np.where(is_letter, codes, np.uint32(32))[keep]
     owner = owner[keep]
     for n in orders:
-        if len(codes) < n:
-            yield np.zeros(0, np.uint64), np.zeros(0, np.int32)
-            continue
-        h = np.full(len(codes) - n + 1, np.uint64(n))
-        for k in range(n):
-            h = (h ^ codes[k : len(codes) - n + 1 + k]) * _MIX
-            h ^= h >> np.uint64(29)
-        same = owner[: len(h)] == owner[n - 1 :]
-        yield h[same], owner[: len(h)][same]
+        for at in range(0, len(codes) - n + 1, STEP):
+            part, of = codes[at : at + STEP + n - 1].astype(np.uint64), owner[at : at + STEP + n - 1]
+            h = np.full(len(part) - n + 1, np.uint64(n))
+            for k in range(n):
+                h = (h ^ part[k : len(h) + k]) * _MIX
+                h ^= h >> np.uint64(29)
+            same = of[: len(h)] == of[n - 1 :]
+            yield h[same], of[: len(h)][same]
 
 
 def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,4 +162,4 @@ def predict(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", k
         langs, scores, evidence = shared.value.predict(texts)
         return [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(evidence, pa.float64())]
 
-    return map_texts(docs, text_col, [c for c in docs.columns if c not in ("lang_pred", "score", "evidence")] if keep is None else keep, "lang_pred string, score double, evidence double", judge)
+    return map_texts(docs, text_col, [c for c in docs.columns if c not in ("lang_pred", "score", "evidence")] if keep is None else keep, "lang_pred string, score double, evidence double", judge, PART)

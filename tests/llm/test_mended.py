@@ -1,11 +1,12 @@
-"""Cases that went wrong once: patterned texts that hash alike, pairs that fit a gap of one token."""
+"""Cases that went wrong once: patterned texts that hash alike, pairs that fit a gap of one token, workers that took too much memory."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from gazetta.llm import line_dedup, near_dedup, packing, substring_dedup, words
+from gazetta.llm import langid, line_dedup, near_dedup, packing, substring_dedup, words
 
 
 def _thue_morse(n, a, b):
@@ -103,3 +104,42 @@ def test_clashing_columns(spark):
         found = sorted(tuple(r) for r in out.collect())
         assert len(found) == 6 and [r[2] for r in found] == ["a"] * 6 and [r[5] for r in found] == ["d"] * 6
         assert any(r[1] != row[1] for r, row in zip(found, rows))
+
+
+def _filters():
+    return langid.LanguageFilters(["a", "b"], np.random.RandomState(1).randint(0, 4, (1, 1 << 12)).astype("u1"), 12, langid.ORDERS, np.array([0.1, 0.2]))
+
+
+def test_ngrams_are_read_in_steps(monkeypatch):
+    """Steps lose and double no n-gram, also where a text ends in them; their memory is bounded for one long text too."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcé .1漢") for _ in range(rng.randrange(60))) for _ in range(50)] + ["", "a", "ab"]
+    whole = _filters().counts(texts)
+    alone = [_filters().counts([t]) for t in texts]
+    assert (whole[0] == np.concatenate([x[0] for x in alone])).all() and (whole[1] == np.concatenate([x[1] for x in alone])).all()
+    for step in (1, 2, 7):
+        monkeypatch.setattr(langid, "STEP", step)
+        assert all((x == y).all() for x, y in zip(whole, _filters().counts(texts)))
+    monkeypatch.undo()
+    long = "word and " * 300_000
+    _filters().counts(["a"])
+    tracemalloc.start()
+    try:
+        _filters().counts([long])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 35 * len(long)
+
+
+def test_kept_text_is_sent_once(spark):
+    docs = spark.createDataFrame([(1, "one text", "a"), (2, None, None), (3, "", "b")], "doc_id long, text string, lang string")
+    out = langid.predict(docs, _filters())
+    plan = out._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() != "MapInArrow":
+        plan = plan.children().apply(0)
+    assert plan.children().apply(0).output().size() == len(docs.columns)
+    assert [tuple(r)[:3] for r in out.orderBy("doc_id").collect()] == [(1, "one text", "a"), (2, None, None), (3, "", "b")]
+    few = langid.predict(docs, _filters(), keep=["doc_id"])
+    assert few.columns == ["doc_id", "lang_pred", "score", "evidence"]
+    assert {r.doc_id: r.lang_pred for r in few.collect()} == {r.doc_id: r.lang_pred for r in out.collect()}
