@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetta.llm import decontaminate, langid, line_dedup, near_dedup, packing
-from gazetta.llm.common import materialise, numbered, possible, shuffled
+from gazetta.llm.common import materialise, numbered, possible, shuffled, small_batches
 
 #: A document of whose n-grams less than this part belongs to its best language is in none of the languages known.
 LEAST_EVIDENCE = 0.35
@@ -31,6 +31,7 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in none of the languages go."""
+    small_batches(spark)
     masked, names, back = _masked(docs)
     held_out = F.coalesce(F.crc32(F.col(names["doc_id"]).cast("string")) % 4 == 2, F.lit(False))
     filters = langid.fit(masked, names["doc_id"], names["text"], names["lang"], where=~held_out)
@@ -51,6 +52,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, the one with the smallest id."""
+    small_batches(spark)
     masked, names, back = _masked(docs)
     rows = numbered(masked, "uid")
     found = near_dedup.near_duplicates(rows, names["doc_id"], names["text"], uid_col="uid")
@@ -59,6 +61,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    small_batches(spark)
     masked, names, back = _masked(docs)
     rows = numbered(masked, "uid")
     hits = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "uid", names["text"])
@@ -67,6 +70,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per token piece with its sequence and place."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

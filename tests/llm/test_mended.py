@@ -6,6 +6,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from gazetta.llm import langid, line_dedup, near_dedup, packing, substring_dedup, words
 
 
@@ -143,3 +144,15 @@ def test_kept_text_is_sent_once(spark):
     few = langid.predict(docs, _filters(), keep=["doc_id"])
     assert few.columns == ["doc_id", "lang_pred", "score", "evidence"]
     assert {r.doc_id: r.lang_pred for r in few.collect()} == {r.doc_id: r.lang_pred for r in out.collect()}
+
+
+def test_pipeline_sends_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(i, "some words of a text", "en") for i in range(8)], "doc_id long, text string, lang string")
+    try:
+        for given, least in (("10000", 1000), ("7", 7), ("0", 1000)):
+            spark.conf.set(key, given)
+            corpus_pipeline.language_id(spark, docs, "")
+            assert int(spark.conf.get(key)) == least
+    finally:
+        spark.conf.unset(key)
